@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from corpusieve.llm import bpe, packing, tokenfiles
+from corpusieve.llm import bpe, chat, fingerprints, langid, packing, quality, shards, tokenfiles
 
 QUERIES = {
+    "op1_quality": quality.op1_query,
+    "op2_language": langid.op2_query,
+    "op3_fingerprints": fingerprints.op3_query,
+    "op5_shards": shards.op5_query,
+    "op7_chat": chat.op7_query,
     "op8_bpe": bpe.op8_query,
     "op9_token_files": tokenfiles.op9_query,
     "op10_packing": packing.op10_query,
 }
 
-ORACLES: dict[str, str] = {}
+#: Queries without SQL are tested against brute force, round trips or held-out rows.
+ORACLES = {"op5_shards": shards.OP5_SQL, "op7_chat": chat.OP7_SQL}
