@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from corpusieve.llm import bpe, chat, fingerprints, langid, packing, quality, shards, tokenfiles
+from corpusieve.llm import anisotropic, bpe, chat, chosenpath, fingerprints, langid, packing, quality, shards, tokenfiles
 
 QUERIES = {
     "op1_quality": quality.op1_query,
     "op2_language": langid.op2_query,
     "op3_fingerprints": fingerprints.op3_query,
+    "op4_nearest": anisotropic.op4_query,
     "op5_shards": shards.op5_query,
+    "op6_jaccard_join": chosenpath.op6_query,
     "op7_chat": chat.op7_query,
     "op8_bpe": bpe.op8_query,
     "op9_token_files": tokenfiles.op9_query,
