@@ -82,3 +82,12 @@ def in_scope(url: Column, seeds: list[str]) -> Column:
 def first_page(url: Column, must_have: str = "page") -> Column:
     """A listing URL whose page number is put back to 0."""
     return F.regexp_replace(url, rf"(?<=[?&]{must_have}=)[1-9][0-9]*", "0")
+
+
+def valid_seeds(seeds: list[str]) -> list[str]:
+    """Web addresses among what was entered, stripped, without repeats, in order."""
+    return list(dict.fromkeys(s.strip() for s in seeds if s.strip().lower().startswith(("http://", "https://"))))
+
+
+def valid_seed(url: Column) -> Column:
+    return F.trim(url).rlike("(?i)^https?://")

@@ -335,7 +335,44 @@ def keyword_blacklist(spark, d):
     return feedback.keyword_blacklist(part.select(F.concat("p_name", F.lit(" "), "p_brand").alias("keyword")).distinct(), part.where("p_size > 40").select(F.concat(F.lit(" "), "p_name", F.lit(" "), "p_brand").alias("keyword")).distinct())
 
 
+def keyword_filter(spark, d):
+    """Keywords that contain what was typed, of either case."""
+    return table(spark, d, "part").where(F.contains(F.lower("p_name"), F.lit("re"))).select("p_name").distinct()
+
+
+def page_flags_sorted(spark, d):
+    """Flags of documents by score, then page, as a place in their document."""
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "page_no"))
+    return page_redaction_flags(spark, d).withColumn("place", place.cast("long"))
+
+
+def entities_sorted(spark, d):
+    """Entities by label, then count, then form, as a place in their document."""
+    own = entities.merged(entities.extract(docs(spark, d)).where("label = 'EMAIL'"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("label", F.desc("count"), "display"))
+    return own.select("doc_id", "label", "display", "count", place.cast("long").alias("place"))
+
+
+def docs_in_list(spark, d):
+    """Documents of a list of ids, which is a small table."""
+    ids = table(spark, d, "labels").where("toxic = 1").select("doc_id")
+    return docs(spark, d).join(ids, "doc_id", "left_semi").select("doc_id", "source")
+
+
+def chunk_embeddings(spark, d):
+    """Chunks of the index with their vectors' norms, by the hashing provider."""
+    from corpusieve.operators import embedding
+
+    rows = embedding.by_chunk(docs(spark, d), embedding.HashingProvider)
+    return rows.select("doc_id", "chunk_index", "start", "end", F.round("norm", 4).alias("norm"))
+
+
 QUERIES = {
+    "keyword_filter": keyword_filter,
+    "page_flags_sorted": page_flags_sorted,
+    "entities_sorted": entities_sorted,
+    "docs_in_list": docs_in_list,
+    "chunk_embeddings": chunk_embeddings,
     "keyword_hits": _counts(WORDS),
     "phrase_hits": _counts(PHRASES),
     "wildcard_hits": _counts(GLOBS),
@@ -373,6 +410,10 @@ QUERIES = {
 }
 
 ORACLES = {
+    "keyword_filter": "SELECT DISTINCT p_name FROM part WHERE contains(lower(p_name), 're')",
+    "page_flags_sorted": f"SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, page_no) AS place FROM ({_FLAGS})",
+    "entities_sorted": f"SELECT doc_id, label, display, count, row_number() OVER (PARTITION BY doc_id ORDER BY label, count DESC, display) AS place FROM ({ENTITIES_MERGED_SQL})",
+    "docs_in_list": "SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)",
     "keyword_hits": _sql_rows({k: sql_count(k) for k in WORDS}),
     "phrase_hits": _sql_rows({k: sql_count(k) for k in PHRASES}),
     "wildcard_hits": _sql_rows({"licen*": f"len(list_filter({_GLOB_WORDS}, lambda w: regexp_full_match(w, 'licen.*')))", "th?t": f"len(list_filter({_GLOB_WORDS}, lambda w: regexp_full_match(w, 'th.t')))"}),

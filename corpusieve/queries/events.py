@@ -140,16 +140,30 @@ def stream_status_counts(spark, d):
     return attempts.status_counts(log(spark, d), "ts", "status")
 
 
+def kv_latest(spark, d):
+    """A key-value table as the last write of each key."""
+    own = table(spark, d, "events").select(F.concat(F.lit("k"), (F.col("user_id") % 20).cast("string")).alias("key"), F.col("props").alias("value"), "ts", "event_id")
+    return state.latest(own, "key", "ts", "event_id").select("key", "value")
+
+
+def attempts_by_status(spark, d):
+    """The newest ten attempts of some statuses."""
+    own = log(spark, d).where(F.col("status").isin("done", "retry"))
+    return own.orderBy(F.desc("ts"), "event_id").limit(10).select("url", "status", "event_id")
+
+
 QUERIES = {
     f.__name__: f
     for f in (url_latest_state, url_last_known, url_upsert_preserve_done, url_upsert_overwrite, clear_pending, review_latest, pending_queue, diag_status_counts, diag_done_detail, url_penalty_fold, host_throttle_fold)
-    + (backoff_schedule, release_diff, release_added_removed, merge_spans, json_props, stream_status_counts)
+    + (backoff_schedule, release_diff, release_added_removed, merge_spans, json_props, stream_status_counts, kv_latest, attempts_by_status)
 }
 
 _BEFORE = "SELECT c_custkey AS url, c_name, c_acctbal, CASE WHEN c_nationkey > 3 THEN c_nationkey END AS n FROM customer WHERE c_custkey % 13 <> 0"
 _AFTER = "SELECT c_custkey AS url, c_name, c_acctbal + CASE WHEN c_custkey % 7 = 0 THEN 1 ELSE 0 END AS c_acctbal, CASE WHEN c_custkey % 5 <> 0 AND c_nationkey > 3 THEN c_nationkey END AS n FROM customer WHERE c_custkey % 11 <> 0"
 _FOLD = "list_reduce(list_prepend({start}::DOUBLE, list(x ORDER BY ts, seq)), lambda a, x: {step})"
 ORACLES = {
+    "kv_latest": "SELECT key, value FROM (SELECT 'k' || (user_id % 20) AS key, props AS value, row_number() OVER (PARTITION BY user_id % 20 ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1",
+    "attempts_by_status": f"SELECT url, status, event_id FROM ({_LOG}) WHERE status IN ('done', 'retry') ORDER BY ts DESC, event_id LIMIT 10",
     "url_latest_state": f"SELECT url, status, event_id, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY ts DESC, event_id DESC) AS rn FROM ({_LOG})) WHERE rn = 1",
     "url_last_known": f"SELECT url, max_by(status, (ts, event_id)) AS status, max_by(k, (ts, event_id)) FILTER (WHERE k % 2 = 0) AS k FROM ({_LOG}) GROUP BY url",
     "url_upsert_preserve_done": f"""SELECT url, CASE WHEN n.status IS NULL THEN s.status WHEN s.status = 'done' AND (lower(url) NOT LIKE '%.pdf' OR (s.local_path IS NOT NULL AND s.sha256 IS NOT NULL)) THEN 'done' ELSE n.status END AS status,

@@ -82,7 +82,14 @@ def url_penalty(spark, d):
     return own.join(hosts, "host", "left").select("page_id", F.round(F.coalesce("penalty", F.lit(0.0)), 6).alias("penalty"))
 
 
-QUERIES = {f.__name__: f for f in (html_title, html_text, link_extract, links_resolved, normalize_url, url_host, looks_downloadable, known_document_urls, pagination_links, same_site, page_in_scope, parse_dispatch, not_pdf_guard, url_penalty)}
+def seed_validation(spark, d):
+    """Addresses that can be seeds, each once: half of them are entered with spaces or twice."""
+    typed = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit(" "), "url")).otherwise(F.substring_index("url", "://", -1))
+    own = rows(spark, d).select(typed.alias("url")).unionByName(rows(spark, d).select("url"))
+    return own.where(U.valid_seed(F.col("url"))).select(F.trim("url").alias("url")).distinct()
+
+
+QUERIES = {f.__name__: f for f in (html_title, html_text, link_extract, links_resolved, normalize_url, url_host, looks_downloadable, known_document_urls, pagination_links, same_site, page_in_scope, parse_dispatch, not_pdf_guard, url_penalty, seed_validation)}
 
 _S = r"[A-Za-z][A-Za-z0-9+.\-]*"
 _AUTH = rf"lower(regexp_extract(url, '^{_S}://([^/?#]*)', 1))"
@@ -92,6 +99,7 @@ _TITLE = r"regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>',
 _PLAIN = f"replace(replace(replace(replace(replace(replace({_TITLE}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&')"
 _SCOPE = " OR ".join(f"p = '{s.split('.com')[1]}' OR starts_with(p, '{s.split('.com')[1]}/')" for s in SEEDS)
 ORACLES = {
+    "seed_validation": "SELECT DISTINCT trim(url) AS url FROM pages WHERE regexp_matches(url, '(?i)^https?://')",
     "html_title": f"SELECT page_id, CASE WHEN {_PLAIN} <> '' THEN {_PLAIN} ELSE url END AS title FROM pages",
     "link_extract": r"""SELECT page_id, link, count(*) AS n FROM (SELECT page_id, trim(unnest(regexp_extract_all(html, '(?is)<a\s[^>]*?href\s*=\s*"([^"]*)"', 1))) AS link FROM pages)
         WHERE link <> '' AND NOT regexp_matches(lower(link), '^(mailto|javascript):') GROUP BY 1, 2""",
