@@ -48,7 +48,7 @@ def mentions(text: Column) -> Column:
         every = matches(text, PATTERNS[label])
         rows = F.zip_with(every, starts_of(text, PATTERNS[label], every), lambda m, s: F.struct(F.lit(label).alias("label"), F.lit(order).alias("label_order"), m.alias("text"), s.alias("start")))
         screen = F.contains(text, F.lit(_SCREEN[label])) if _SCREEN[label] else text.rlike(r"\d{4}")
-        return F.when(screen, rows).otherwise(F.slice(rows, 1, 0))
+        return F.when(screen, rows).otherwise(F.array().cast("array<struct<label:string,label_order:int,text:string,start:int>>"))
 
     return F.concat(*[of(label, order) for order, label in enumerate(PATTERNS)])
 

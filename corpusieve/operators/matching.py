@@ -20,6 +20,7 @@ from corpusieve.plans.patterns import Pattern
 #: After this many hits of a document each further literal or regex adds one at most.
 SOFT_CAP = 200
 FUZZY_LEAST, FUZZY_KEYWORDS, FUZZY_SENTENCES, FUZZY_SNIPPET = 0.92, 200, 1500, 350
+_NONE = "array<struct<method:string,pattern:string,pattern_order:int,hit:int,start:int,score:double,snippet:string>>"
 _WILD_WORDS = r"(?U)\b[\w\-']+\b"
 
 
@@ -43,14 +44,13 @@ def _hits_of(pattern: Pattern, text: Column, with_snippet: bool) -> Column:
 def hits(docs: DataFrame, patterns: list[Pattern], with_snippet: bool = True) -> DataFrame:
     """doc_id, method, pattern, pattern_order, hit, start, score and snippet of every hit.
 
-    One alternation screens the texts first where all patterns are plain; then each pattern is
-    searched only in texts that it can be in.
+    Offsets and snippets are worked out only for texts that a pattern is in.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     arrays = []
     for p in patterns:
         found = _hits_of(p, text, with_snippet)
-        arrays.append(found if p.method == "wildcard" else F.when(text.rlike(p.java), found).otherwise(F.slice(found, 1, 0)))
+        arrays.append(found if p.method == "wildcard" else F.when(text.rlike(p.java), found).otherwise(F.array().cast(_NONE)))
     if not arrays:
         raise ValueError("the pack has no usable pattern")
     return docs.select("doc_id", F.inline(F.concat(*arrays)))
