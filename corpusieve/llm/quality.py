@@ -12,7 +12,6 @@ number for each row, and one pair of numbers for each word.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,16 +21,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusieve.llm.sampling import sampled
 from corpusieve.llm.shingles import mixed, odd_numbers
-from corpusieve.llm.words import WordTable, blocks
+from corpusieve.llm.words import WordTable, blocks, text_rows
 from corpusieve.runtime import bound_batches, table
 
 ROW_BITS = 17
 DIMENSIONS = 16
 GRAMS = (2, 3, 4)
 #: Labelled documents that a model is trained on at most, chosen by the hash of doc_id.
-SAMPLE = 6000
-EPOCHS = 6
+SAMPLE = 4000
+#: Steps of gradient descent, over as many rounds of the sample as that takes.
+STEPS = 12_000
 #: Zero rows in every mean, so that a word or two decide little.
 PRIOR = 20
 RATE = 2.0
@@ -96,53 +97,65 @@ class Model:
         return np.stack([np.bincount(owner, self.weight[rows], len(words)), np.bincount(owner, minlength=len(words)).astype(float), word_keys(words)], 1)
 
     def scorer(self):
+        """texts -> array of probabilities of label 1."""
         sums = WordTable(self.word_sums)
 
-        def score(text: str | None) -> float:
-            total, pairs = np.zeros(2), Pairs()
-            for part in blocks((text or "").split()):
-                found = sums(part)
-                total += found[:, :2].sum(0)
-                pairs.add(found[:, 2])
-            counts = pairs.counts()
-            total += counts @ self.weight[-2:], counts.sum()
-            odds = self.bias + total[0] / (total[1] + PRIOR)
-            return float(1 / (1 + np.exp(-np.clip(odds, -500, 500))))
+        def score(texts: list[str | None]) -> np.ndarray:
+            total, pairs = np.zeros((len(texts), 2)), Pairs()
+            last = -1
+            for i, rows in text_rows(texts, sums):
+                if i != last:
+                    self._add_pairs(total, last, pairs)
+                    pairs, last = Pairs(), i
+                total[i] += rows[:, :2].sum(0)
+                pairs.add(rows[:, 2])
+            self._add_pairs(total, last, pairs)
+            odds = self.bias + total[:, 0] / (total[:, 1] + PRIOR)
+            return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
 
         return score
 
+    def _add_pairs(self, total: np.ndarray, text: int, pairs: Pairs) -> None:
+        if text >= 0:
+            counts = pairs.counts()
+            total[text] += counts @ self.weight[-2:], counts.sum()
+
 
-def train(texts: list[str], labels: list[int], bits: int = ROW_BITS, dimensions: int = DIMENSIONS, epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> Model:
+def train(texts: list[str], labels: list[int], bits: int = ROW_BITS, dimensions: int = DIMENSIONS, steps: int = STEPS, rate: float = RATE, seed: int = 7) -> Model:
     """Trains on texts with labels 0 and 1; without texts every score is 0.5."""
     if not texts:
         return Model(np.zeros((1 << bits) + 2), 0.0)
     number: dict[str, int] = {}
-    counted, paired = [], []
+    counted = []
     for text in texts:
-        words = text.split()
-        counted.append(Counter(words))
+        words = np.fromiter((number.setdefault(w, len(number)) for w in text.split()), np.int32)
         pairs = Pairs()
-        pairs.add(np.array([number.setdefault(w, len(number)) for w in words], float))
-        paired.append(pairs.counts())
-    rows, owner = features(list(number), bits)
-    order = np.argsort(owner, kind="stable")
-    rows, ends = rows[order], np.r_[0, np.cumsum(np.bincount(owner, minlength=len(number)))]
+        pairs.add(words.astype(float))
+        counted.append((*np.unique(words, return_counts=True), pairs.counts()))
+    rows, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for part in blocks(list(number), 1 << 14):
+        own, owner = features(part, bits)
+        rows.append(own[np.argsort(owner, kind="stable")].astype(np.int32))
+        sizes.append(np.bincount(owner, minlength=len(part)))
+    del number
+    rows, sizes = np.concatenate(rows), np.concatenate(sizes)
+    begins = np.cumsum(sizes) - sizes
     documents = []
-    for c, pair, label in zip(counted, paired, labels, strict=True):
-        if c:
-            own = [number[w] for w in c]
-            sizes = ends[1:][own] - ends[:-1][own]
-            at = np.repeat(ends[:-1][own] - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
+    for (words, times, pair), label in zip(counted, labels, strict=True):
+        if len(words):
+            own = sizes[words]
+            at = np.repeat(begins[words] - (np.cumsum(own) - own), own) + np.arange(own.sum())
             unique, back = np.unique(rows[at], return_inverse=True)
-            weight = np.r_[np.bincount(back, np.repeat(list(c.values()), sizes)), pair]
-            unique = np.r_[unique, 1 << bits, (1 << bits) + 1]
+            weight = np.r_[np.bincount(back, np.repeat(times, own)), pair]
+            unique = np.r_[unique, 1 << bits, (1 << bits) + 1].astype(np.int32)
             documents.append((unique, (weight / (weight.sum() + PRIOR)).astype(np.float32), label))
+    del rows, counted
     random = np.random.default_rng(seed)
     vectors = random.uniform(-1 / dimensions, 1 / dimensions, ((1 << bits) + 2, dimensions)).astype(np.float32)
     output, bias = np.zeros((2, dimensions), np.float32), np.zeros(2, np.float32)
-    steps, done = epochs * len(documents), 0
-    for _ in range(epochs):
-        for k in random.permutation(len(documents)):
+    done, rounds = 0, -(-steps // max(len(documents), 1)) if documents else 0
+    for _ in range(rounds):
+        for k in random.permutation(len(documents))[: steps - done]:
             unique, weight, label = documents[k]
             step = np.float32(rate * (1 - done / steps))
             done += 1
@@ -170,7 +183,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     count as none; of repeated documents one text is taken.
     """
     known = labels.where("quality is not null and doc_id is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
-    ids = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))  # bounded by sample
+    ids = F.broadcast(sampled(known, sample, "doc_id"))  # bounded by sample
     rows = docs.where("text is not null").select("doc_id", "text").join(ids, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label")).collect()
     rows.sort(key=lambda r: zlib.crc32(str(r.doc_id).encode()))
     return train([r.text for r in rows], [r.label for r in rows])
@@ -184,7 +197,7 @@ def score(text: Column, model: Model) -> Column:
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         rate = model.scorer()
         for batch in texts:
-            yield pd.Series([rate(x) for x in batch], dtype=float)
+            yield pd.Series(rate(list(batch)), dtype=float)
 
     return of(text)
 

@@ -6,7 +6,7 @@ it once for each word that a worker meets, for all new words of a document toget
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 
@@ -33,7 +33,7 @@ class WordTable:
     """Rows that ``compute(words)`` gives, an array of len(words) x width; at most about
     ``limit`` words are remembered, then the memo starts anew. Results never depend on it."""
 
-    def __init__(self, compute: Callable[[list[str]], np.ndarray], limit: int = 400_000) -> None:
+    def __init__(self, compute: Callable[[list[str]], np.ndarray], limit: int = 1_000_000) -> None:
         self.compute, self.limit = compute, limit
         self._clear()
 
@@ -64,3 +64,34 @@ def blocks(words: list[str], size: int = 1 << 16) -> Iterable[list[str]]:
     """The words in slices, so that arrays about them stay small however long the text is."""
     for k in range(0, len(words), size):
         yield words[k : k + size]
+
+
+def text_rows(texts: Iterable[str | None], table: WordTable, size: int = 1 << 16) -> Iterator[tuple[int, np.ndarray]]:
+    """(number of the text, rows of some of its words in order), for all texts with a word. New
+    words of many texts are computed together; only about ``size`` words are held at a time."""
+    words: list[str] = []
+    held: list[tuple[int, int]] = []
+
+    def known() -> Iterator[tuple[int, np.ndarray]]:
+        rows, at = table(words), 0
+        for i, n in held:
+            yield i, rows[at : at + n]
+            at += n
+        words.clear()
+        held.clear()
+
+    for i, text in enumerate(texts):
+        for part in blocks((text or "").split(), size):
+            words.extend(part)
+            held.append((i, len(part)))
+            if len(words) >= size:
+                yield from known()
+    yield from known()
+
+
+def text_sums(texts: list[str | None], table: WordTable) -> np.ndarray:
+    """For each text the sum of its words' rows."""
+    out = np.zeros((len(texts), *table.rows.shape[1:]))
+    for i, rows in text_rows(texts, table):
+        out[i] += rows.sum(0)
+    return out
