@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusieve.llm.sampling import sampled
 from corpusieve.runtime import bound_batches, table, written
 
 WORDS = 16
@@ -185,7 +186,7 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, nearest: int =
     rows = usable(vectors)
     asked = usable(queries) if queries is not None else rows.where(F.col("vec_id") % every == 0)
     asked = asked.dropDuplicates(["vec_id"]) if queries is not None else asked.groupBy("vec_id").agg(F.min("x").alias("x"))
-    fitted = np.array([r.x for r in rows.orderBy(F.xxhash64("vec_id", "x")).limit(sample).collect()])
+    fitted = np.array([r.x for r in sampled(rows, sample, "vec_id", "x").collect()])
     dimension = fitted.shape[1] if len(fitted) else 1
     quantiser = fit(fitted.reshape(-1, dimension), dimension)
 
