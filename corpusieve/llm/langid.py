@@ -20,10 +20,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusieve.llm.words import WordTable, blocks
+from corpusieve.llm.sampling import sampled_by
+from corpusieve.llm.shingles import mixed
+from corpusieve.llm.words import WordTable, text_sums
 from corpusieve.runtime import bound_batches, table
 
 ORDER = 4
@@ -62,17 +64,41 @@ def _with_byte(context: np.ndarray, byte: np.ndarray) -> np.ndarray:
     return (context >> _TAG << _TAG) | ((context & _LOW) << np.uint64(8)) | byte
 
 
-def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each wanted key is in sorted keys, and whether it is there."""
-    if not len(keys):
-        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return at, keys[at] == wanted
+class Lookup:
+    """Places of keys in an array, by open addressing; a wanted key takes a probe or two."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys = keys
+        self.mask = np.uint64((1 << max(4, (4 * len(keys)).bit_length())) - 1)
+        self.slots = np.full(int(self.mask) + 1, -1, np.int32)
+        left, at = np.arange(len(keys), dtype=np.int32), self._first(keys)
+        while len(left):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = left[free]  # of several keys for one slot one stays
+            stays = self.slots[at] == left
+            left, at = left[~stays], (at[~stays] + np.uint64(1)) & self.mask
+
+    def _first(self, keys: np.ndarray) -> np.ndarray:
+        return mixed(keys) & self.mask
+
+    def __call__(self, wanted: np.ndarray) -> np.ndarray:
+        """The place of each wanted key, -1 if it is not there."""
+        out = np.full(len(wanted), -1, np.int32)
+        left, at = np.arange(len(wanted)), self._first(wanted)
+        while len(left):
+            found = self.slots[at]
+            hit = found >= 0
+            left, at, found = left[hit], at[hit], found[hit]
+            same = self.keys[found] == wanted[left]
+            out[left[same]] = found[same]
+            left, at = left[~same], (at[~same] + np.uint64(1)) & self.mask
+        return out
 
 
 @dataclass
 class Model:
-    """Frozen statistics of all languages, by key: a tagged context, with or without a byte."""
+    """Frozen statistics of all languages, by key: a tagged context, with or without a byte. The
+    last row of each table is for keys that are not there."""
 
     languages: list[str]
     order: int
@@ -81,11 +107,23 @@ class Model:
     contexts: np.ndarray
     escape_bits: np.ndarray  # 0 where the language has no such context
 
+    def __post_init__(self) -> None:
+        self.find_symbol, self.find_context = Lookup(self.symbols), Lookup(self.contexts)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if not k.startswith("find_")}
+
+    def __setstate__(self, own: dict) -> None:
+        self.__dict__.update(own)
+        self.__post_init__()
+
     def word_bits(self, words: list[str]) -> np.ndarray:
         """For each word the code length in each language."""
-        cores = [core(w) for w in words]
+        return self._core_bits([core(w) for w in words])
+
+    def _core_bits(self, cores: list[str]) -> np.ndarray:
         unique = {w: k for k, w in enumerate(dict.fromkeys(w for w in cores if w))}
-        out = np.zeros((len(words), len(self.languages)))
+        out = np.zeros((len(cores), len(self.languages)))
         if unique:
             bits = self._bits(list(unique))
             has = [k for k, w in enumerate(cores) if w]
@@ -95,41 +133,47 @@ class Model:
     def _bits(self, words: list[str]) -> np.ndarray:
         data, place, owner = _coded(words)
         todo = np.flatnonzero(place > 0)
-        cost = np.zeros((len(todo), len(self.languages)), np.float64)
-        left = np.ones(cost.shape, bool)
+        cost = np.zeros((len(todo), len(self.languages)))
+        left = np.arange(len(todo))  # positions that some language has not coded yet
+        open_ = np.ones(cost.shape, bool)
         for order in range(self.order, -1, -1):
-            rows = np.flatnonzero((place[todo] >= order) & left.any(1))
+            can = place[todo[left]] >= order
+            rows = left[can]
             at = todo[rows]
             context = _contexts(data, at, order)
-            where, there = _find(self.symbols, _with_byte(context, data[at]))
-            bits = np.where(there[:, None], self.symbol_bits[where] if len(self.symbols) else 0.0, np.inf)
-            known, open_ = np.isfinite(bits), left[rows]
-            cost[rows] += np.where(open_ & known, bits, 0)
-            where, there = _find(self.contexts, context)
-            escape = np.where(there[:, None], self.escape_bits[where] if len(self.contexts) else 0.0, 0.0)
-            cost[rows] += np.where(open_ & ~known, escape, 0)
-            left[rows] = open_ & ~known
-        cost += 8.0 * left
+            found = self.find_symbol(_with_byte(context, data[at]))
+            bits = self.symbol_bits[found]
+            own = open_[rows]
+            known = np.isfinite(bits)
+            escape = self.escape_bits[self.find_context(context)]
+            cost[rows] += np.where(own, np.where(known, bits, escape), 0)
+            own &= ~known
+            open_[rows] = own
+            left = np.concatenate([left[~can], rows[own.any(1)]])
+        cost += 8.0 * open_
         return np.stack([np.bincount(owner[todo], cost[:, k], len(words)) for k in range(cost.shape[1])], 1) if cost.shape[1] else np.zeros((len(words), 0))
 
     def predictor(self):
-        """text -> (language, probability among the learned languages, bits for each coded byte)."""
+        """texts -> for each (language, probability among the learned languages, bits for each
+        coded byte)."""
 
         def rows(words: list[str]) -> np.ndarray:
-            sizes = np.array([len(core(w).encode()) for w in words], float).reshape(-1, 1)
-            return np.hstack([self.word_bits(words), sizes + (sizes > 0)])
+            cores = [core(w) for w in words]
+            sizes = np.array([len(c.encode()) + 1 if c else 0 for c in cores], float).reshape(-1, 1)
+            return np.hstack([self._core_bits(cores), sizes])
 
         known = WordTable(rows)
 
-        def predict(text: str | None) -> tuple[str, float, float]:
-            total = np.zeros(len(self.languages) + 1)
-            for part in blocks((text or "").split()):
-                total += known(part).sum(0)
-            if not total[-1] or not self.languages:
-                return UNDETERMINED, 0.0, 0.0
-            best = int(total[:-1].argmin())
-            share = 1 / np.exp2(np.maximum(total[best] - total[:-1], -1000.0)).sum()
-            return self.languages[best], float(share), float(total[best] / total[-1])
+        def predict(texts) -> list[tuple[str, float, float]]:
+            out = []
+            for total in text_sums(list(texts), known):
+                if not total[-1] or not self.languages:
+                    out.append((UNDETERMINED, 0.0, 0.0))
+                    continue
+                best = int(total[:-1].argmin())
+                share = 1 / np.exp2(np.maximum(total[best] - total[:-1], -1000.0)).sum()
+                out.append((self.languages[best], float(share), float(total[best] / total[-1])))
+            return out
 
         return predict
 
@@ -156,7 +200,7 @@ def train(texts: dict[str, list[str]], order: int = ORDER) -> Model:
     empty = np.zeros(0, np.uint64)
     symbols = np.unique(np.concatenate([empty, *(x[0] for x in found)]))
     contexts = np.unique(np.concatenate([empty, *(x[2] for x in found)]))
-    symbol_bits, escape_bits = np.full((len(symbols), len(languages)), np.inf, np.float32), np.zeros((len(contexts), len(languages)), np.float32)
+    symbol_bits, escape_bits = np.full((len(symbols) + 1, len(languages)), np.inf, np.float32), np.zeros((len(contexts) + 1, len(languages)), np.float32)
     for k, (own, bits, own_contexts, escapes) in enumerate(found):
         symbol_bits[np.searchsorted(symbols, own), k] = bits
         escape_bits[np.searchsorted(contexts, own_contexts), k] = escapes
@@ -171,9 +215,8 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, sample: int = SAMPL
     """Statistics from docs(doc_id, text, lang): at most ``per_language`` documents of each
     language and ``sample`` in all, by the hash of doc_id, none held out, none with a null in one
     of the three. Of rows that share doc_id and lang one text is taken."""
-    known = docs.where("doc_id is not null and lang is not null").where(~held_out(F.col("doc_id"))).select("doc_id", "lang").distinct()
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = known.withColumn("turn", turn).where(F.col("turn") <= per_language).orderBy("turn", "lang").limit(sample)
+    known = docs.where("doc_id is not null and lang is not null").where(~held_out(F.col("doc_id"))).select("doc_id", "lang")
+    ids = sampled_by(known.distinct(), "lang", per_language, sample, "doc_id")
     rows = docs.where("text is not null").select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()
     texts: dict[str, list[str]] = {}
     for r in rows:
@@ -189,7 +232,7 @@ def predict(text: Column, model: Model) -> Column:
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         guess = model.predictor()
         for batch in texts:
-            yield pd.DataFrame([guess(x) for x in batch], columns=["lang_pred", "score", "bits"])
+            yield pd.DataFrame(guess(batch), columns=["lang_pred", "score", "bits"])
 
     return of(text)
 
