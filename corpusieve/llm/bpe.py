@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from corpusieve.llm.encoders import ChunkEncoder
 
 _NEVER = math.inf
+#: Pairs of tokens that a worker remembers at most.
+FITS = 1_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -77,6 +79,8 @@ class Vocabulary:
         """
         key = (left, right)
         if (known := self.fits.get(key)) is None:
+            if len(self.fits) >= FITS:
+                self.fits.clear()
             known = self.fits[key] = self._apart(left, right)
         return known
 
@@ -136,7 +140,7 @@ def loaded(path: str) -> tuple[Vocabulary, ChunkEncoder]:
     """The vocabulary of a rank file and its encoder of texts, one for each worker process."""
     if path not in _loaded:
         own = Vocabulary(read_ranks(path))
-        _loaded[path] = own, ChunkEncoder(lambda pretoken: np.array(own.encode(pretoken.encode()), "<u4").tobytes())
+        _loaded[path] = own, ChunkEncoder(lambda pretoken: np.array(own.encode(pretoken.encode()), "<u4").tobytes(), limit=300_000)
     return _loaded[path]
 
 
