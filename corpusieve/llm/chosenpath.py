@@ -37,6 +37,8 @@ SMALL = 32
 #: Sets, and shingles in all, of a block; larger groups are compared block by block.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 SKETCH = 128
+#: Size of the bitmap that screens texts: 8 MB.
+FILTER_BITS = 1 << 26
 
 
 def runs_needed(recall: float = RECALL, depth: int = DEPTH) -> int:
@@ -256,6 +258,18 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _perhaps_among(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """Rows whose ``column``, a hash, may be in the first column of ``wanted``: none that is there is
+    missed. A bitmap of FILTER_BITS bits tells, which is what is broadcast, however many are wanted;
+    the more they are, the more rows stay that the join after it drops."""
+    place = lambda c: F.pmod(F.col(c), F.lit(FILTER_BITS)) + 1
+    own = wanted.select(place(wanted.columns[0]).alias("at"))
+    maps = own.groupBy(F.bitmap_bucket_number("at").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("_bits"))
+    met = rows.withColumn("_at", F.bitmap_bit_position(place(column))).withColumn("_bucket", F.bitmap_bucket_number(place(column))).join(F.broadcast(maps), "_bucket")
+    there = F.expr("(cast(conv(hex(substring(_bits, int(_at div 8) + 1, 1)), 16, 10) as int) >> int(_at % 8)) & 1 = 1")
+    return met.where(there).drop("_at", "_bucket", "_bits")
+
+
 def _compared(groups: DataFrame, docs: DataFrame, words: int, threshold: float) -> DataFrame:
     """node, partner (one of a similar group, or itself), weight (documents that it is linked with)
     for each node and pair of blocks, from exact comparison within groups(root, ...)."""
@@ -268,7 +282,7 @@ def _compared(groups: DataFrame, docs: DataFrame, words: int, threshold: float)
                 sets = [signer.shingles(t) for t in own["text"]]
                 size = np.array([len(s) for s in sets], float)
                 both = shared_counts(sets)
-                similar = both >= threshold * (size[:, None] + size[None, :] - both)
+                similar = both / (size[:, None] + size[None, :] - both) >= threshold
                 np.fill_diagonal(similar, False)
                 if i != j:
                     block = own["block"].to_numpy()
@@ -279,7 +293,8 @@ def _compared(groups: DataFrame, docs: DataFrame, words: int, threshold: float)
                 yield pd.DataFrame({"node": node, "partner": node[label], "weight": similar @ copies})[linked]
 
     keys = ["root", "i", "j"]
-    texts = docs.select(F.col("doc_id").alias("first_id"), "text_hash", "text")
+    # most texts have no likely partner and are dropped before the shuffle
+    texts = _perhaps_among(docs, "text_hash", groups.select("first_hash")).select(F.col("doc_id").alias("first_id"), "text_hash", "text")
     blocks = f"greatest(ceil(members / {BLOCK}), ceil(shingles / {BLOCK_SHINGLES}))"
     dealt = _in_blocks(groups.join(texts, (groups["first_id"].eqNullSafe(texts["first_id"])) & (groups["first_hash"] == texts["text_hash"])).select("root", "members", "shingles", "node", "copies", "text"), blocks)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -342,3 +357,15 @@ def op6_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's class of near copies and its number of links."""
     bound_batches(spark)
     return jaccard_join(table(spark, sf_dir, "documents"))
+
+
+#: The same by joining all shingles with all others and following links from every row.
+OP6_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, string_split_regex(trim(lower(coalesce(text, '')), ' ' || chr(9) || chr(10) || chr(13)), '\s+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b, c = x.n AND c = y.n AS same FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c / (x.n + y.n - c)::DOUBLE >= 0.8),
+r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.doc_id)
+SELECT doc_id, min(root) AS class_id, least(doc_id, (SELECT min(b) FROM l WHERE a = doc_id AND same)) AS copy_id, (SELECT count(*) FROM l WHERE a = doc_id) AS n_links FROM r GROUP BY doc_id
+"""

@@ -18,4 +18,4 @@ QUERIES = {
 }
 
 #: Queries without SQL are tested against brute force, round trips or held-out rows.
-ORACLES = {"op5_shards": shards.OP5_SQL, "op7_chat": chat.OP7_SQL}
+ORACLES = {"op5_shards": shards.OP5_SQL, "op6_jaccard_join": chosenpath.OP6_SQL, "op7_chat": chat.OP7_SQL}

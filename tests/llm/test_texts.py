@@ -331,7 +331,7 @@ def test_template_is_checked():
             chat.Template(**bad)
 
 
-@pytest.mark.parametrize("name", ["op5_shards", "op7_chat"])
+@pytest.mark.parametrize("name", ["op5_shards", "op6_jaccard_join", "op7_chat"])
 def test_sql(spark, sf_dir, name):
     from corpusieve.llm.queries import ORACLES, QUERIES
 
