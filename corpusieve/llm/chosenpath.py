@@ -125,13 +125,16 @@ def _buckets(sets: DataFrame, small: int) -> DataFrame:
     for level in range(1, DEPTH + 1):
         zipped = F.arrays_zip(F.col(f"path{level}").alias("path"), F.col(f"before{level}").alias("before")) if level > 1 else F.transform("path1", lambda p: F.struct(p.alias("path")))
         rows = sets.select("node", "n", "bits1", "bits2", F.inline(zipped))
-        if large is not None:
-            rows = rows.join(large.select(F.col("path").alias("before")), "before", "left_semi").drop("before")
-        rows = rows.dropDuplicates(["path", "node"]) if level > 1 else rows
-        sizes = written(rows.groupBy("path").agg(F.count("*").alias("size")).where("size > 1"), f"op6-sizes{level}")
-        fits = sizes if level == DEPTH else sizes.where(F.col("size") <= small)
-        kept.append(rows.join(fits, "path").select("path", "size", "node", "n", "bits1", "bits2"))
-        large = sizes.where(F.col("size") > small)
+        if large is None:
+            rows = rows.withColumn("before_size", F.lit(None).cast("long"))
+        else:
+            rows = rows.join(large.select(F.col("path").alias("before"), F.col("size").alias("before_size")), "before").drop("before").dropDuplicates(["path", "node"])
+        sizes = rows.groupBy("path").agg(F.count("*").alias("size"), F.max("before_size").alias("before_size")).where("size > 1")
+        # a split that leaves most of a bucket together parts near copies, and would go on so
+        whole = (F.col("size") <= small) | F.coalesce(2 * F.col("size") >= F.col("before_size"), F.lit(False)) | F.lit(level == DEPTH)
+        sizes = written(sizes.withColumn("whole", whole), f"op6-sizes{level}")
+        kept.append(rows.join(sizes.where("whole").select("path", "size"), "path").select("path", "size", "node", "n", "bits1", "bits2"))
+        large = sizes.where("not whole")
         if level < DEPTH and large.isEmpty():
             break
     out = kept[0]
