@@ -33,7 +33,7 @@ class WordTable:
     """Rows that ``compute(words)`` gives, an array of len(words) x width; at most about
     ``limit`` words are remembered, then the memo starts anew. Results never depend on it."""
 
-    def __init__(self, compute: Callable[[list[str]], np.ndarray], limit: int = 1_000_000) -> None:
+    def __init__(self, compute: Callable[[list[str]], np.ndarray], limit: int = 600_000) -> None:
         self.compute, self.limit = compute, limit
         self._clear()
 
