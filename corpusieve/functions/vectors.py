@@ -43,6 +43,16 @@ def online_mean(mean: Column, count: Column, vector: Column) -> Column:
     return F.zip_with(doubles(mean), doubles(vector), lambda m, x: (m * count + x) / (count + 1))
 
 
+def merged_means(df: DataFrame, by: list[str], vector: str) -> DataFrame:
+    """``by``, i and x: where ``online_mean`` ends for each group, without its order.
+
+    Each task folds its rows to a (sum, count) for each group and component, and these are merged.
+    """
+    own = df.select(*by, F.posexplode(doubles(F.col(vector))).alias("i", "_x"))
+    states = own.groupBy(*by, "i").agg(F.sum("_x").alias("_s"), F.count("_x").alias("_n"))
+    return states.select(*by, "i", (F.col("_s") / F.col("_n")).alias("x"))
+
+
 def top_by_cosine(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     """query_id, rank, row_id, similarity: the k rows nearest to each of a few queries.
 

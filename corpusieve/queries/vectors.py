@@ -46,12 +46,8 @@ def label_centroids(spark, d):
 
 
 def online_centroid(spark, d):
-    """The mean of a label's vectors, taken one by one."""
-    own = rows(spark, d).where("vec_id < 200")
-    ordered = own.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda x: V.doubles(x["embedding"])).alias("vs"))
-    start = F.struct(F.lit(0.0).alias("n"), F.transform(F.get("vs", F.lit(0)), lambda x: F.lit(0.0)).alias("m"))
-    step = F.aggregate("vs", start, lambda s, v: F.struct((s["n"] + 1).alias("n"), V.online_mean(s["m"], s["n"], v).alias("m")))
-    return ordered.select("label", F.posexplode(step["m"]).alias("i", "x")).select("label", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))
+    """The mean of a label's vectors, from partial states that are merged."""
+    return V.merged_means(rows(spark, d), ["label"], "embedding").select("label", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))
 
 
 def suggest_related(spark, d):
@@ -74,7 +70,7 @@ ORACLES = {
     "semantic_hits": f"""WITH v AS ({_V}), s AS (SELECT k.vec_id AS keyword_id, v.vec_id AS row_id, list_inner_product(k.e, v.e) / (k.n * v.n) AS s FROM v, v k WHERE k.vec_id < 40)
         SELECT row_id, keyword_id, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY s DESC, keyword_id) AS r FROM s WHERE s >= 0.3) WHERE r <= 30""",
     "label_centroids": """SELECT label, count(*) AS n, i - 1 AS i, round(avg(x), 6) AS x FROM (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY label, i""",
-    "online_centroid": """SELECT label, i - 1 AS i, round(avg(x), 6) AS x FROM (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings WHERE vec_id < 200) GROUP BY label, i""",
+    "online_centroid": """SELECT label, i - 1 AS i, round(avg(x), 6) AS x FROM (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY label, i""",
     "suggest_related": f"""WITH v AS (SELECT * FROM ({_V}) WHERE vec_id < 20), s AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_inner_product(a.e, b.e) / (a.n * b.n), 6) AS similarity FROM v a, v b WHERE a.vec_id <> b.vec_id)
         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) AS place FROM s) WHERE place <= 5""",
 }
