@@ -53,28 +53,35 @@ def url_last_known(spark, d):
     return state.latest_known(own, "url", ["ts", "event_id"], ["status", "k"])
 
 
-def _state(spark, d) -> DataFrame:
-    own = state.latest(log(spark, d).where("event_id % 2 = 0"), "url", "ts", "event_id")
+def _state(attempts: DataFrame) -> DataFrame:
+    own = state.latest(attempts, "url", "ts", "event_id")
     return own.select("url", "status", F.col("ts").alias("discovered_at"), F.when(F.col("event_id") % 4 == 0, "p").alias("local_path"), F.when(F.col("event_id") % 3 != 0, "s").alias("sha256"))
 
 
+def _even(spark, d) -> DataFrame:
+    """The state that the upserts start from: even events; odd ones are what comes in."""
+    return _state(log(spark, d).where("event_id % 2 = 0"))
+
+
 _LAST = "SELECT *, row_number() OVER (PARTITION BY url ORDER BY ts DESC, event_id DESC) AS rn FROM ({}) WHERE event_id % 2 = {}"
-_STATE = f"SELECT url, status, ts AS discovered_at, CASE WHEN event_id % 4 = 0 THEN 'p' END AS local_path, CASE WHEN event_id % 3 <> 0 THEN 's' END AS sha256 FROM ({_LAST.format(_LOG, 0)}) WHERE rn = 1"
+_STATE_OF = "SELECT url, status, ts AS discovered_at, CASE WHEN event_id % 4 = 0 THEN 'p' END AS local_path, CASE WHEN event_id % 3 <> 0 THEN 's' END AS sha256 FROM ({}) WHERE rn = 1"
+_EVEN = _STATE_OF.format(_LAST.format(_LOG, 0))
+_STATE = _STATE_OF.format(f"SELECT *, row_number() OVER (PARTITION BY url ORDER BY ts DESC, event_id DESC) AS rn FROM ({_LOG})")
 _NEW = f"SELECT url, 'queued' AS status, ts AS discovered_at FROM ({_LAST.format(_LOG, 1)}) WHERE rn = 1"
 
 
 def url_upsert_preserve_done(spark, d):
     new = state.latest(log(spark, d).where("event_id % 2 = 1"), "url", "ts", "event_id").select("url", F.lit("queued").alias("status"), F.col("ts").alias("discovered_at"))
-    return state.upsert_urls(_state(spark, d), new)
+    return state.upsert_urls(_even(spark, d), new)
 
 
 def url_upsert_overwrite(spark, d):
     new = state.latest(log(spark, d).where("event_id % 2 = 1"), "url", "ts", "event_id").select("url", F.lit("queued").alias("status"), F.col("ts").alias("discovered_at"))
-    return state.upsert_urls(_state(spark, d), new, preserve_done=False)
+    return state.upsert_urls(_even(spark, d), new, preserve_done=False)
 
 
 def clear_pending(spark, d):
-    return state.clear_pending(_state(spark, d)).groupBy("status").agg(F.count("*").alias("n"))
+    return state.clear_pending(_state(log(spark, d))).groupBy("status").agg(F.count("*").alias("n"))
 
 
 def review_latest(spark, d):
@@ -82,7 +89,7 @@ def review_latest(spark, d):
 
 
 def pending_queue(spark, d):
-    return state.pending(_state(spark, d), F.lower("url").endswith(".pdf")).select("url", "status", "discovered_at")
+    return state.pending(_state(log(spark, d)), F.lower("url").endswith(".pdf")).select("url", "status", "discovered_at")
 
 
 def diag_status_counts(spark, d):
@@ -91,7 +98,7 @@ def diag_status_counts(spark, d):
 
 def diag_done_detail(spark, d):
     done = F.col("status") == "done"
-    return _state(spark, d).agg(F.sum(done.cast("long")).alias("done"), F.sum((done & F.col("local_path").isNull()).cast("long")).alias("done_no_path"), F.sum((done & F.col("sha256").isNull()).cast("long")).alias("done_no_sha"))
+    return _state(log(spark, d)).agg(F.sum(done.cast("long")).alias("done"), F.sum((done & F.col("local_path").isNull()).cast("long")).alias("done_no_path"), F.sum((done & F.col("sha256").isNull()).cast("long")).alias("done_no_sha"))
 
 
 def url_penalty_fold(spark, d):
@@ -167,8 +174,8 @@ ORACLES = {
     "url_latest_state": f"SELECT url, status, event_id, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY ts DESC, event_id DESC) AS rn FROM ({_LOG})) WHERE rn = 1",
     "url_last_known": f"SELECT url, max_by(status, (ts, event_id)) AS status, max_by(k, (ts, event_id)) FILTER (WHERE k % 2 = 0) AS k FROM ({_LOG}) GROUP BY url",
     "url_upsert_preserve_done": f"""SELECT url, CASE WHEN n.status IS NULL THEN s.status WHEN s.status = 'done' AND (lower(url) NOT LIKE '%.pdf' OR (s.local_path IS NOT NULL AND s.sha256 IS NOT NULL)) THEN 'done' ELSE n.status END AS status,
-        coalesce(s.discovered_at, n.discovered_at) AS discovered_at, local_path, sha256 FROM ({_STATE}) s FULL JOIN ({_NEW}) n USING (url)""",
-    "url_upsert_overwrite": f"SELECT url, coalesce(n.status, s.status) AS status, coalesce(n.discovered_at, s.discovered_at) AS discovered_at, local_path, sha256 FROM ({_STATE}) s FULL JOIN ({_NEW}) n USING (url)",
+        coalesce(s.discovered_at, n.discovered_at) AS discovered_at, local_path, sha256 FROM ({_EVEN}) s FULL JOIN ({_NEW}) n USING (url)""",
+    "url_upsert_overwrite": f"SELECT url, coalesce(n.status, s.status) AS status, coalesce(n.discovered_at, s.discovered_at) AS discovered_at, local_path, sha256 FROM ({_EVEN}) s FULL JOIN ({_NEW}) n USING (url)",
     "clear_pending": f"SELECT CASE WHEN status IN ('queued', 'retry', 'processing') THEN 'abandoned' ELSE status END AS status, count(*) AS n FROM ({_STATE}) GROUP BY 1",
     "review_latest": f"SELECT doc_id, label AS status FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ts DESC, seq DESC) AS rn FROM ({_REVIEWS})) WHERE rn = 1 AND label <> 'new'",
     "pending_queue": f"SELECT url, status, discovered_at FROM ({_STATE}) WHERE status IN ('queued', 'retry') ORDER BY (lower(url) LIKE '%.pdf')::INT, discovered_at, url LIMIT 400",

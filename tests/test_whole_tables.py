@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusieve.functions import vectors as V
-from corpusieve.queries import ORACLES, QUERIES
+from corpusieve.queries import QUERIES
 
 
 def test_online_centroid_equals_the_walk_over_all_vectors(spark, tmp_path):
@@ -19,3 +19,22 @@ def test_online_centroid_equals_the_walk_over_all_vectors(spark, tmp_path):
     walk = F.aggregate("vs", start, lambda s, v: F.struct((s["n"] + 1).alias("n"), V.online_mean(s["m"], s["n"], v).alias("m")))
     want = {(r.label, i): x for r in ordered.select("label", walk["m"].alias("m")).collect() for i, x in enumerate(r.m)}
     assert got == pytest.approx(want, abs=1e-6)
+
+
+def test_state_queries_read_even_and_odd_events(spark, tmp_path):
+    import datetime
+
+    at = lambda n: datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=n)
+    rows = [
+        (2, at(0), 1, "signup", 1.0, "{}"),
+        (3, at(1), 1, "signup", 1.0, "{}"),  # the last of its URL is odd
+        (4, at(2), 2, "signup", 1.0, "{}"),
+        (5, at(3), 4, "view", 1.0, "{}"),  # only an odd event
+        (7, at(4), 5, "error", 1.0, "{}"),
+        (6, at(5), 5, "view", 1.0, "{}"),
+    ]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    of = lambda name: QUERIES[name](spark, str(tmp_path)).collect()
+    assert {r.status: r.n for r in of("clear_pending")} == {"done": 2, "abandoned": 3}
+    assert [r.url for r in of("pending_queue")] == ["view:4", "error:5", "view:5"]
+    assert [tuple(r) for r in of("diag_done_detail")] == [(2, 1, 1)]
