@@ -51,10 +51,10 @@ def online_centroid(spark, d):
 
 
 def suggest_related(spark, d):
-    """For the first twenty vectors as keywords, the five nearest other ones of the list."""
-    few = rows(spark, d).where("vec_id < 20").select("vec_id", "embedding", V.norm(F.col("embedding")).alias("n"))
-    a, b = few.select(F.col("vec_id").alias("a"), F.col("embedding").alias("x"), F.col("n").alias("xn")), few.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y"), F.col("n").alias("yn"))
-    met = a.join(F.broadcast(b), F.col("a") != F.col("b")).select("a", "b", F.round(V.cosine(F.col("x"), F.col("xn"), F.col("y"), F.col("yn")), 6).alias("similarity"))
+    """For the first twenty vectors as keywords, the five nearest other ones of all rows."""
+    own = rows(spark, d).select("vec_id", "embedding", V.norm(F.col("embedding")).alias("n"))
+    a, b = own.where("vec_id < 20").select(F.col("vec_id").alias("a"), F.col("embedding").alias("x"), F.col("n").alias("xn")), own.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y"), F.col("n").alias("yn"))
+    met = b.join(F.broadcast(a), F.col("a") != F.col("b")).select("a", "b", F.round(V.cosine(F.col("x"), F.col("xn"), F.col("y"), F.col("yn")), 6).alias("similarity"))  # twenty rows
     place = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), "b"))
     return met.withColumn("place", place.cast("long")).where("place <= 5")
 
@@ -71,6 +71,6 @@ ORACLES = {
         SELECT row_id, keyword_id, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY s DESC, keyword_id) AS r FROM s WHERE s >= 0.3) WHERE r <= 30""",
     "label_centroids": """SELECT label, count(*) AS n, i - 1 AS i, round(avg(x), 6) AS x FROM (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY label, i""",
     "online_centroid": """SELECT label, i - 1 AS i, round(avg(x), 6) AS x FROM (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY label, i""",
-    "suggest_related": f"""WITH v AS (SELECT * FROM ({_V}) WHERE vec_id < 20), s AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_inner_product(a.e, b.e) / (a.n * b.n), 6) AS similarity FROM v a, v b WHERE a.vec_id <> b.vec_id)
+    "suggest_related": f"""WITH v AS ({_V}), s AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_inner_product(a.e, b.e) / (a.n * b.n), 6) AS similarity FROM v a, v b WHERE a.vec_id < 20 AND a.vec_id <> b.vec_id)
         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) AS place FROM s) WHERE place <= 5""",
 }

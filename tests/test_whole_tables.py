@@ -38,3 +38,11 @@ def test_state_queries_read_even_and_odd_events(spark, tmp_path):
     assert {r.status: r.n for r in of("clear_pending")} == {"done": 2, "abandoned": 3}
     assert [r.url for r in of("pending_queue")] == ["view:4", "error:5", "view:5"]
     assert [tuple(r) for r in of("diag_done_detail")] == [(2, 1, 1)]
+
+
+def test_suggest_related_takes_candidates_from_all_rows(spark, tmp_path):
+    rows = [(i, [1.0, float(i)], 0) for i in range(20)] + [(500 + i, [1.0, 3 + i / 1000], 0) for i in range(6)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = QUERIES["suggest_related"](spark, str(tmp_path)).collect()
+    assert [r.b for r in sorted(found, key=lambda r: r.place) if r.a == 3] == [500, 501, 502, 503, 504]
+    assert {r.a for r in found} == set(range(20))  # the stated keywords only
