@@ -28,12 +28,22 @@ def _where(docs: DataFrame, value: Column, test: Callable[[Column], Column]) ->
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in a learned language; where none can be learned, all."""
+    """Keeps documents in a learned language, whose code lengths are not far above those of its
+    training texts; where none can be learned, all."""
     bound_batches(spark)
-    model = langid.learn(docs)
+    texts = langid.training_texts(docs)
+    model = langid.train(texts)
     if not model.languages:
         return docs
-    return _where(docs, langid.predict(F.col("text"), model), lambda p: (p["lang_pred"] != langid.UNDETERMINED) & (p["score"] >= LANGUAGE_SURE))
+    bounds = langid.most_bits(texts)
+
+    def known(p: Column) -> Column:
+        bound = F.lit(float("inf"))
+        for name, bits in bounds.items():
+            bound = F.when(p["lang_pred"] == name, bits).otherwise(bound)
+        return (p["lang_pred"] != langid.UNDETERMINED) & (p["score"] >= LANGUAGE_SURE) & (p["bits"] <= bound)
+
+    return _where(docs, langid.predict(F.col("text"), model), known)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

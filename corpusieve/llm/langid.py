@@ -14,6 +14,7 @@ sum over its words, each of which is coded once in a worker.
 from __future__ import annotations
 
 import string
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,6 +34,8 @@ ORDER = 4
 PER_LANGUAGE = 400
 SAMPLE = 4000
 UNDETERMINED = "und"
+#: A text is in no learned language if a byte takes more than so many times the usual bits.
+FAR = 2.5
 _AROUND = string.punctuation + string.digits + "«»“”„‘’‚¿¡…–—·•°§€£"
 _TAG, _LOW = np.uint64(56), np.uint64((1 << 56) - 1)
 
@@ -211,17 +214,40 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, sample: int = SAMPLE) -> Model:
-    """Statistics from docs(doc_id, text, lang): at most ``per_language`` documents of each
-    language and ``sample`` in all, by the hash of doc_id, none held out, none with a null in one
-    of the three. Of rows that share doc_id and lang one text is taken."""
+def training_texts(docs: DataFrame, per_language: int = PER_LANGUAGE, sample: int = SAMPLE) -> dict[str, list[str]]:
+    """Texts of each language from docs(doc_id, text, lang): at most ``per_language`` documents of
+    each language and ``sample`` in all, by the hash of doc_id, none held out, none with a null in
+    one of the three. Of rows that share doc_id and lang one text is taken."""
     known = docs.where("doc_id is not null and lang is not null").where(~held_out(F.col("doc_id"))).select("doc_id", "lang")
     ids = sampled_by(known.distinct(), "lang", per_language, sample, "doc_id")
     rows = docs.where("text is not null").select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()
+    rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id))
     texts: dict[str, list[str]] = {}
     for r in rows:
         texts.setdefault(r.lang, []).append(r.text)
-    return train(texts)
+    return texts
+
+
+def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, sample: int = SAMPLE) -> Model:
+    """Statistics from the training texts of ``docs``."""
+    return train(training_texts(docs, per_language, sample))
+
+
+def most_bits(texts: dict[str, list[str]], order: int = ORDER) -> dict[str, float]:
+    """For each language the bits a byte above which a text is taken to be in no learned one.
+
+    Texts are coded by what the other half of them taught, since a model knows its own texts too
+    well. The bound is ``FAR`` times the median of a language's texts, which texts with other
+    things in them don't move; a language that no text was found to be in has none.
+    """
+    found: dict[str, list[float]] = {}
+    for k in (0, 1):
+        guess = train({language: own[k::2] for language, own in texts.items()}, order).predictor()
+        for own in texts.values():
+            for language, _, bits in guess(own[1 - k :: 2]):
+                if language != UNDETERMINED:
+                    found.setdefault(language, []).append(bits)
+    return {language: FAR * float(np.median(bits)) for language, bits in sorted(found.items())}
 
 
 def predict(text: Column, model: Model) -> Column:

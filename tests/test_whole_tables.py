@@ -5,8 +5,11 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from corpusieve.functions import vectors as V
+from corpusieve.llm import langid
 from corpusieve.queries import QUERIES
+from corpusieve.runtime import table
 
 
 def test_online_centroid_equals_the_walk_over_all_vectors(spark, tmp_path):
@@ -46,3 +49,20 @@ def test_suggest_related_takes_candidates_from_all_rows(spark, tmp_path):
     found = QUERIES["suggest_related"](spark, str(tmp_path)).collect()
     assert [r.b for r in sorted(found, key=lambda r: r.place) if r.a == 3] == [500, 501, 502, 503, 504]
     assert {r.a for r in found} == set(range(20))  # the stated keywords only
+
+
+def test_language_stage_rejects_foreign_texts_and_letter_soup(spark, sf_dir):
+    import random
+
+    docs, dice = table(spark, sf_dir, "documents"), random.Random(1)
+    odd = [
+        "nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura che la diritta via era smarrita",
+        "litwo ojczyzno moja ty jesteś jak zdrowie ile cię trzeba cenić ten tylko się dowie kto cię stracił",
+        "мой дядя самых честных правил когда не в шутку занемог он уважать себя заставил",
+        *["".join(dice.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(400)) for _ in range(5)],
+    ]
+    more = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(odd)], "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, docs.unionByName(more, allowMissingColumns=True), sf_dir).select("doc_id").collect()}
+    clean = {r.doc_id for r in docs.where(langid.held_out(F.col("doc_id"))).select("doc_id").collect()}
+    assert clean and clean <= kept
+    assert not [i for i in kept if i < 0]
