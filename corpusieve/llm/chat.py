@@ -101,13 +101,14 @@ def format_conversations(rows: DataFrame, template: Template | None = None) -> D
 
 def read_back(formatted: DataFrame, template: Template | None = None) -> DataFrame:
     """conv_id, turns (array of role and text) parsed from ``formatted`` alone, and learned, the
-    unescaped texts under the loss flag, of what ``format_conversations`` made."""
+    unescaped texts under the loss flag, of what ``format_conversations`` made; its formatted, state
+    and well_formed stay."""
     t = template or Template()
     pattern = _quoted(t.before_role) + "([^>]*)" + _quoted(t.after_role) + "([^<]*)" + _quoted(t.close)
     found = F.arrays_zip(F.regexp_extract_all("formatted", F.lit(pattern), 1).alias("role"), F.regexp_extract_all("formatted", F.lit(pattern), 2).alias("text"))
     turns = F.transform(found, lambda x: F.struct(_unescape_role(x["role"]).alias("role"), unescape(x["text"]).alias("text")))
     learned = F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"]))
-    return formatted.select("conv_id", turns.alias("turns"), learned.alias("learned"), "formatted")
+    return formatted.select("conv_id", turns.alias("turns"), learned.alias("learned"), "formatted", "state", "well_formed")
 
 
 def digest(back: DataFrame) -> DataFrame:
@@ -120,6 +121,8 @@ def digest(back: DataFrame) -> DataFrame:
         F.length(loss).cast("long").alias("loss_chars"),
         F.sha2(loss, 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        "state",
+        "well_formed",
     )
 
 
@@ -143,10 +146,13 @@ WITH rows AS (
          string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn ASC NULLS LAST, role, text) AS every,
          coalesce(string_agg(text, '' ORDER BY turn ASC NULLS LAST, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
          sum(length('<turn:' || replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '>')
-             + length(replace(replace(text, '&', '&amp;'), '<', '&lt;')) + length('</turn>')) AS chars
+             + length(replace(replace(text, '&', '&amp;'), '<', '&lt;')) + length('</turn>')) AS chars,
+         string_agg(CASE role WHEN 'system' THEN 's' WHEN 'user' THEN 'u' WHEN 'assistant' THEN 'a' ELSE 'x' END, '' ORDER BY turn ASC NULLS LAST, role, text) AS roles
   FROM rows GROUP BY conv_id
 )
 SELECT conv_id, n_turns, sha256(every) AS turns_sha256, length(loss)::BIGINT AS loss_chars,
-       sha256(loss) AS loss_sha256, chars::BIGINT AS formatted_chars
+       sha256(loss) AS loss_sha256, chars::BIGINT AS formatted_chars,
+       CASE WHEN roles = 's' THEN 'ready' WHEN regexp_full_match(roles, 's?(ua)*u') THEN 'asked' WHEN regexp_full_match(roles, 's?(ua)+') THEN 'answered' END AS state,
+       regexp_full_match(roles, 's?(ua)+') AS well_formed
 FROM joined
 """

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from corpusieve.functions import vectors as V
-from corpusieve.llm import langid
+from corpusieve.llm import chat, langid
 from corpusieve.queries import QUERIES
 from corpusieve.runtime import table
 
@@ -66,3 +66,12 @@ def test_language_stage_rejects_foreign_texts_and_letter_soup(spark, sf_dir):
     clean = {r.doc_id for r in docs.where(langid.held_out(F.col("doc_id"))).select("doc_id").collect()}
     assert clean and clean <= kept
     assert not [i for i in kept if i < 0]
+
+
+def test_op7_reports_how_conversations_are_ordered(spark, tmp_path):
+    orders = [["user", "assistant"], ["system"], ["system", "user"], ["assistant", "user"], ["user", "user", "assistant"], ["user", "assistant", "system"]]
+    rows = [(k, i, role, "t") for k, own in enumerate(orders) for i, role in enumerate(own)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: (r.state, r.well_formed) for r in chat.op7_query(spark, str(tmp_path)).collect()}
+    want = [("answered", True), ("ready", False), ("asked", False), (None, False), (None, False), (None, False)]
+    assert got == {**dict(enumerate(want)), chat.PROBE_ID: ("answered", True)}
