@@ -134,7 +134,7 @@ def best_of_block(ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, query
     """query_id, ids and exact scores of each query's ``nearest`` of a block.
 
     Equal vectors are scanned once, and of each only the smallest ids stand for it, as many as an
-    answer can hold: so no number of copies can crowd out another vector.
+    answer can hold besides the query's own rows: so no number of copies can crowd out another vector.
     """
     order = np.argsort(ids, kind="stable")
     ids, vectors, codes = ids[order], vectors[order], codes[order]
@@ -143,21 +143,23 @@ def best_of_block(ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, query
     starts = np.r_[0, np.cumsum(np.bincount(group))]
     distinct, columns = vectors[first], np.ascontiguousarray(codes[first].T)
     for query_id, query, own in zip(query_ids, queries, tables, strict=True):
+        # rows of the query's own id are left out below, so there must be places for as many more
+        most = nearest + int(np.searchsorted(ids, query_id, "right") - np.searchsorted(ids, query_id))
         likely = scan(columns, own)
         least = np.partition(likely, -rerank)[-rerank] if len(likely) > rerank else -np.inf
         top = np.flatnonzero(likely >= least)  # all that tie with the last: codes can't tell them apart
         exact = (distinct[top] * query).sum(1)
         if len(top) < len(likely):
             # what was left out may still belong here if its sum erred as much as any seen so far
-            holds = np.minimum(starts[top + 1] - starts[top], nearest + 1)
+            holds = np.minimum(starts[top + 1] - starts[top], most)
             by_score = np.argsort(-exact)
-            enough = by_score[min(np.searchsorted(np.cumsum(holds[by_score]), nearest + 1), len(top) - 1)]
+            enough = by_score[min(np.searchsorted(np.cumsum(holds[by_score]), most), len(top) - 1)]
             reach = exact[enough] - max(0.0, float((exact - likely[top]).max()))
             if reach < least:
                 more = np.flatnonzero((likely < least) & (likely >= reach))
                 top, exact = np.r_[top, more], np.r_[exact, (distinct[more] * query).sum(1)]
-        rows = np.concatenate([members[starts[g] : min(starts[g + 1], starts[g] + nearest + 1)] for g in top])
-        scores = np.repeat(exact, np.minimum(starts[top + 1] - starts[top], nearest + 1))
+        rows = np.concatenate([members[starts[g] : min(starts[g + 1], starts[g] + most)] for g in top])
+        scores = np.repeat(exact, np.minimum(starts[top + 1] - starts[top], most))
         keep = ids[rows] != query_id
         rows, scores = rows[keep], scores[keep]
         best = np.lexsort((ids[rows], -scores))[:nearest]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from corpusieve.functions import vectors as V
-from corpusieve.llm import chat, langid
+from corpusieve.llm import anisotropic, chat, langid
 from corpusieve.queries import QUERIES
 from corpusieve.runtime import table
 
@@ -75,3 +75,10 @@ def test_op7_reports_how_conversations_are_ordered(spark, tmp_path):
     got = {r.conv_id: (r.state, r.well_formed) for r in chat.op7_query(spark, str(tmp_path)).collect()}
     want = [("answered", True), ("ready", False), ("asked", False), (None, False), (None, False), (None, False)]
     assert got == {**dict(enumerate(want)), chat.PROBE_ID: ("answered", True)}
+
+
+def test_nearest_keeps_ties_beside_repeated_rows_of_the_query(spark):
+    rows = [(0, [1.0, 0.5])] * 6 + [(i, [1.0, 0.5]) for i in range(1, 31)] + [(100 + i, [0.5, 0.5]) for i in range(1, 20)]
+    own = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted((r.rank, r.vec_id) for r in anisotropic.search(own).collect() if r.query_id == 0)
+    assert [v for _, v in got] == list(range(1, 21))
