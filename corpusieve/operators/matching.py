@@ -19,7 +19,7 @@ from corpusieve.plans.patterns import Pattern
 
 #: After this many hits of a document each further literal or regex adds one at most.
 SOFT_CAP = 200
-FUZZY_LEAST, FUZZY_KEYWORDS, FUZZY_SENTENCES, FUZZY_SNIPPET = 0.92, 200, 1500, 350
+FUZZY_LEAST, FUZZY_KEYWORDS, FUZZY_SNIPPET = 0.92, 200, 350
 _NONE = "array<struct<method:string,pattern:string,pattern_order:int,hit:int,start:int,score:double,snippet:string>>"
 _WILD_WORDS = r"(?U)\b[\w\-']+\b"
 
@@ -148,7 +148,7 @@ def fuzzy_hits(docs: DataFrame, keywords: list[str], least: float = FUZZY_LEAST)
         for batch in batches:
             rows = []
             for doc_id, pieces in zip(batch["doc_id"], batch["sentences"], strict=True):
-                parts = [(s, s.lower(), set(s.lower().split())) for s in pieces[:FUZZY_SENTENCES]]
+                parts = [(s, s.lower(), set(s.lower().split())) for s in pieces]
                 for keyword, low, own in lowered:
                     best, shown = 0.0, ""
                     for s, low_s, has in parts:
@@ -166,7 +166,7 @@ def fuzzy_hits(docs: DataFrame, keywords: list[str], least: float = FUZZY_LEAST)
 
 def fuzzy_subset_hits(docs: DataFrame, keywords: list[str]) -> DataFrame:
     """The fuzzy hits with score 1: some sentence has all words of the keyword. No Python."""
-    sets = F.transform(F.slice(sentences(F.coalesce("text", F.lit(""))), 1, FUZZY_SENTENCES), lambda s: F.split(F.lower(s), r"\s+", -1))
+    sets = F.transform(sentences(F.coalesce("text", F.lit(""))), lambda s: F.split(F.lower(s), r"\s+", -1))
     own = docs.select("doc_id", sets.alias("sets"))
 
     def has_all(keyword: str) -> Column:

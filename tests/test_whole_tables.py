@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from corpusieve.functions import vectors as V
 from corpusieve.llm import anisotropic, chat, langid
+from corpusieve.operators import matching
 from corpusieve.queries import QUERIES
 from corpusieve.runtime import table
 
@@ -82,3 +83,9 @@ def test_nearest_keeps_ties_beside_repeated_rows_of_the_query(spark):
     own = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = sorted((r.rank, r.vec_id) for r in anisotropic.search(own).collect() if r.query_id == 0)
     assert [v for _, v in got] == list(range(1, 21))
+
+
+def test_fuzzy_searches_every_sentence(spark):
+    docs = spark.createDataFrame([(0, "filler words here. " * 1600 + "the black book")], "doc_id long, text string")
+    assert [(r.pattern, r.score, r.snippet) for r in matching.fuzzy_hits(docs, ["black book"]).collect()] == [("black book", 1.0, "the black book")]
+    assert [(r.pattern, r.score) for r in matching.fuzzy_subset_hits(docs, ["black book"]).collect()] == [("black book", 1.0)]
