@@ -12,12 +12,15 @@ group of likely partners. Sets that are connected so, by any bucket, are then co
 one another, each pair once, in blocks; so a pair is found wherever other pairs connect it too.
 Partners are counted where they are compared: the pairs themselves are never rows.
 
-Equal sets are one class from the start and are counted by weight.
+Equal sets are one class from the start and are counted by weight. Most paths belong to one set
+alone; a bitmap of those that two sets share drops all other rows where they are read, so that only
+the rest is shuffled with what is needed for comparisons.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from corpusieve.llm.components import components
 from corpusieve.llm.shingles import SIMILARITY, WORDS, OnePermutation, Shingler, mixed, odd_numbers
-from corpusieve.runtime import bound_batches, table, written
+from corpusieve.runtime import bound_batches, discard, table, written
 
 RECALL = 0.99
 DEPTH = 3
@@ -94,8 +97,9 @@ class Signer:
         return out
 
 
-def key_of(x: np.ndarray) -> str:
-    return xxhash.xxh3_128_hexdigest(x.tobytes())
+def key_of(x: np.ndarray) -> bytes:
+    """16 bytes that stand for a set, equal for equal sets."""
+    return xxhash.xxh3_128_digest(x.tobytes())
 
 
 _LEVELS = ", ".join(f"path{k} array<long>, before{k} array<long>" for k in range(1, DEPTH + 1))
@@ -110,37 +114,54 @@ def _signed(docs: DataFrame, words: int, threshold: float, runs: int) -> DataFra
                 x = signer.shingles(text)
                 a, b = signer.sketch(x)
                 rows.append((key_of(x), len(x), a, b, *(p.view(np.int64) for pair in signer.paths(x) for p in pair)))
-            names = ["set_key", "n", "bits1", "bits2", *(x.split()[0] for x in _LEVELS.split(", "))]
+            names = ["node", "n", "bits1", "bits2", *(x.split()[0] for x in _LEVELS.split(", "))]
             out = pd.DataFrame(rows, columns=names)
             out.insert(0, "text_hash", batch["text_hash"].to_numpy())
             out.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy())
             yield out
 
-    return docs.mapInPandas(task, f"doc_id long, text_hash long, set_key string, n int, bits1 long, bits2 long, {_LEVELS}")
+    return docs.mapInPandas(task, f"doc_id long, text_hash long, node binary, n int, bits1 long, bits2 long, {_LEVELS}")
 
 
-def _buckets(sets: DataFrame, small: int) -> DataFrame:
-    """path, size and node, n, bits1, bits2 of every bucket that needs no further split."""
-    kept, large = [], None
+def _paths(signed: DataFrame, level: int) -> DataFrame:
+    """node, n, bits1, bits2, path and before (none at the first level) of all rows with words."""
+    arrays = [F.col(f"path{level}").alias("path"), *([F.col(f"before{level}").alias("before")] if level > 1 else [])]
+    return signed.where("n > 0").select("node", "n", "bits1", "bits2", F.inline(F.arrays_zip(*arrays)))
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """path of those that two sets have. Sets are told apart by 32 bits of their keys, which miss one
+    pair in four thousand million; what is shuffled is a path and two numbers."""
+    tag = F.hash("node")
+    return rows.select("path", tag.alias("tag")).groupBy("path").agg(F.min("tag").alias("a"), F.max("tag").alias("b")).where("a <> b").select("path")
+
+
+def _buckets(signed: DataFrame, small: int) -> tuple[DataFrame, list[DataFrame]]:
+    """path, size and node, n, bits1, bits2 of every bucket that needs no further split, and the
+    tables that they are read from."""
+    kept, made, large = [], [], None
     for level in range(1, DEPTH + 1):
-        zipped = F.arrays_zip(F.col(f"path{level}").alias("path"), F.col(f"before{level}").alias("before")) if level > 1 else F.transform("path1", lambda p: F.struct(p.alias("path")))
-        rows = sets.select("node", "n", "bits1", "bits2", F.inline(zipped))
+        rows = _paths(signed, level)
         if large is None:
-            rows = rows.withColumn("before_size", F.lit(None).cast("long"))
+            rows = _perhaps_among(rows, "path", _shared(rows)).withColumn("before_size", F.lit(None).cast("long"))
         else:
-            rows = rows.join(large.select(F.col("path").alias("before"), F.col("size").alias("before_size")), "before").drop("before").dropDuplicates(["path", "node"])
-        sizes = rows.groupBy("path").agg(F.count("*").alias("size"), F.max("before_size").alias("before_size")).where("size > 1")
+            split = large.select(F.col("path").alias("before"), F.col("size").alias("before_size"))
+            rows = _perhaps_among(rows, "before", split).join(split, "before")
+        once = rows.groupBy("path", "node").agg(*[F.min(c).alias(c) for c in ("n", "bits1", "bits2", "before_size")])
+        once = written(once, f"op6-paths{level}")
+        sizes = once.groupBy("path").agg(F.count("*").alias("size"), F.max("before_size").alias("before_size")).where("size > 1")
         # a split that leaves most of a bucket together parts near copies, and would go on so
         whole = (F.col("size") <= small) | F.coalesce(2 * F.col("size") >= F.col("before_size"), F.lit(False)) | F.lit(level == DEPTH)
         sizes = written(sizes.withColumn("whole", whole), f"op6-sizes{level}")
-        kept.append(rows.join(sizes.where("whole").select("path", "size"), "path").select("path", "size", "node", "n", "bits1", "bits2"))
+        made += [once, sizes]
+        kept.append(once.drop("before_size").join(sizes.where("whole").select("path", "size"), "path"))
         large = sizes.where("not whole")
         if level < DEPTH and large.isEmpty():
             break
     out = kept[0]
     for more in kept[1:]:
         out = out.unionByName(more)
-    return out
+    return out, made
 
 
 def _in_blocks(rows: DataFrame, blocks: str) -> DataFrame:
@@ -230,7 +251,7 @@ def _connected(buckets: DataFrame, threshold: float) -> DataFrame:
     keys = ["path", "i", "j"]
     dealt = _in_blocks(buckets, f"ceil(size / {BLOCK})").select(*keys, "block", "node", "n", "bits1", "bits2")
     n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(n, *keys).sortWithinPartitions(*keys, "block").mapInPandas(task, "a long, b long")
+    return dealt.repartition(n, *keys).sortWithinPartitions(*keys, "block").mapInPandas(task, "a binary, b binary")
 
 
 def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -296,34 +317,37 @@ def _compared(groups: DataFrame, docs: DataFrame, words: int, threshold: float)
                 yield pd.DataFrame({"node": node, "partner": node[label], "weight": similar @ copies})[linked]
 
     keys = ["root", "i", "j"]
-    # most texts have no likely partner and are dropped before the shuffle
-    texts = _perhaps_among(docs, "text_hash", groups.select("first_hash")).select(F.col("doc_id").alias("first_id"), "text_hash", "text")
+    # most texts have no likely partner and are dropped before the shuffle, as are copies of one that has
+    key = lambda i, h: F.xxhash64(i, h).alias("_key")
+    texts = _perhaps_among(docs.withColumn("_key", key("doc_id", "text_hash")), "_key", groups.select(key("first_id", "first_hash"))).select(F.col("doc_id").alias("first_id"), "text_hash", "text")
     blocks = f"greatest(ceil(members / {BLOCK}), ceil(shingles / {BLOCK_SHINGLES}))"
     dealt = _in_blocks(groups.join(texts, (groups["first_id"].eqNullSafe(texts["first_id"])) & (groups["first_hash"] == texts["text_hash"])).select("root", "members", "shingles", "node", "copies", "text"), blocks)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = dealt.select(*keys, "block", "node", "copies", "text").repartition(n, *keys).sortWithinPartitions(*keys, "block", "node")
-    return ordered.mapInPandas(task, "node long, partner long, weight long")
+    return ordered.mapInPandas(task, "node binary, partner binary, weight long")
 
 
-def _linked(docs: DataFrame, threshold: float, words: int, recall: float, small: int) -> tuple[DataFrame, DataFrame]:
-    """The signed rows, and for each set_key: root (the same for all linked sets), copies, least
-    (of its rows: whether doc_id is null, doc_id, text_hash) and weight (linked rows of other sets)."""
+def _linked(docs: DataFrame, threshold: float, words: int, recall: float, small: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The signed rows; for each node (a set's key) copies, n and least (of its rows: whether doc_id
+    is null, doc_id, text_hash); for each node with links to others root (the same for all that
+    links connect) and weight (linked rows)."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     signed = written(_signed(own, words, threshold, runs_needed(recall)), "op6-signed")
-    firsts = [F.first(c).alias(c) for c in ("n", "bits1", "bits2", *(x.split()[0] for x in _LEVELS.split(", ")))]
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("least")
-    classes = signed.groupBy("set_key").agg(F.count("*").alias("copies"), least, *firsts)
-    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "op6-classes")
+    classes = written(signed.groupBy("node").agg(F.count("*").alias("copies"), F.min("n").alias("n"), least), "op6-classes")
 
-    likely = components(_connected(_buckets(classes.where("n > 0"), small), threshold), "op6-likely")
-    members = likely.join(classes.select("node", "copies", "n", F.col("least.doc_id").alias("first_id"), F.col("least.text_hash").alias("first_hash")), "node")
+    buckets, made = _buckets(signed, small)
+    likely = components(_connected(buckets, threshold), "op6-likely")
+    firsts = classes.select("node", "copies", "n", F.col("least.doc_id").alias("first_id"), F.col("least.text_hash").alias("first_hash"))
+    members = written(likely.join(firsts, "node"), "op6-members")
+    discard(likely, *made)
     sizes = members.groupBy("root").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
     compared = written(_compared(members.join(sizes, "root"), own, words, threshold), "op6-compared")
 
-    links = compared.groupBy("node").agg(F.sum("weight").alias("weight"))
     roots = components(compared.select(F.col("node").alias("a"), F.col("partner").alias("b")), "op6-linked")
-    known = classes.select("set_key", "node", "copies", "least").join(links, "node", "left").join(roots, "node", "left")
-    return signed, known.select("set_key", F.coalesce("root", "node").alias("root"), "copies", "least", F.coalesce("weight", F.lit(0)).alias("weight"))
+    linked = written(roots.join(compared.groupBy("node").agg(F.sum("weight").alias("weight")), "node"), "op6-links")
+    discard(members, compared, roots)
+    return signed, classes, linked
 
 
 def jaccard_join(docs: DataFrame, threshold: float = SIMILARITY, words: int = WORDS, recall: float = RECALL, small: int = SMALL) -> DataFrame:
@@ -335,21 +359,22 @@ def jaccard_join(docs: DataFrame, threshold: float = SIMILARITY, words: int = WO
     shingles. Texts without words (null too) have the same, empty set: they are copies of one
     another and linked with nothing else. Rows that share a doc_id are documents of their own.
     """
-    signed, known = _linked(docs, threshold, words, recall, small)
-    ids = known.groupBy("root").agg(F.min("least.doc_id").alias("class_id"))
-    of_class = known.join(ids, "root").select("set_key", "class_id", F.col("least.doc_id").alias("copy_id"), (F.col("copies") - 1 + F.col("weight")).alias("n_links"))
-    return signed.select("doc_id", "set_key").join(of_class, "set_key").select("doc_id", "class_id", "copy_id", "n_links")
+    signed, classes, linked = _linked(docs, threshold, words, recall, small)
+    ids = linked.join(classes.select("node", "least"), "node").groupBy("root").agg(F.min("least.doc_id").alias("class_id"))
+    own = signed.select("doc_id", "node").join(classes, "node").join(linked.join(ids, "root").select("node", "class_id", "weight"), "node", "left")
+    return own.select("doc_id", F.coalesce("class_id", "least.doc_id").alias("class_id"), F.col("least.doc_id").alias("copy_id"), (F.col("copies") - 1 + F.coalesce("weight", F.lit(0))).alias("n_links"))
 
 
 def keep_one(docs: DataFrame, threshold: float = SIMILARITY, words: int = WORDS, recall: float = RECALL, small: int = SMALL) -> DataFrame:
     """The rows of ``docs``, all columns, of which one of each group of linked documents stays:
     that with the least doc_id (nulls last), of equal ones that with the least hash of the text."""
-    signed, known = _linked(docs, threshold, words, recall, small)
-    stays = known.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("_stays_id"), F.col("least.text_hash").alias("_stays_hash"))
-    times = signed.groupBy("doc_id", "text_hash").agg(F.count("*").alias("_times")).where("_times > 1")
-    again = (F.col("doc_id").eqNullSafe(F.col("_stays_id"))) & (F.col("text_hash") == F.col("_stays_hash"))
-    repeated = written(times.join(stays, again).select("_stays_id", "_stays_hash"), "op6-repeated")
-    same = docs["doc_id"].eqNullSafe(F.col("_stays_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_stays_hash"))
+    signed, classes, linked = _linked(docs, threshold, words, recall, small)
+    known = classes.join(linked, "node", "left").select(F.coalesce("root", "node").alias("root"), "least")
+    i, h, times = (f"_{x}_{uuid.uuid4().hex}" for x in ("id", "hash", "times"))  # names that no column of docs has
+    stays = known.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias(i), F.col("least.text_hash").alias(h))
+    again = signed.groupBy("doc_id", "text_hash").agg(F.count("*").alias(times)).where(F.col(times) > 1)
+    repeated = written(again.join(stays, F.col("doc_id").eqNullSafe(F.col(i)) & (F.col("text_hash") == F.col(h))).select(i, h), "op6-repeated")
+    same = docs["doc_id"].eqNullSafe(F.col(i)) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col(h))
     if repeated.isEmpty():
         return docs.join(stays, same, "left_semi")
     once = docs.join(stays.exceptAll(repeated), same, "left_semi")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusieve.runtime import written
+from corpusieve.runtime import discard, written
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -25,9 +25,12 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         moves.append(written(least, f"{name}-moves"))
         to = moves[-1]
         moved = edges.join(to.select(F.col("node").alias("a"), F.col("root").alias("x")), "a").join(to.select(F.col("node").alias("b"), F.col("root").alias("y")), "b")
-        edges = written(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), f"{name}-edges")
+        before, edges = edges, written(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), f"{name}-edges")
+        discard(before)
     out = moves[0]
     for move in moves[1:]:
         later = move.select(F.col("node").alias("root"), F.col("root").alias("further"))
         out = out.join(later, "root", "left").select("node", F.coalesce("further", "root").alias("root"))
-    return written(out, f"{name}-roots")
+    out = written(out, f"{name}-roots")
+    discard(edges, *moves)
+    return out
