@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusieve.functions.arrays import once, sums_before
+
 #: What counts as part of a word: letters, digits and the underscore, of any script.
 WORD = r"[\p{L}\p{N}_]"
 WORDS = WORD + "+"
@@ -60,14 +62,24 @@ def words(text: Column) -> Column:
     return matches(text, WORDS)
 
 
-def starts_of(text: Column, pattern: str, found: Column) -> Column:
-    """Offsets (from 0, in code points) of all matches of a pattern that never matches nothing:
-    lengths of what lies between them and of the matches before, added up."""
-    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    step = F.zip_with(gaps, F.transform(found, lambda m: F.length(m)), lambda g, m: F.struct(g.alias("gap"), m.alias("size")))
-    walk = F.aggregate(step, zero, lambda s, x: F.struct((s["at"] + x["gap"] + F.coalesce(x["size"], F.lit(0))).alias("at"), F.when(x["size"].isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(s["at"] + x["gap"]))).alias("out")))
-    return walk["out"]
+#: Code points that no text has; where one does, another of its kind stands in while offsets are found.
+_OPEN, _CLOSE, _OTHER = "\ufdd0", "\ufdd1", "\ufdd2"
+
+
+def located(text: Column, pattern: str) -> Column:
+    """All matches that are not empty, as structs of start (from 0, in code points) and match.
+
+    One pass puts a mark on both sides of every match, empty ones too; starts are what the pieces
+    between the marks add up to.
+    """
+    marked = F.regexp_replace(F.translate(text, _OPEN + _CLOSE, _OTHER * 2), pattern, f"{_OPEN}$0{_CLOSE}")
+
+    def of(pieces: Column) -> Column:
+        sizes = F.transform(pieces, lambda p, k: F.length(p) - F.when(k == 0, 0).otherwise(1))
+        both = F.zip_with(pieces, sums_before(sizes), lambda p, at: F.struct(at.alias("start"), F.substring_index(p, _CLOSE, 1).alias("match")))
+        return F.filter(F.slice(both, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), lambda m: m["match"] != "")
+
+    return once(F.split(marked, _OPEN, -1), of)
 
 
 def snippet(text: Column, start: Column, size: Column, context: int = CONTEXT) -> Column:
@@ -101,18 +113,19 @@ def first_line(text: Column) -> Column:
 
 
 def pages(text: Column) -> Column:
-    """The text by page, as structs of page_no (null before the first mark) and text; a mark is
-    [PAGE n], of any case."""
+    """The text by page, as structs of page_no (null before the first mark, and where it is no
+    number of 32 bits) and text; a mark is [PAGE n], of any case."""
     mark = r"(?i)\[PAGE\s+(\d+)\]"
     numbers = F.concat(F.array(F.lit(None).cast("string")), F.regexp_extract_all(text, F.lit(mark), F.lit(1)))
-    return F.zip_with(numbers, F.split(text, mark, -1), lambda n, t: F.struct(F.try_to_number(n, F.lit("999999999")).cast("int").alias("page_no"), t.alias("text")))
+    return F.zip_with(numbers, F.split(text, mark, -1), lambda n, t: F.struct(n.try_cast("int").alias("page_no"), t.alias("text")))
 
 
 def marked_pages(text: Column) -> Column:
-    """As ``pages``, for marks that have a line of their own; what is before the first is dropped."""
+    """As ``pages``, for marks that have a line of their own; what is before the first is dropped, and
+    so are pages whose number has more than 32 bits."""
     mark = r"(?m)^\s*\[PAGE (\d+)\]\s*$"
     numbers = F.concat(F.array(F.lit(None).cast("string")), F.regexp_extract_all(text, F.lit(mark), F.lit(1)))
-    both = F.zip_with(numbers, F.split(text, mark, -1), lambda n, t: F.struct(n.cast("int").alias("page_no"), t.alias("text")))
+    both = F.zip_with(numbers, F.split(text, mark, -1), lambda n, t: F.struct(n.try_cast("int").alias("page_no"), t.alias("text")))
     return F.filter(both, lambda p: p["page_no"].isNotNull())
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from corpusieve.functions.text import matches, pages, starts_of
+from corpusieve.functions.text import located, pages
 
 #: Entity patterns (fixed values, in Java's dialect).
 PATTERNS = {
@@ -20,7 +20,9 @@ PATTERNS = {
 }
 #: A text without these has no such entity; it is cheaper to see than the pattern.
 _SCREEN = {"EMAIL": "@", "URL": "://", "PHONE": None, "SSN": "-"}
+#: What is cut from both ends of a mention, and forms of address that a person's name goes without (fixed values).
 _EDGES = " \t\r\n\"'`.,;:()[]{}<>"
+_ADDRESS = r"^(mr|mrs|ms|miss|dr|prof|sir|madam)\.?\s+"
 
 
 @F.pandas_udf(StringType())
@@ -35,31 +37,32 @@ def canonical(text: Column, label: Column, normalise: bool = False) -> Column:
     t = F.regexp_replace(F.regexp_replace(t, r"^\s+|\s+$", ""), r"\s+", " ")
     low = F.lower(F.btrim(t, F.lit(_EDGES)))
     kind = F.upper(label)
-    person = F.trim(F.regexp_replace(low, r"^(mr|mrs|ms|miss|dr|prof|sir|madam)\.?\s+", ""))
+    person = F.trim(F.regexp_replace(low, _ADDRESS, ""))
     low = F.when(kind == "PERSON", person).otherwise(low)
     plain = F.trim(F.regexp_replace(F.regexp_replace(low, r"[^\p{L}\p{N}_\s\-./@]", ""), r"\s+", " "))
     return F.when(kind.isin("EMAIL", "URL"), low).when(kind.isin("PHONE", "SSN"), F.regexp_replace(low, r"\D+", "")).otherwise(plain)
 
 
+def _perhaps(text: Column, label: str) -> Column:
+    """Whether a text can hold an entity of the label, by a cheaper test."""
+    return F.contains(text, F.lit(_SCREEN[label])) if _SCREEN[label] else text.rlike(r"\d{4}")
+
+
 def mentions(text: Column) -> Column:
     """All mentions in a text as structs of label, text and start, by label and place."""
 
     def of(label: str, order: int) -> Column:
-        every = matches(text, PATTERNS[label])
-        rows = F.zip_with(every, starts_of(text, PATTERNS[label], every), lambda m, s: F.struct(F.lit(label).alias("label"), F.lit(order).alias("label_order"), m.alias("text"), s.alias("start")))
-        screen = F.contains(text, F.lit(_SCREEN[label])) if _SCREEN[label] else text.rlike(r"\d{4}")
-        return F.when(screen, rows).otherwise(F.array().cast("array<struct<label:string,label_order:int,text:string,start:int>>"))
+        rows = F.transform(located(text, PATTERNS[label]), lambda m: F.struct(F.lit(label).alias("label"), F.lit(order).alias("label_order"), m["match"].alias("text"), m["start"].alias("start")))
+        return F.when(_perhaps(text, label), rows).otherwise(F.array().cast("array<struct<label:string,label_order:int,text:string,start:int>>"))
 
     return F.concat(*[of(label, order) for order, label in enumerate(PATTERNS)])
 
 
 def extract(docs: DataFrame) -> DataFrame:
     """doc_id, label, label_order, text, start and page_no of every mention; pages are told by [PAGE n] marks,
-    and page_no is null before the first."""
+    and page_no is null before the first and after one whose number has more than 32 bits."""
     text = F.coalesce("text", F.lit(""))
-    mark = r"(?i)\[PAGE\s+(\d+)\]"
-    whole = F.regexp_extract_all(text, F.lit(mark), F.lit(0))
-    marks = F.zip_with(starts_of(text, mark, whole), F.regexp_extract_all(text, F.lit(mark), F.lit(1)), lambda s, n: F.struct(s.alias("at"), n.cast("int").alias("page_no")))
+    marks = F.transform(located(text, r"(?i)\[PAGE\s+\d+\]"), lambda m: F.struct(m["start"].alias("at"), F.regexp_extract(m["match"], r"\d+", 0).try_cast("int").alias("page_no")))
     rows = docs.select("doc_id", marks.alias("marks"), F.explode(mentions(text)).alias("e"))
     before = F.filter("marks", lambda m: m["at"] <= F.col("e.start"))
     return rows.select("doc_id", "e.label", "e.label_order", "e.text", "e.start", F.get(before, F.size(before) - 1)["page_no"].alias("page_no"))
@@ -84,4 +87,5 @@ def merged(found: DataFrame, normalise: bool = False) -> DataFrame:
 
 def density(text: Column, words: Column) -> Column:
     """Mentions for each word."""
-    return F.size(mentions(text)) / F.greatest(words, F.lit(1))
+    counts = [F.when(_perhaps(text, label), F.regexp_count(text, F.lit(PATTERNS[label]))).otherwise(0) for label in PATTERNS]
+    return sum(counts[1:], counts[0]) / F.greatest(words, F.lit(1))

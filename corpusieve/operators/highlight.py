@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusieve.functions.text import html_escape, matches, starts_of
+from corpusieve.functions.text import html_escape, located
 from corpusieve.operators.state import merged_spans
 from corpusieve.plans.patterns import Pattern
 
@@ -18,8 +18,7 @@ def spans(docs: DataFrame, patterns: list[Pattern]) -> DataFrame:
     found = []
     for p in patterns:
         if p.method != "wildcard":
-            every = matches(text, p.java)
-            found.append(F.slice(F.zip_with(starts_of(text, p.java, every), every, lambda s, m: F.struct(s.alias("a"), (s + F.length(m)).alias("b"))), 1, MATCHES))
+            found.append(F.slice(F.transform(located(text, p.java), lambda m: F.struct(m["start"].alias("a"), (m["start"] + F.length(m["match"])).alias("b"))), 1, MATCHES))
     return merged_spans(docs.select("doc_id", F.inline(F.concat(*found))), "doc_id")
 
 

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusieve.functions.text import chunks, matches, sentences, snippet, starts_of, word_tokens
+from corpusieve.functions.text import chunks, located, matches, sentences, snippet, word_tokens
 from corpusieve.functions.vectors import cosine, norm
 from corpusieve.plans import boolean
 from corpusieve.plans.patterns import Pattern
@@ -26,14 +26,10 @@ _WILD_WORDS = r"(?U)\b[\w\-']+\b"
 
 def _hits_of(pattern: Pattern, text: Column, with_snippet: bool) -> Column:
     """All hits of one pattern as an array of structs."""
+    found = located(text, _WILD_WORDS if pattern.method == "wildcard" else pattern.java)
     if pattern.method == "wildcard":
-        every = matches(text, _WILD_WORDS)
-        both = F.arrays_zip(every.alias("word"), starts_of(text, _WILD_WORDS, every).alias("start"))
-        kept = F.filter(both, lambda x: F.lower(x["word"]).rlike(pattern.java))
-        sized = F.transform(kept, lambda x: F.struct(x["start"].alias("start"), F.length(x["word"]).alias("size")))
-    else:
-        found = F.filter(matches(text, pattern.java), lambda m: m != "")
-        sized = F.zip_with(starts_of(text, pattern.java, found), found, lambda s, m: F.struct(s.alias("start"), F.length(m).alias("size")))
+        found = F.filter(found, lambda x: F.lower(x["match"]).rlike(pattern.java))
+    sized = F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.length(x["match"]).alias("size")))
     show = (lambda x: snippet(text, x["start"], x["size"])) if with_snippet else (lambda x: F.lit(None).cast("string"))
     return F.transform(
         sized,
