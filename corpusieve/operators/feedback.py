@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusieve.functions.vectors import mean_vectors, norm
-from corpusieve.operators.state import clamped_walk, folded, latest, penalty_steps, reviews
+from corpusieve.operators.state import folded, latest, penalty_steps, reviews
 
 BLACKLIST_KEPT = 500
 
@@ -14,7 +14,7 @@ BLACKLIST_KEPT = 500
 def host_penalties(log: DataFrame) -> DataFrame:
     """host and penalty after all reviews log(host, label, ts, seq), in their order."""
     own = log.select("host", "ts", "seq", penalty_steps(F.col("label")).alias("step"))
-    return folded(own, "host", ["ts", "seq"], "step", lambda s: clamped_walk(s, 0.0, 0.60), "penalty")
+    return folded(own, "host", ["ts", "seq"], "step", "penalty", 0.0, 0.60, 0.0)
 
 
 def phrase_blacklist(log: DataFrame, found: DataFrame, kept: int = BLACKLIST_KEPT) -> DataFrame:

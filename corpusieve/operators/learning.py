@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusieve.functions.vectors import dot
+from corpusieve.operators.state import segmented
 
 METRICS = ("relevance_score", "topic_similarity", "entity_density")
 VERSION = 1
@@ -87,10 +88,13 @@ def held_out(key: Column, buckets: int = 4) -> Column:
 
 
 def metrics(scored: DataFrame) -> DataFrame:
-    """n, accuracy and auc of scored(label, score); auc from ranks, ties share theirs."""
-    same = scored.groupBy("score").agg(F.count("*").alias("n"), F.sum("label").alias("good"))
-    before = F.sum("n").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1))
-    ranks = same.withColumn("rank", F.coalesce(before, F.lit(0)) + (F.col("n") + 1) / 2)
+    """n, accuracy and auc of scored(label, score); auc from ranks, ties share theirs. Scores are
+    summed up by ranges first, so no task sorts all of them."""
+    same = segmented(scored.groupBy("score").agg(F.count("*").alias("n"), F.sum("label").alias("good")), "score", "_range")
+    totals = same.groupBy("_range").agg(F.sum("n").alias("_t"))  # a row for each range
+    below = totals.select("_range", F.coalesce(F.sum("_t").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_below"))
+    before = F.sum("n").over(Window.partitionBy("_range").orderBy("score").rowsBetween(Window.unboundedPreceding, -1))
+    ranks = same.withColumn("_before", F.coalesce(before, F.lit(0))).join(F.broadcast(below), "_range").withColumn("rank", F.col("_below") + F.col("_before") + (F.col("n") + 1) / 2)
     sums = ranks.agg(F.sum("n").alias("n"), F.sum("good").alias("p"), F.sum(F.col("good") * F.col("rank")).alias("r"))
     right = scored.agg(F.avg(((F.col("score") >= 0.5).cast("int") == F.col("label")).cast("double")).alias("accuracy"))
     auc = F.try_divide(F.col("r") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * (F.col("n") - F.col("p")))

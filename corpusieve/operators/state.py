@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusieve.functions.arrays import place_among
+
 PENDING = ("queued", "retry", "processing")
 REVIEWS = ("new", "reviewed", "ignored", "irrelevant", "high_value")
 #: Tables whose rows go with their document, and those that a reset of results empties.
@@ -30,9 +32,10 @@ def upsert_urls(state: DataFrame, incoming: DataFrame, preserve_done: bool = Tru
     """url, status, discovered_at, local_path and sha256 after new discoveries.
 
     With ``preserve_done`` a URL that is done stays so, unless it is a PDF whose file or digest is
-    missing, and keeps when it was discovered; otherwise what comes in wins.
+    missing, and keeps when it was discovered; otherwise what comes in wins. Of several incoming rows
+    of a URL the last by discovered_at, then status, counts.
     """
-    new = incoming.select("url", F.col("status").alias("_status"), F.col("discovered_at").alias("_at"))
+    new = latest(incoming.select("url", "discovered_at", "status"), "url", "discovered_at", "status").select("url", F.col("status").alias("_status"), F.col("discovered_at").alias("_at"))
     both = state.join(new, "url", "full_outer")
     whole = ~F.lower("url").endswith(".pdf") | ((F.coalesce("local_path", F.lit("")) != "") & (F.coalesce("sha256", F.lit("")) != ""))
     if preserve_done:
@@ -70,14 +73,26 @@ def update_paths(rows: DataFrame, moved: DataFrame) -> DataFrame:
 
 
 def update_metrics(docs: DataFrame, metrics: DataFrame) -> DataFrame:
-    """Documents with the metric columns of ``metrics``(doc_id, ...) in place of their own."""
-    own = [c for c in metrics.columns if c != "doc_id"]
-    return docs.drop(*own).join(metrics, "doc_id", "left")
+    """Documents with the metric columns of ``metrics``(doc_id, ...) in place of their own; those that
+    it has no row for keep theirs, null where they had none."""
+    new = [c for c in metrics.columns if c != "doc_id"]
+    given = metrics.select("doc_id", F.struct(*new).alias("_new"))
+    own = {c: F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c) if c in docs.columns else F.lit(None)) for c in new}
+    return docs.join(given, "doc_id", "left").withColumns(own).drop("_new")
+
+
+def _last_of_each(rows: DataFrame, *key: str) -> DataFrame:
+    """One row for each key: the greatest by its other columns, in the order in which they stand."""
+    others = [c for c in rows.columns if c not in key]
+    return rows.groupBy(*key).agg(F.max(F.struct(*others)).alias("_last")).select(*[c if c in key else F.col(f"_last.{c}").alias(c) for c in rows.columns]) if others else rows.distinct()
 
 
 def upsert(table: DataFrame, incoming: DataFrame, *key: str) -> DataFrame:
-    """Rows of both; incoming ones replace those with their key."""
-    return table.join(incoming.select(*key).distinct(), list(key), "left_anti").unionByName(incoming, allowMissingColumns=True)
+    """Rows of both; incoming ones replace those with their key. Of several incoming rows of a key
+    one stays, the greatest by its other columns in their order."""
+    new = _last_of_each(incoming, *key)
+    same = [table[k].eqNullSafe(new[k]) for k in key]
+    return table.join(new.select(*key), same, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
 def upsert_entities(table: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -118,27 +133,96 @@ def reset(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
 COMPARED = ("sha256", "etag", "last_modified", "final_url", "content_type", "http_status")
 
 
-def snapshot_diff(before: DataFrame, after: DataFrame, compared: tuple[str, ...] = COMPARED, key: str = "url") -> DataFrame:
-    """url and change (added, removed, changed) between two snapshots, nulls compared as values."""
-    a = before.select(key, F.struct(*compared).alias("_a"))
-    b = after.select(key, F.struct(*compared).alias("_b"))
-    change = F.when(F.col("_a").isNull(), "added").when(F.col("_b").isNull(), "removed").when(~F.col("_a").eqNullSafe(F.col("_b")), "changed")
-    return a.join(b, key, "full_outer").select(key, change.alias("change")).where("change is not null")
-
-
-def clamped_walk(steps: Column, low: float, high: float, start: float = 0.0) -> Column:
-    """Where a walk ends that is held within bounds after each step of an ordered array."""
-    return F.aggregate(steps, F.lit(start), lambda at, x: F.greatest(F.lit(low), F.least(F.lit(high), at + x)))
+def snapshot_diff(before: DataFrame, after: DataFrame, compared: tuple[str, ...] = COMPARED, key: str = "url", order: tuple[str, ...] = ()) -> DataFrame:
+    """url and change (added, removed, changed) between two snapshots, nulls compared as values. Of
+    several rows of a URL in one snapshot the last counts: by ``order``, then by the compared columns."""
 
+    def own(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy(key).agg(F.max_by(F.struct(*compared), F.struct(*order, *compared)).alias(name))
 
-def scaled_walk(factors: Column, low: float, high: float, start: float = 1.0) -> Column:
-    return F.aggregate(factors, F.lit(start), lambda at, x: F.greatest(F.lit(low), F.least(F.lit(high), at * x)))
+    a, b = own(before, "_a"), own(after, "_b")
+    change = F.when(F.col("_a").isNull(), "added").when(F.col("_b").isNull(), "removed").when(~F.col("_a").eqNullSafe(F.col("_b")), "changed")
+    return a.join(b, key, "full_outer").select(key, change.alias("change")).where("change is not null")
 
 
-def folded(log: DataFrame, key: str, order: list[str], value: str, walk, name: str) -> DataFrame:
-    """An order-dependent fold of each key's values; ``walk`` turns their ordered array into one."""
-    steps = F.transform(F.array_sort(F.collect_list(F.struct(*order, value))), lambda x: x[value])
-    return log.groupBy(key).agg(steps.alias("_steps")).select(key, walk(F.col("_steps")).alias(name))
+def snapshot(state: DataFrame) -> DataFrame:
+    """The rows of a URL table that a snapshot takes: all that are not abandoned."""
+    return state.where(F.coalesce(F.col("status"), F.lit("")) != "abandoned").select("url", *COMPARED)
+
+
+class Snapshots:
+    """Snapshots of the URL table below ``root``, a folder for each, numbered; with each but the first
+    the changes since the one before it. A folder without its last file was never finished and is not
+    seen; taking a snapshot again after that goes on from the last whole one."""
+
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.spark, self.root = spark, root.rstrip("/")
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def numbers(self) -> list[int]:
+        """Whole snapshots in order."""
+        if not self._fs.exists(self._path(self.root)):
+            return []
+        names = [x.getPath().getName() for x in self._fs.listStatus(self._path(self.root))]
+        return sorted(int(n[9:]) for n in names if n.startswith("snapshot=") and self._fs.exists(self._path(f"{self.root}/{n}/changes/_SUCCESS")))
+
+    def read(self, number: int) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/snapshot={number}/urls")
+
+    def take(self, state: DataFrame) -> int:
+        """Stores what ``snapshot`` takes of ``state`` and how it differs from the last one."""
+        done = self.numbers()
+        number = done[-1] + 1 if done else 0
+        at = f"{self.root}/snapshot={number}"
+        snapshot(state).write.mode("overwrite").parquet(f"{at}/urls")
+        now = self.read(number)
+        before = self.read(done[-1]) if done else now.limit(0)
+        snapshot_diff(before, now).write.mode("overwrite").parquet(f"{at}/changes")
+        return number
+
+    def last_diff(self) -> DataFrame | None:
+        """url and change between the last two snapshots; None before there are two."""
+        done = self.numbers()
+        return self.spark.read.parquet(f"{self.root}/snapshot={done[-1]}/changes") if len(done) > 1 else None
+
+
+def segmented(rows: DataFrame, by: str, name: str, segments: int | None = None) -> DataFrame:
+    """``rows`` with the number of the range of ``by`` that each is in. Ranges are cut at quantiles, so
+    no key has more rows in one of them than about a ``segments``-th of all, but for ties."""
+    n = segments or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if n < 2:
+        return rows.withColumn(name, F.lit(0))
+    cuts = rows.agg(F.percentile_approx(by, [k / n for k in range(1, n)], 100 * n).alias("_cuts"))
+    own = rows.join(F.broadcast(cuts), F.lit(True), "left")  # one row
+    return own.withColumn(name, place_among(F.col("_cuts"), n - 1, F.col(by))).drop("_cuts")
+
+
+def folded(log: DataFrame, key: str, order: list[str], value: str, name: str, low: float, high: float, start: float, scale: bool = False) -> DataFrame:
+    """key and ``name``: where a walk ends that adds each value (``scale``: is multiplied by it), in
+    order, and is held within bounds after each.
+
+    A stretch of such a walk is itself one step with bounds of its own, whatever it starts from. So
+    each key's rows are walked within ranges of the order first, side by side, and what they come to
+    then: no task holds the whole log of a key.
+    """
+    move = (lambda a, x: a * x) if scale else (lambda a, x: a + x)
+    none = F.lit(1.0) if scale else F.lit(0.0)
+    # a longer way than from one bound to the other ends there too, so it is cut; no sum or product grows
+    far = (high / low if low > 0 else float("inf")) if scale else high - low
+    nearest, furthest = (1 / far if scale else -far), far
+
+    def after(s: Column, by: Column, least: Column, most: Column) -> Column:
+        held = lambda a: F.greatest(least, F.least(most, a))
+        return F.struct(F.greatest(F.lit(nearest), F.least(F.lit(furthest), move(s["by"], by))).alias("by"), held(move(s["low"], by)).alias("low"), held(move(s["high"], by)).alias("high"))
+
+    bounds, still = (F.lit(low), F.lit(high)), F.struct(none.alias("by"), F.lit(low).alias("low"), F.lit(high).alias("high"))
+    own = segmented(log.select(key, *order, F.col(value).cast("double").alias("_x")), order[0], "_range")
+    steps = F.array_sort(F.collect_list(F.struct(*order, "_x")))
+    parts = own.groupBy(key, "_range").agg(steps.alias("_steps")).select(key, "_range", F.aggregate("_steps", still, lambda s, x: after(s, x["_x"], *bounds)).alias("_part"))
+    whole = F.aggregate(F.array_sort(F.collect_list(F.struct("_range", "_part"))), still, lambda s, x: after(s, x["_part"]["by"], x["_part"]["low"], x["_part"]["high"]))
+    end = parts.groupBy(key).agg(whole.alias("_all"))
+    return end.select(key, F.greatest(F.col("_all.low"), F.least(F.col("_all.high"), move(F.lit(start), F.col("_all.by")))).alias(name))
 
 
 def penalty_steps(label: Column) -> Column:

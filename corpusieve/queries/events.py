@@ -108,7 +108,7 @@ def url_penalty_fold(spark, d):
 def host_throttle_fold(spark, d):
     own = table(spark, d, "events").select((F.col("user_id") % 50).alias("host"), "ts", "event_id", F.when(F.col("event_type") == "error", 503).otherwise(200).alias("code"))
     steps = own.select("host", "ts", "event_id", state.throttle_factors(F.col("code")).alias("factor"))
-    return state.folded(steps, "host", ["ts", "event_id"], "factor", lambda s: state.scaled_walk(s, 0.2, 1.0), "rate").select("host", F.round("rate", 6).alias("rate"))
+    return state.folded(steps, "host", ["ts", "event_id"], "factor", "rate", 0.2, 1.0, 1.0, scale=True).select("host", F.round("rate", 6).alias("rate"))
 
 
 def backoff_schedule(spark, d):
