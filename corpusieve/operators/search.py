@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusieve.functions.arrays import once
 from corpusieve.functions.text import first_line, search_terms
 from corpusieve.plans.fts import Phrase, Query, QueryError, parse
+from corpusieve.runtime import written
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 FIELDS = ("title", "content")
@@ -22,13 +25,38 @@ class Index:
     lengths: DataFrame
 
     def write(self, root: str) -> None:
-        """Stores both, postings in order of their terms so that a query reads few row groups."""
-        self.postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.parquet(f"{root}/postings")
-        self.lengths.write.parquet(f"{root}/lengths")
+        """Adds both below ``root`` as a segment, postings in order of their terms so that a query
+        reads few row groups. A segment whose last file is missing was never finished and is not read."""
+        at = f"{root}/segment={uuid.uuid4().hex}"
+        self.postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.parquet(f"{at}/postings")
+        self.lengths.write.parquet(f"{at}/lengths")
 
     @staticmethod
-    def open(spark, root: str) -> Index:
-        return Index(spark.read.parquet(f"{root}/postings"), spark.read.parquet(f"{root}/lengths"))
+    def segments(spark: SparkSession, root: str) -> list[str]:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        fs = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        found = [x.getPath().toString() for x in fs.listStatus(path(root))] if fs.exists(path(root)) else []
+        return sorted(x for x in found if "/segment=" in x and fs.exists(path(f"{x}/lengths/_SUCCESS")))
+
+    @staticmethod
+    def open(spark: SparkSession, root: str) -> Index:
+        """All whole segments as one index."""
+        found = Index.segments(spark, root)
+        if not found:
+            raise ValueError(f"there is no index below {root}")
+        return Index(spark.read.parquet(*[f"{x}/postings" for x in found]), spark.read.parquet(*[f"{x}/lengths" for x in found]))
+
+    @staticmethod
+    def append(docs: DataFrame, root: str) -> bool:
+        """Indexes those of docs(doc_id, title, content) that no segment has, as a further one; False
+        if there are none."""
+        spark = docs.sparkSession
+        if Index.segments(spark, root):
+            docs = docs.join(Index.open(spark, root).lengths.select("doc_id"), "doc_id", "left_anti")
+        if docs.isEmpty():
+            return False
+        build_index(docs).write(root)
+        return True
 
 
 def with_title(docs: DataFrame) -> DataFrame:
@@ -63,34 +91,71 @@ def _starts(columns: list[str]) -> Column:
     return here
 
 
-def search(index: Index, query: str, limit: int = 250) -> DataFrame:
-    """doc_id and bm25 (the less the better) of the best ``limit`` documents, ties by doc_id.
+def _phrases(tree: Query) -> list[Phrase]:
+    own = list(tree.phrases)
+    for part in tree.parts:
+        own += _phrases(part)
+    return list(dict.fromkeys(own))
 
-    Only postings of the query's words are read; they meet by document once. Raises QueryError for
-    what is no query.
-    """
-    tree = parse(query)
-    phrases: list[Phrase] = []
 
-    def gather(q: Query) -> None:
-        phrases.extend(q.phrases)
-        for part in q.parts:
-            gather(part)
+_PLACES = "array<struct<field:string,position:int>>"
+
 
-    gather(tree)
-    phrases = list(dict.fromkeys(phrases))
+def _from_index(index: Index, phrases: list[Phrase]) -> DataFrame:
+    """doc_id, length and for the i-th phrase p<i>, the places where it begins, of documents with any
+    of their words. Only postings of these words are read; they meet by document once."""
     names, wanted = {}, F.lit(False)
     for i, p in enumerate(phrases):
         for k, word in enumerate(p.words):
             names[i, k] = f"w{i}_{k}"
             wanted = wanted | _wanted(p, word, k == len(p.words) - 1)
     places = F.transform("positions", lambda x: F.struct(F.col("field").alias("field"), x.alias("position")))
-    found = index.postings.where(wanted)
     gathered = [F.flatten(F.collect_list(F.when(_wanted(phrases[i], phrases[i].words[k], k == len(phrases[i].words) - 1), places))).alias(name) for (i, k), name in names.items()]
-    if not gathered:
-        return index.lengths.select("doc_id", F.lit(0.0).alias("bm25")).limit(0)
-    docs = found.groupBy("doc_id").agg(*gathered)
-    docs = docs.select("doc_id", *[(_starts([names[i, k] for k in range(len(p.words))]) if p.words else F.array().cast("array<struct<field:string,position:int>>")).alias(f"p{i}") for i, p in enumerate(phrases)])
+    docs = index.postings.where(wanted).groupBy("doc_id").agg(F.count("*").alias("_n"), *gathered)
+    starts = [(_starts([names[i, k] for k in range(len(p.words))]) if p.words else F.array().cast(_PLACES)).alias(f"p{i}") for i, p in enumerate(phrases)]
+    return docs.select("doc_id", *starts).join(index.lengths, "doc_id")
+
+
+def _from_texts(docs: DataFrame, phrases: list[Phrase]) -> DataFrame:
+    """The same of docs(doc_id, title, content) without an index, for every document: each is cut
+    into words once, nothing is exploded or shuffled."""
+
+    def begins(words: Column, p: Phrase, at: Column) -> Column:
+        ok = F.lit(True)
+        for k, word in enumerate(p.words):
+            here = F.get(words, at + k)
+            ok = ok & (here.startswith(word) if p.prefix and k == len(p.words) - 1 else here == word)
+        return F.coalesce(ok, F.lit(False))
+
+    def places(words: Column, p: Phrase, field: str) -> Column:
+        every = F.when(F.size(words) > 0, F.sequence(F.lit(0), F.size(words) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(F.filter(every, lambda at: begins(words, p, at)), lambda at: F.struct(F.lit(field).alias("field"), at.alias("position")))
+
+    def of(both: Column) -> Column:
+        found = []
+        for i, p in enumerate(phrases):
+            own = [places(both[field], p, field) for field in FIELDS if p.words and p.field in (None, field)]
+            found.append((F.concat(*own) if own else F.array().cast(_PLACES)).alias(f"p{i}"))
+        return F.struct((F.size(both["title"]) + F.size(both["content"])).cast("long").alias("length"), *found)
+
+    words = F.struct(*[search_terms(F.coalesce(f, F.lit(""))).alias(f) for f in FIELDS])
+    return docs.select("doc_id", once(words, of).alias("_f")).select("doc_id", "_f.*")
+
+
+def search(source: Index | DataFrame, query: str, limit: int = 250) -> DataFrame:
+    """doc_id and bm25 (the less the better) of the best ``limit`` documents, ties by doc_id.
+
+    ``source`` is an index, or docs(doc_id, title, content), of which lengths and places are then
+    written to the shared folder, so that texts are read once. Raises QueryError for what is no query.
+    """
+    tree = parse(query)
+    phrases = _phrases(tree)
+    if isinstance(source, Index):
+        if not any(p.words for p in phrases):
+            return source.lengths.select("doc_id", F.lit(0.0).alias("bm25")).limit(0)
+        docs, lengths = _from_index(source, phrases), source.lengths
+    else:
+        docs = lengths = written(_from_texts(source, phrases), "search-places")
     number = {p: i for i, p in enumerate(phrases)}
 
     def holds(q: Query) -> Column:
@@ -114,8 +179,8 @@ def search(index: Index, query: str, limit: int = 250) -> DataFrame:
 
     scored = list(dict.fromkeys(tree.leaves()))
     frequencies = docs.agg(*[F.sum((F.size(f"p{number[p]}") > 0).cast("long")).alias(f"d{number[p]}") for p in scored])
-    corpus = index.lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"))
-    own = docs.where(holds(tree)).join(index.lengths, "doc_id").join(F.broadcast(corpus), F.lit(True), "inner").join(F.broadcast(frequencies), F.lit(True), "inner")  # one row each
+    corpus = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"))
+    own = docs.where(holds(tree)).join(F.broadcast(corpus), F.lit(True), "inner").join(F.broadcast(frequencies), F.lit(True), "inner")  # one row each
     score = F.lit(0.0)
     for p in scored:
         tf, d = F.size(f"p{number[p]}"), F.col(f"d{number[p]}")
@@ -140,7 +205,7 @@ def find(docs: DataFrame, query: str, limit: int = 250, mode: str = "ranked", in
         return docs.select("doc_id", F.lit(0.0).alias("bm25")).limit(0)
     if mode == "ranked":
         try:
-            return search(index or build_index(docs), query, limit)
+            return search(index or docs, query, limit)
         except QueryError:
             pass
     return like_search(docs, query, limit)

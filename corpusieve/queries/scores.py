@@ -15,7 +15,7 @@ from corpusieve.operators import entities, feedback, learning, matching, scoring
 from corpusieve.plans.patterns import compile_pack
 from corpusieve.queries.documents import DENSITY, ORACLES as DOCUMENT_SQL
 from corpusieve.queries.documents import redaction_max, sql_bm25, sql_count
-from corpusieve.runtime import table
+from corpusieve.runtime import table, written
 from corpusieve.sources import sinks
 
 PACK, SINGLE = ["that", "with"], ["license", "copyright", "nicht", "dans"]
@@ -45,11 +45,15 @@ def similarities(spark, d) -> DataFrame:
     return met.select("doc_id", *[c.alias(n) for n, c in cos.items()])
 
 
-def scored(spark, d) -> DataFrame:
-    """doc_id, source, title, n, topic, high, low, semantic, density, penalty, relevance."""
+def scored(spark, d, only: DataFrame | None = None) -> DataFrame:
+    """doc_id, source, title, n, topic, high, low, semantic, density, penalty, relevance. With
+    ``only``(doc_id), a bounded list, texts of other documents are not looked at."""
     text = F.coalesce("text", F.lit(""))
     n = sum((F.regexp_count(text, F.lit(p.java)) for p in compile_pack(PACK)), F.lit(0))
-    docs = table(spark, d, "documents").select("doc_id", "source", T.first_line(text).alias("title"), n.alias("n"), entities.density(text, T.word_count(text)).alias("density"), (F.regexp_extract("source", r"(\d+)", 1).cast("int") % 5 * 0.05).alias("penalty"))
+    every = table(spark, d, "documents")
+    if only is not None:
+        every = every.join(F.broadcast(only.select("doc_id")), "doc_id", "left_semi")
+    docs = every.select("doc_id", "source", T.first_line(text).alias("title"), n.alias("n"), entities.density(text, T.word_count(text)).alias("density"), (F.regexp_extract("source", r"(\d+)", 1).cast("int") % 5 * 0.05).alias("penalty"))
     own = docs.join(similarities(spark, d), "doc_id")
     return own.withColumn("relevance", scoring.relevance(F.col("topic"), F.col("high"), F.col("low"), F.col("penalty"), F.col("density")))
 
@@ -87,8 +91,8 @@ FROM (SELECT *, CASE WHEN n = 1 AND topic < 0.2 AND relevance < 0.18 THEN 0 ELSE
 
 
 def hybrid_search(spark, d):
-    found = search.rank_scores(search.find(search.with_title(table(spark, d, "documents")), "that OR with", 250))
-    own = scored(spark, d).select("doc_id", "penalty", "relevance", "semantic", "high", "low")
+    found = written(search.rank_scores(search.find(search.with_title(table(spark, d, "documents")), "that OR with", 250)), "hybrid-found")
+    own = written(scored(spark, d, found).select("doc_id", "penalty", "relevance", "semantic", "high", "low"), "hybrid-scored")
     best = scoring.best_similarities(found, own.select("doc_id", "semantic", "high", "low"))
     rows = scoring.with_reviews(best.join(own.select("doc_id", "penalty", "relevance"), "doc_id", "left"), review_rows(spark, d))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
@@ -215,8 +219,8 @@ def flagged_with_metrics(spark, d):
 
 
 def search_with_metrics(spark, d):
-    found = search.find(search.with_title(table(spark, d, "documents")), "license OR copyright", 250).select("doc_id", F.round("bm25", 6).alias("bm25"))
-    rows = found.join(scored(spark, d).select("doc_id", F.round("relevance", 6).alias("relevance")), "doc_id", "left")
+    found = written(search.find(search.with_title(table(spark, d, "documents")), "license OR copyright", 250).select("doc_id", F.round("bm25", 6).alias("bm25")), "search-found")
+    rows = found.join(scored(spark, d, found).select("doc_id", F.round("relevance", 6).alias("relevance")), "doc_id", "left")
     return scoring.with_reviews(rows, review_rows(spark, d))
 
 
