@@ -63,8 +63,9 @@ def resolved(url: pd.Series, base: pd.Series) -> pd.Series:
 
 def links(html: Column) -> Column:
     """Targets of all anchors, without mail and script links, in order of appearance."""
-    found = F.regexp_extract_all(html, F.lit(r"""(?is)<a\s[^>]*?href\s*=\s*(?:"([^"]*)"|'[^']*')"""), F.lit(1))
-    kept = F.transform(found, lambda u: F.regexp_replace(u, r"^\s+|\s+$", ""))
+    anchors = F.regexp_extract_all(html, F.lit(r"""(?is)<a\s[^>]*?href\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>"']+)"""), F.lit(0))
+    bare = F.transform(anchors, lambda a: F.regexp_extract(a, r"""(?is)^<a\s[^>]*?href\s*=\s*["']?(.*?)["']?$""", 1))
+    kept = F.transform(bare, lambda u: F.regexp_replace(u, r"^\s+|\s+$", ""))
     return F.filter(kept, lambda u: (u != "") & ~F.lower(u).rlike("^(mailto|javascript):"))
 
 
