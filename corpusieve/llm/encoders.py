@@ -101,24 +101,42 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-_tokenizers: dict[str, ChunkEncoder] = {}
-
-
-def library_encoder(path: str) -> ChunkEncoder:
-    """The tokenizers library's byte-level BPE of ``path``, one for each worker process.
+class LibraryEncoder:
+    """text -> ids as the tokenizers library's ``encode(text, add_special_tokens=False)`` gives them, as
+    bytes of little-endian unsigned 32-bit integers.
 
     The model is asked for single pretokens, as the library's own byte-level step would hand them
-    over; special strings in a text are ordinary text.
+    over. A text that holds the string of an added token, and every text if the file has a
+    normalizer or another kind of pretokens, goes to the library whole: so such a string gets its own
+    id, as the library's default has it.
     """
-    if path not in _tokenizers:
+
+    def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        model, letters = Tokenizer.from_file(path).model, byte_letters()
-        ask = model.tokenize
+        self.whole = Tokenizer.from_file(path)
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        steps = self.whole.pre_tokenizer
+        self.plain = self.whole.normalizer is None and type(steps).__name__ == "ByteLevel" and not steps.add_prefix_space and steps.use_regex
+        ask, letters = self.whole.model.tokenize, byte_letters()
 
         def encode(pretoken: str) -> bytes:
             mapped = pretoken.encode().decode("latin-1").translate(letters)
             return np.array([t.id for t in ask(mapped)], "<u4").tobytes()
 
-        _tokenizers[path] = ChunkEncoder(encode)
+        self.chunks = ChunkEncoder(encode)
+
+    def __call__(self, text: str | None) -> bytes:
+        if text and (not self.plain or any(map(text.__contains__, self.added))):
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.chunks(text)
+
+
+_tokenizers: dict[str, LibraryEncoder] = {}
+
+
+def library_encoder(path: str) -> LibraryEncoder:
+    """The encoder of the file ``path``, one for each worker process."""
+    if path not in _tokenizers:
+        _tokenizers[path] = LibraryEncoder(path)
     return _tokenizers[path]
