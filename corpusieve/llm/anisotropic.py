@@ -8,6 +8,8 @@ of its inner products with the code words; scanning a block of codes adds up tab
 products, and the best of all blocks are merged.
 
 Queries are a stated set and meet all rows, in blocks of both. Codes are made once for every row.
+Rows are told apart by a number of their own, not by vec_id, which may repeat. Vectors travel in
+the precision that they are stored in and are compared in double precision.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from corpusieve.llm.sampling import sampled
 from corpusieve.runtime import bound_batches, table, written
@@ -31,7 +34,8 @@ SAMPLE = 8192
 #: Share of a vector's norm from which on an inner product counts as large.
 THRESHOLD = 0.2
 ROUNDS, SWEEPS = 8, 2
-QUERY_BLOCK, ROW_BLOCK = 4096, 4096
+#: Rows travel once for each block of queries, so such a block is large.
+QUERY_BLOCK, ROW_BLOCK = 16384, 4096
 #: Distinct vectors of each block that are ranked exactly, and all that tie with the last of them.
 RERANK = 128
 NEAREST = 20
@@ -130,21 +134,21 @@ def scan(codes: np.ndarray, tables: np.ndarray) -> np.ndarray:
     return total
 
 
-def best_of_block(ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, tables: np.ndarray, nearest: int, rerank: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """query_id, ids and exact scores of each query's ``nearest`` of a block.
+def best_of_block(numbers: np.ndarray, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, asking: np.ndarray, queries: np.ndarray, tables: np.ndarray, nearest: int, rerank: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each query of the numbers ``asking`` its place there, and numbers, ids and exact scores of
+    its ``nearest`` in a block of rows; the row of its own number is not among them.
 
-    Equal vectors are scanned once, and of each only the smallest ids stand for it, as many as an
-    answer can hold besides the query's own rows: so no number of copies can crowd out another vector.
+    Equal vectors are scanned once, and of each only the first rows by id stand for it, as many as an
+    answer can hold besides the query's own row: so no number of copies can crowd out another vector.
     """
-    order = np.argsort(ids, kind="stable")
-    ids, vectors, codes = ids[order], vectors[order], codes[order]
+    order = np.lexsort((numbers, ids))
+    numbers, ids, vectors, codes = numbers[order], ids[order], vectors[order], codes[order]
     _, first, group = np.unique(np.ascontiguousarray(vectors + 0.0).view([("", vectors.dtype)] * vectors.shape[1]).ravel(), return_index=True, return_inverse=True)
     members = np.argsort(group, kind="stable")
     starts = np.r_[0, np.cumsum(np.bincount(group))]
     distinct, columns = vectors[first], np.ascontiguousarray(codes[first].T)
-    for query_id, query, own in zip(query_ids, queries, tables, strict=True):
-        # rows of the query's own id are left out below, so there must be places for as many more
-        most = nearest + int(np.searchsorted(ids, query_id, "right") - np.searchsorted(ids, query_id))
+    most = nearest + 1
+    for place, (number, query, own) in enumerate(zip(asking, queries, tables, strict=True)):
         likely = scan(columns, own)
         least = np.partition(likely, -rerank)[-rerank] if len(likely) > rerank else -np.inf
         top = np.flatnonzero(likely >= least)  # all that tie with the last: codes can't tell them apart
@@ -160,10 +164,10 @@ def best_of_block(ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, query
                 top, exact = np.r_[top, more], np.r_[exact, (distinct[more] * query).sum(1)]
         rows = np.concatenate([members[starts[g] : min(starts[g + 1], starts[g] + most)] for g in top])
         scores = np.repeat(exact, np.minimum(starts[top + 1] - starts[top], most))
-        keep = ids[rows] != query_id
+        keep = numbers[rows] != number
         rows, scores = rows[keep], scores[keep]
-        best = np.lexsort((ids[rows], -scores))[:nearest]
-        yield int(query_id), ids[rows][best], scores[best]
+        best = np.lexsort((numbers[rows], ids[rows], -scores))[:nearest]
+        yield place, numbers[rows][best], ids[rows][best], scores[best]
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -178,50 +182,66 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.where(F.size("x") == (common[0].n if common else -1))
 
 
+def _is_float(vectors: DataFrame) -> bool:
+    return vectors.schema["embedding"].dataType == ArrayType(FloatType(), vectors.schema["embedding"].dataType.containsNull)
+
+
+def _joined(packed: pd.Series, kind: str) -> np.ndarray:
+    """The vectors of a column of bytes, in double precision."""
+    return np.frombuffer(b"".join(packed), kind).reshape(len(packed), -1).astype(float)
+
+
 def search(vectors: DataFrame, queries: DataFrame | None = None, nearest: int = NEAREST, rerank: int = RERANK, every: int = 20, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id and score of each query's nearest rows of vectors(vec_id,
-    embedding) by inner product, ties to smaller vec_id; never a row of the query's own id.
+    embedding) by inner product, ties to smaller vec_id.
 
-    Queries are ``queries`` or the rows whose vec_id is divisible by ``every``. A repeated vec_id
-    is as many rows, and as many queries, which share a query_id and so an answer.
+    Queries are the rows whose vec_id is divisible by ``every``, each without itself among its
+    candidates, or the rows of ``queries``, to which every row is a candidate. A repeated vec_id is
+    as many rows and as many queries, each with an answer of its own.
     """
     rows = usable(vectors)
-    asked = usable(queries) if queries is not None else rows.where(F.col("vec_id") % every == 0)
-    asked = asked.dropDuplicates(["vec_id"]) if queries is not None else asked.groupBy("vec_id").agg(F.min("x").alias("x"))
     fitted = np.array([r.x for r in sampled(rows, sample, "vec_id", "x").collect()])
     dimension = fitted.shape[1] if len(fitted) else 1
     quantiser = fit(fitted.reshape(-1, dimension), dimension)
+    kind = "<f4" if _is_float(vectors) and (queries is None or _is_float(queries)) else "<f8"
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                codes = pack_codes(quantiser.codes(np.stack(b["x"].to_list())))
-                yield pd.DataFrame({"vec_id": b["vec_id"], "x": b["x"], "code": [c.tobytes() for c in codes]})
-
-    index = written(rows.mapInPandas(encode, "vec_id long, x array<double>, code binary"), "op4-index")
+                x = np.stack(b["x"].to_list())
+                yield pd.DataFrame({"number": b["number"], "vec_id": b["vec_id"], "x": [v.tobytes() for v in x.astype(kind)], "code": [c.tobytes() for c in pack_codes(quantiser.codes(x))]})
+
+    def indexed(own: DataFrame, name: str) -> DataFrame:
+        numbered = own.withColumn("number", F.monotonically_increasing_id())
+        return written(numbered.mapInPandas(encode, "number long, vec_id long, x binary, code binary"), name)
+
+    index = indexed(rows, "op4-index")
+    if queries is None:
+        # read anew: cogroup mixes up the columns of two frames that share theirs
+        asked = index.sparkSession.read.schema(index.schema).parquet(index.written_to).where(F.col("vec_id") % every == 0)
+    else:  # numbers that no row has
+        asked = indexed(usable(queries).where(F.size("x") == dimension), "op4-queries").withColumn("number", -1 - F.col("number"))
     n_rows, n_asked = index.count(), asked.count()
     row_blocks, query_blocks = max(1, -(-n_rows // ROW_BLOCK)), max(1, -(-n_asked // QUERY_BLOCK))
     by_query = F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))
     by_row = F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1)))
-    left = index.withColumn("r", F.pmod(F.xxhash64("vec_id"), F.lit(row_blocks)).cast("int")).withColumn("q", by_query)
-    right = asked.withColumn("q", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(query_blocks)).cast("int")).withColumn("r", by_row)
+    left = index.withColumn("r", F.pmod(F.xxhash64("number"), F.lit(row_blocks)).cast("int")).withColumn("q", by_query)
+    right = asked.drop("code").withColumn("q", F.pmod(F.xxhash64("number", F.lit(1)), F.lit(query_blocks)).cast("int")).withColumn("r", by_row)
 
     def meet(block: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
-        asking, near, score = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if len(block) and len(ask):
-            ids, x = block["vec_id"].to_numpy(), np.stack(block["x"].to_list())
-            codes = np.stack([np.frombuffer(c, np.uint8) for c in block["code"]])
+            numbers, ids, x = block["number"].to_numpy(), block["vec_id"].to_numpy(), _joined(block["x"], kind)
+            codes = np.frombuffer(b"".join(block["code"]), np.uint8).reshape(len(block), -1)
             for k in range(0, len(ask), 256):
                 part = ask.iloc[k : k + 256]
-                wanted = np.stack(part["x"].to_list())
-                for query_id, own, scores in best_of_block(ids, x, codes, part["vec_id"].to_numpy(), wanted, quantiser.tables(wanted), nearest, rerank):
-                    asking.append(np.full(len(own), query_id))
-                    near.append(own)
-                    score.append(scores)
-        return pd.DataFrame({"query_id": np.concatenate(asking), "vec_id": np.concatenate(near), "score": np.concatenate(score)})
-
-    met = left.groupBy("q", "r").cogroup(right.groupBy("q", "r")).applyInPandas(meet, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+                asking, query_ids, wanted = part["number"].to_numpy(), part["vec_id"].to_numpy(), _joined(part["x"], kind)
+                for place, *near in best_of_block(numbers, ids, x, codes, asking, wanted, quantiser.tables(wanted), nearest, rerank):
+                    found.append((np.full(len(near[0]), asking[place]), np.full(len(near[0]), query_ids[place]), *near))
+        return pd.DataFrame({name: np.concatenate(c) for name, c in zip(("asking", "query_id", "number", "vec_id", "score"), zip(*found, strict=True), strict=True)})
+
+    met = left.groupBy("q", "r").cogroup(right.groupBy("q", "r")).applyInPandas(meet, "asking long, query_id long, number long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("asking").orderBy(F.desc("score"), "vec_id", "number"))
     return met.withColumn("rank", rank).where(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")
 
 
