@@ -2,10 +2,11 @@
 
 Arrivals are written as small immutable Parquet shards and become visible by a manifest, a JSON
 file whose name is its version; it is written aside and renamed, which fails if another writer took
-that version first. Compaction takes shards of one size tier (a tier spans a factor of ``FAN``) once
-there are enough of them, packs them into files of the target size and commits a manifest that
-names these instead. Readers hold on to the version that they opened; ``vacuum`` deletes files that
-only older versions name.
+that version first. Who loses puts the same change on top of the version that won. Compaction takes
+shards of one size tier (a tier spans a factor of ``FAN``) once there are enough of them, packs them
+into files of the target size and commits a manifest that names these instead. Readers hold on to the
+version that they opened; ``vacuum`` deletes files that only older versions name, and files that no
+version names once they are so old that no writer can be about to commit them.
 
 The rows themselves pass through Spark's readers and writers only. Files are packed by the scan,
 which gives whole shards to tasks up to the target size, so compaction needs no shuffle.
@@ -15,7 +16,9 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
+from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
 from py4j.protocol import Py4JJavaError
@@ -30,6 +33,10 @@ TARGET_BYTES = 128 << 20
 FAN = 4
 #: A tier is compacted once it has as many shards.
 RUN = 4
+#: Seconds after which a file that no version names is taken for one that a lost writer left.
+GRACE = 7 * 24 * 3600
+#: Times that a change is put on top of a version that another writer committed meanwhile.
+TRIES = 100
 
 
 @dataclass(frozen=True)
@@ -74,19 +81,32 @@ class ShardStore:
     def shards(self, version: int | None = None) -> list[Shard]:
         return [Shard(**x) for x in self.manifest(version)["shards"]]
 
-    def _commit(self, base: int, schema: dict, shards: list[Shard]) -> int:
-        """Makes version base + 1; raises if someone else did."""
-        final = self._path(f"{self.root}/manifest/v{base + 1:010d}.json")
+    def _put(self, version: int, schema: dict, shards: list[Shard]) -> bool:
+        """Makes the manifest of ``version``; False if there is one already."""
+        final = self._path(f"{self.root}/manifest/v{version:010d}.json")
         aside = self._path(f"{self.root}/manifest/.{uuid.uuid4().hex}")
         stream = self._fs.create(aside, False)
-        stream.write(bytearray(json.dumps({"version": base + 1, "schema": schema, "shards": [asdict(s) for s in shards]}).encode()))
+        stream.write(bytearray(json.dumps({"version": version, "schema": schema, "shards": [asdict(s) for s in shards]}).encode()))
         stream.close()
         try:
             self._context.rename(aside, final, self._keep)
-        except Py4JJavaError as error:
+        except Py4JJavaError:
             self._fs.delete(aside, False)
-            raise RuntimeError(f"version {base + 1} was not committed, perhaps another writer did") from error
-        return base + 1
+            if self._fs.exists(final):
+                return False
+            raise
+        return True
+
+    def _commit(self, change: Callable[[dict], tuple[dict, list[Shard]] | None]) -> int | None:
+        """Makes the version that ``change`` makes of the newest; if another writer was first, of the
+        one that is newest then. None if ``change`` gives None: there is nothing left to change."""
+        for _ in range(TRIES):
+            now = self.manifest()
+            if (new := change(now)) is None:
+                return None
+            if self._put(now["version"] + 1, *new):
+                return now["version"] + 1
+        raise RuntimeError(f"other writers were first {TRIES} times")
 
     # -- writing
 
@@ -120,11 +140,14 @@ class ShardStore:
         return [self._add(df.schema, by[value]) for value in in_order] or [self._add(df.schema, [])]
 
     def _add(self, schema: StructType, new: list[Shard]) -> int:
-        now = self.manifest()
         own = json.loads(schema.json())
-        if now["schema"] and _plain(now["schema"]) != _plain(own):
-            raise ValueError("the columns differ from those of earlier arrivals")
-        return self._commit(now["version"], now["schema"] or own, [*(Shard(**x) for x in now["shards"]), *new])
+
+        def added(now: dict) -> tuple[dict, list[Shard]]:
+            if now["schema"] and _plain(now["schema"]) != _plain(own):
+                raise ValueError("the columns differ from those of earlier arrivals")
+            return now["schema"] or own, [*(Shard(**x) for x in now["shards"]), *new]
+
+        return self._commit(added)
 
     def tier(self, size: int) -> int:
         """0 for the smallest shards; one more for each factor of ``fan``."""
@@ -163,16 +186,30 @@ class ShardStore:
         rows.coalesce(parts).write.parquet(f"{self.root}/{folder}")
         merged = [Shard(path, size, "") for path, size in self._files(folder)]
         gone = {s.path for s in run}
-        self._commit(now["version"], now["schema"], [*(Shard(**x) for x in now["shards"] if x["path"] not in gone), *merged])
-
-    def vacuum(self) -> int:
-        """Deletes data files that the newest version does not name; returns how many. Readers of
-        older versions must be done."""
-        named = {s.path for s in self.shards()}
-        gone = [path for path, _ in self._files("data") if path not in named]
-        for path in gone:
-            self._fs.delete(self._path(f"{self.root}/{path}"), False)
-        return len(gone)
+
+        def replaced(now: dict) -> tuple[dict, list[Shard]] | None:
+            if not gone <= {x["path"] for x in now["shards"]}:
+                return None  # another compaction took some of them
+            return now["schema"], [*(Shard(**x) for x in now["shards"] if x["path"] not in gone), *merged]
+
+        if self._commit(replaced) is None:
+            self._fs.delete(self._path(f"{self.root}/{folder}"), True)
+
+    def vacuum(self, grace: float = GRACE) -> int:
+        """Deletes data files that only older versions name, and those of no version that were
+        written more than ``grace`` seconds ago; returns how many. Readers of older versions must be
+        done; writers need not be."""
+        newest = self.version()
+        named = {s.path for s in self.shards(newest)}
+        once = {x.getPath().getName() for x in self._fs.listStatus(self._path(f"{self.root}/manifest"))}
+        older = {s.path for n in once if n.startswith("v") and int(n[1:-5]) < newest for s in self.shards(int(n[1:-5]))}
+        gone = 0
+        for path, _ in self._files("data"):
+            at = self._path(f"{self.root}/{path}")
+            if path not in named and (path in older or time.time() - self._fs.getFileStatus(at).getModificationTime() / 1000 > grace):
+                self._fs.delete(at, False)
+                gone += 1
+        return gone
 
     # -- reading
 
