@@ -5,8 +5,8 @@ filled by optimal densification, and of each bin's hash only the low-order bits
 sets agree in a bin with probability J + (1 - J) / 2^bits, so the share of equal bins is corrected
 for chance agreement.
 
-A fingerprint is a string of hex digits, one for each bin (4 bits). A text without words has the
-empty string; two such texts have likeness 1, one of them and any other text 0.
+A fingerprint is binary, two bins of 4 bits in each byte. That of a text without words is empty; two
+such texts have likeness 1, one of them and any other text 0.
 """
 
 from __future__ import annotations
@@ -19,12 +19,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusieve.functions.arrays import place_among
 from corpusieve.llm.shingles import OnePermutation, Shingler
 from corpusieve.runtime import bound_batches, table
 
 BINS = 512
 BITS = 4
-_DIGITS = np.frombuffer(b"0123456789abcdef", np.uint8)
 
 
 class Fingerprinter:
@@ -40,13 +40,14 @@ class Fingerprinter:
         return (self.bin(shingles) & np.uint64((1 << BITS) - 1)).astype(np.uint8)
 
 
-def packed(bits: np.ndarray) -> str:
-    """Two bins in each byte, written in hex: one digit for each bin."""
-    return _DIGITS[bits].tobytes().decode()
+def packed(bits: np.ndarray) -> bytes:
+    """Two bins in each byte, the even one high."""
+    return (bits[::2] << BITS | bits[1::2]).astype(np.uint8).tobytes()
 
 
-def unpacked(fingerprint: str) -> np.ndarray:
-    return np.array([int(x, 16) for x in fingerprint], np.uint8)
+def unpacked(fingerprint: bytes) -> np.ndarray:
+    both = np.frombuffer(fingerprint, np.uint8)
+    return np.stack([both >> BITS, both & (1 << BITS) - 1], 1).ravel()
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -60,7 +61,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 def fingerprint(text: Column, bins: int = BINS) -> Column:
     """The fingerprint of each whole text; null counts as the empty text."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf("binary")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         make = Fingerprinter(bins)
         for batch in texts:
@@ -70,13 +71,14 @@ def fingerprint(text: Column, bins: int = BINS) -> Column:
 
 
 def similarity(a: Column, b: Column) -> Column:
-    """Likeness of two fingerprint columns; null where either is null. No Python: digits are
-    compared in place."""
-    equal = F.aggregate(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    share = equal / F.greatest(F.length(a), F.lit(1))
+    """Likeness of two fingerprint columns; null where either is null. No Python: their hex digits,
+    one for each bin, are compared in place."""
+    equal = F.aggregate(F.zip_with(F.split(F.hex(a), ""), F.split(F.hex(b), ""), lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+    share = equal / F.greatest(2 * F.octet_length(a), F.lit(1))
     chance = 1 / (1 << BITS)
     fair = F.greatest(F.lit(0.0), (share - chance) / (1 - chance))
-    return F.when((a == "") | (b == ""), (a == b).cast("double")).otherwise(fair)
+    empty = F.octet_length(a) * F.octet_length(b) == 0
+    return F.when(empty, (a == b).cast("double")).otherwise(fair)
 
 
 def with_next(docs: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -91,27 +93,18 @@ def with_next(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), key.alias("key"))
     ids = own.select("key")
-    cuts = np.unique(np.array(ids.selectExpr("double(key) k").approxQuantile("k", [k / n for k in range(1, n)], 0.2 / n) if n > 1 else [], float))
-
-    def run_of(keys: np.ndarray) -> np.ndarray:
-        return np.searchsorted(cuts, keys.astype(float), "right")
-
-    @F.pandas_udf("int")
-    def run(keys: pd.Series) -> pd.Series:
-        return pd.Series(run_of(keys.to_numpy()).astype("int32"))
-
-    tops = sorted((r.run, r.top) for r in ids.groupBy(run("key").alias("run")).agg(F.max("key").alias("top")).collect())  # a row for each run
-    above = {top: tops[k + 1][0] if k + 1 < len(tops) else tops[0][0] for k, (_, top) in enumerate(tops)}
-
-    @F.pandas_udf("array<int>")
-    def runs(keys: pd.Series) -> pd.Series:
-        return pd.Series([[int(r), above[k]] if k in above else [int(r)] for r, k in zip(run_of(keys.to_numpy()), keys, strict=True)], dtype=object)
-
-    placed = own.select("doc_id", "text", "key", F.posexplode(runs("key")).alias("guest", "run"))
+    cuts = sorted(set(ids.selectExpr("double(key) k").approxQuantile("k", [k / n for k in range(1, n)], 0.2 / n))) if n > 1 else []
+    run = place_among(F.lit(cuts), len(cuts), F.col("key").cast("double"))
+    tops = dict(sorted((r.run, r.top) for r in ids.groupBy(run.alias("run")).agg(F.max("key").alias("top")).collect()))  # a row for each run
+    above = dict(zip(tops, [*list(tops)[1:], *list(tops)[:1]], strict=True))
+    top_of, above_of = (F.array(*[F.lit(of.get(k)).cast("long") for k in range(len(cuts) + 1)]) for of in (tops, above))
+    runs = F.when(F.get(top_of, F.col("own")) == F.col("key"), F.array(F.col("own"), F.get(above_of, F.col("own")).cast("int"))).otherwise(F.array("own"))
+
+    placed = own.withColumn("own", run).select("doc_id", "text", "key", F.posexplode(runs).alias("guest", "run"))
     return placed.repartitionById(n, "run").sortWithinPartitions("run", "guest", F.col("key").desc(), "text").select("run", "guest", "doc_id", "text")
 
 
-REPORT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+REPORT = "doc_id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 def edit_report(docs: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -148,4 +141,5 @@ def _row(make: Fingerprinter, held: tuple, next_text: str, next_bits: np.ndarray
 def op3_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document, of its edited text, and their likeness."""
     bound_batches(spark)
-    return edit_report(table(spark, sf_dir, "documents"))
+    out = edit_report(table(spark, sf_dir, "documents"))
+    return out.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
