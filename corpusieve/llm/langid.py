@@ -7,14 +7,15 @@ paid and the context loses its oldest byte; below the empty context any byte cos
 statistics stay as they were learned, so the code length of a text is exact and the same everywhere.
 
 Words are what is coded: each lower-cased, without the marks and digits around it, between two
-spaces, and contexts reach back to the space before it. The code length of a text is therefore the
-sum over its words, each of which is coded once in a worker.
+spaces, and contexts reach back to the space before it, not into the word before. So the exact code
+length is that of a text's words in any order, not of its marks, digits and line ends; it is the sum
+over words, each of which is coded once in a worker. Of languages with equally short codes the first
+by name is predicted.
 """
 
 from __future__ import annotations
 
 import string
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusieve.llm.sampling import sampled_by
+from corpusieve.llm.sampling import sampled_by, taken
 from corpusieve.llm.shingles import mixed
 from corpusieve.llm.words import WordTable, text_sums
 from corpusieve.runtime import bound_batches, table
@@ -33,6 +34,9 @@ ORDER = 4
 #: Documents of each language, and of all together, that statistics are learned from at most.
 PER_LANGUAGE = 400
 SAMPLE = 4000
+#: Characters that they have together at most, and values of ``lang`` that count, the most frequent.
+SAMPLE_CHARS = 1 << 25
+LANGUAGES = 400
 UNDETERMINED = "und"
 #: A text is in no learned language if a byte takes more than so many times the usual bits.
 FAR = 2.5
@@ -214,16 +218,16 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def training_texts(docs: DataFrame, per_language: int = PER_LANGUAGE, sample: int = SAMPLE) -> dict[str, list[str]]:
+def training_texts(docs: DataFrame, per_language: int = PER_LANGUAGE, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> dict[str, list[str]]:
     """Texts of each language from docs(doc_id, text, lang): at most ``per_language`` documents of
     each language and ``sample`` in all, by the hash of doc_id, none held out, none with a null in
-    one of the three. Of rows that share doc_id and lang one text is taken."""
+    one of the three, and no more than ``chars`` characters. Of rows that share doc_id and lang one
+    text is taken."""
     known = docs.where("doc_id is not null and lang is not null").where(~held_out(F.col("doc_id"))).select("doc_id", "lang")
-    ids = sampled_by(known.distinct(), "lang", per_language, sample, "doc_id")
-    rows = docs.where("text is not null").select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()
-    rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id))
+    ids = sampled_by(known.distinct(), "lang", per_language, sample, LANGUAGES, "doc_id")
+    rows = docs.where("text is not null").select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
     texts: dict[str, list[str]] = {}
-    for r in rows:
+    for r in taken(rows, chars, "doc_id", "lang"):
         texts.setdefault(r.lang, []).append(r.text)
     return texts
 

@@ -11,7 +11,6 @@ number for each row, and one pair of numbers for each word.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusieve.llm.sampling import sampled
+from corpusieve.llm.sampling import sampled, taken
 from corpusieve.llm.shingles import mixed, odd_numbers
 from corpusieve.llm.words import WordTable, blocks, text_rows
 from corpusieve.runtime import bound_batches, table
@@ -31,6 +30,8 @@ DIMENSIONS = 16
 GRAMS = (2, 3, 4)
 #: Labelled documents that a model is trained on at most, chosen by the hash of doc_id.
 SAMPLE = 4000
+#: Characters that they have together at most; documents after those that fill it are left out.
+SAMPLE_CHARS = 1 << 25
 #: Steps of gradient descent, over as many rounds of the sample as that takes.
 STEPS = 12_000
 #: Zero rows in every mean, so that a word or two decide little.
@@ -175,8 +176,9 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from at most ``sample`` documents that have a label and are not held out.
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Model:
+    """A model from at most ``sample`` documents, of ``chars`` characters together, that have a label
+    and are not held out.
 
     Ids are chosen first, by hash, from ``labels`` alone, so only texts of the sample leave the
     executors. Several labels of one document: the majority, 1 on a tie; null labels and ids
@@ -184,9 +186,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """
     known = labels.where("quality is not null and doc_id is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
     ids = F.broadcast(sampled(known, sample, "doc_id"))  # bounded by sample
-    rows = docs.where("text is not null").select("doc_id", "text").join(ids, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label")).collect()
-    rows.sort(key=lambda r: zlib.crc32(str(r.doc_id).encode()))
-    return train([r.text for r in rows], [r.label for r in rows])
+    rows = docs.where("text is not null").select("doc_id", "text").join(ids, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
+    found = list(taken(rows, chars, "doc_id"))
+    return train([r.text for r in found], [r.label for r in found])
 
 
 def score(text: Column, model: Model) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 _RANGE = 1 << 31
@@ -13,22 +15,31 @@ def place(*key: str) -> Column:
     return F.pmod(F.xxhash64(*key), F.lit(_RANGE))
 
 
-def _cut(n: int, total: int) -> int:
+def _cut(n: int, total: Column) -> Column:
     """A bound of places below which about 2 n + 100 of ``total`` rows lie."""
-    return int(_RANGE * min(1.0, (2 * n + 100) / max(total, 1)))
+    return F.least(F.lit(1.0), (2 * n + 100) / F.greatest(total, F.lit(1))) * _RANGE
 
 
 def sampled(rows: DataFrame, n: int, *key: str) -> DataFrame:
     """The ``n`` rows that are first in hash order of ``key``. Counted first, so that all but about
     twice as many are dropped where they are read."""
-    return rows.where(place(*key) < _cut(n, rows.count())).orderBy(place(*key), *key).limit(n)
+    return rows.where(place(*key) < _cut(n, F.lit(rows.count()))).orderBy(place(*key), *key).limit(n)
 
 
-def sampled_by(rows: DataFrame, group: str, n: int, most: int, *key: str) -> DataFrame:
-    """The first ``n`` rows of each group, ``most`` in all, in turns; groups are few."""
-    bound = F.lit(0)
-    for g, total in rows.groupBy(group).count().collect():  # a row for each group
-        bound = F.when(F.col(group) == g, _cut(n, total)).otherwise(bound)
-    kept = rows.where(place(*key) < bound)
+def sampled_by(rows: DataFrame, group: str, n: int, most: int, groups: int, *key: str) -> DataFrame:
+    """The first ``n`` rows of each group, ``most`` in all, in turns. Only the ``groups`` largest
+    groups count, of equal ones the first by name."""
+    cuts = rows.groupBy(group).agg(F.count("*").alias("_total")).orderBy(F.desc("_total"), group).limit(groups)
+    kept = rows.join(F.broadcast(cuts), group).where(place(*key) < _cut(n, F.col("_total"))).drop("_total")  # at most ``groups`` rows
     turn = F.row_number().over(Window.partitionBy(group).orderBy(place(*key), *key))
     return kept.withColumn("_turn", turn).where(F.col("_turn") <= n).orderBy("_turn", group).limit(most).drop("_turn")
+
+
+def taken(rows: DataFrame, chars: int, *key: str) -> Iterator[Row]:
+    """Rows with a text, in hash order of ``key``, until their texts have ``chars`` characters. They
+    come to the driver partition by partition, so what it holds is bounded, however long texts are."""
+    for row in rows.orderBy(place(*key), *key).toLocalIterator():
+        chars -= len(row.text)
+        if chars < 0:
+            return
+        yield row
