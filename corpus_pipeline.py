@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusieve.llm import chosenpath, langid, packing, quality
-from corpusieve.runtime import bound_batches, scratch, table, written
+from corpusieve.runtime import bound_batches, discard, scratch, table, written
 
 #: A document must be in one of the learned languages with this probability at least.
 LANGUAGE_SURE = 0.5
@@ -54,13 +54,16 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies, that with the least doc_id."""
+    """Keeps one document of each group of near copies, that with the least doc_id, nulls last. All
+    rows whose text is null, empty or without words are copies of one another; of rows that are
+    repeated whole, one stays."""
     bound_batches(spark)
     return chosenpath.keep_one(docs)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into training sequences; a row for each piece of a document."""
+    """Packs what is left into training sequences; a row for each piece of a document. A null text is
+    empty, which leaves its end token; a null doc_id stays null."""
     import public_tokenizers
 
     bound_batches(spark)
@@ -79,7 +82,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each one's rows are written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            discard(before)
+        before = docs
     return docs
