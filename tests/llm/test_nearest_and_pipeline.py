@@ -52,6 +52,42 @@ def test_copies_and_unusable_vectors(spark):
     assert anisotropic.search(vectors(spark, [(0, [1.0, 2.0])])).count() == 0
 
 
+def test_repeated_ids_are_rows_of_their_own(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.0, 1.0]), (1, [0.5, 0.25])]
+    got = sorted((r.rank, r.vec_id, r.score) for r in anisotropic.search(vectors(spark, rows)).collect())
+    assert got == sorted([(1, 1, 0.5), (2, 0, 0.0), (3, 0, 0.0), *2 * [(1, 0, 1.0), (2, 1, 0.25), (3, 0, 0.0)]])
+    asked = vectors(spark, [(7, [1.0, 1.0]), (7, [1.0, 1.0])])
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in anisotropic.search(vectors(spark, rows), asked, nearest=2).collect())
+    assert got == 2 * [(7, 1, 0, 1.0)] + 2 * [(7, 2, 0, 1.0)]
+
+
+def test_many_copies_with_the_query_among_them(spark):
+    rows = [(i // 2, [2.0, 2.0]) for i in range(120)] + [(500, [2.0, 1.0])]
+    by_query: dict[int, list] = {}
+    for r in anisotropic.search(vectors(spark, rows)).collect():
+        by_query.setdefault(r.query_id, []).append(r.vec_id)
+    assert sorted(by_query) == [0, 20, 40, 500]
+    assert sorted(by_query[0]) == sorted(2 * [0, *[v for i in range(1, 10) for v in (i, i)], 10])
+    assert sorted(by_query[500]) == sorted(v for i in range(10) for v in (i, i))
+
+
+def test_query_equals_brute_force(spark, sf_dir):
+    own = table(spark, sf_dir, "embeddings").collect()
+    ids, x = np.array([r.vec_id for r in own]), np.array([r.embedding for r in own], float)
+    got: dict[int, list] = {}
+    for r in anisotropic.op4_query(spark, sf_dir).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert sorted(got) == sorted(i for i in ids if i % 20 == 0)
+    hits = 0
+    for q, rows in got.items():
+        want, scores = brute(ids, x, q, x[ids == q][0])
+        assert sorted(r for r, _, _ in rows) == list(range(1, 21))
+        hits += len(set(want) & {v for _, v, _ in rows})
+        for _, v, s in rows:
+            assert s == pytest.approx(float((x[ids == v][0] * x[ids == q][0]).sum()), abs=1e-12)
+    assert hits / (20 * len(got)) >= 0.95
+
+
 def test_anisotropic_loss_falls():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(500, 16))

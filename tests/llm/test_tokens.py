@@ -16,8 +16,9 @@ from corpusieve.llm import bpe, encoders, packing, tokenfiles
 from corpusieve.runtime import scratch
 
 RANKS, JSON = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
-TEXTS = [None, "", " ", "a", "  two  spaces \n\n x\t", "naïve café 中文 😀", "<|endoftext|>", "x" * 3000, "word, word. word\nword", "I'll 12,345!"]
-PIECES = st.lists(st.sampled_from(["a", "the", " ", "\n", "\t", "\x1c", " ", "é", "中", "😀", "12", "'s", ".", ",", "<|endoftext|>", "ing", "A"]), max_size=30).map("".join)
+END = "<|endoftext|>"
+TEXTS = [None, "", " ", "a", "  two  spaces \n\n x\t", "naïve café 中文 😀", END, f"{END} start", f"a {END} b", f"at the end {END}", f"{END}{END} twice  {END}", "<|endoftext|", "x" * 3000, "word, word. word\nword", "I'll 12,345!"]
+PIECES = st.lists(st.sampled_from(["a", "the", " ", "\n", "\t", "\x1c", " ", "é", "中", "😀", "12", "'s", ".", ",", END, "<|", "ing", "A"]), max_size=30).map("".join)
 
 
 @pytest.fixture(scope="module")
@@ -27,9 +28,7 @@ def reference():
 
 @pytest.fixture(scope="module")
 def library():
-    t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(JSON)
 
 
 def ids_of(data: bytes) -> list[int]:
@@ -51,11 +50,18 @@ def test_chunks_equal_the_whole_text(library, text):
 
 
 def test_memo_overflow_changes_nothing(library):
-    small = encoders.ChunkEncoder(encoders.library_encoder(JSON).pretoken.compute, limit=2)
+    small = encoders.ChunkEncoder(encoders.library_encoder(JSON).chunks.pretoken.compute, limit=2)
     text = "many different words pass by here, many different words"
     assert ids_of(small(text)) == library.encode(text, add_special_tokens=False).ids
 
 
+def test_other_files_go_to_the_library_whole():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole, encode = Tokenizer.from_file(path), encoders.library_encoder(path)
+    for text in ("Some Words, 12!", f"a {END} b", " "):
+        assert ids_of(encode(text)) == whole.encode(text, add_special_tokens=False).ids
+
+
 def frame(spark, texts, **more):
     rows = [(i, t, "clash") for i, t in enumerate(texts)]
     return spark.createDataFrame(rows, "doc_id long, text string, ids string")
