@@ -9,6 +9,8 @@ from corpusieve.functions.text import marked_pages
 
 BLOCKS = "█■▮"
 LEAST_SCORE = 0.25
+#: Characters below which a page counts as one that has hardly any text (fixed value).
+SHORT = 60
 
 
 def text_score(text: Column) -> Column:
@@ -34,14 +36,36 @@ def dark_pixel_ratio(histogram: Column) -> Column:
 
 def page_score(text: Column, area: Column, pixels: Column) -> Column:
     """The strongest sign; pixels only count where the page has hardly any text."""
-    dark = F.when(F.length(text) < 60, F.greatest(F.lit(0.0), 2.0 * (pixels - 0.25))).otherwise(0.0)
+    dark = F.when(F.length(text) < SHORT, F.greatest(F.lit(0.0), 2.0 * (pixels - 0.25))).otherwise(0.0)
     return F.least(F.lit(1.0), F.greatest(text_score(text), 3.0 * area, dark))
 
 
-def page_flags(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """doc_id, page_no and score of pages that their text gives away."""
+def page_flags(docs: DataFrame, signs: DataFrame | None = None, least: float = LEAST_SCORE) -> DataFrame:
+    """doc_id, page_no, score and details of pages that look redacted.
+
+    ``signs``(doc_id, page_no, boxes, page_width, page_height, histogram) is what was seen of pages: dark
+    boxes as ``black_area_ratio`` takes them and a histogram of gray. Pages without signs go by their
+    text alone, pages without text by their signs alone. Pixels were looked at where the text is short.
+    """
     own = docs.select("doc_id", F.inline(marked_pages(F.coalesce("text", F.lit("")))))
-    return own.select("doc_id", "page_no", text_score(F.col("text")).alias("score")).where(F.col("score") >= least)
+    if signs is None:
+        seen = own.withColumns({"_area": F.lit(0.0), "_large": F.lit(0), "_pixels": F.lit(0.0)})
+    else:
+        page = F.col("page_width") * F.col("page_height")
+        large = F.size(F.filter("boxes", lambda b: (b["darkness"] <= 0.45) & (b["width"] * b["height"] >= 0.01 * page)))
+        drawn = signs.select("doc_id", "page_no", black_area_ratio(F.col("boxes"), F.col("page_width"), F.col("page_height")).alias("_area"), large.alias("_large"), dark_pixel_ratio(F.col("histogram")).alias("_pixels"))
+        both = own.join(drawn, ["doc_id", "page_no"], "full_outer")
+        seen = both.select("doc_id", "page_no", F.coalesce("text", F.lit("")).alias("text"), *[F.coalesce(c, F.lit(zero)).alias(c) for c, zero in (("_area", 0.0), ("_large", 0), ("_pixels", 0.0))])
+    text, looked = F.col("text"), F.length("text") < SHORT
+    details = F.struct(
+        text_score(text).alias("text_score"),
+        F.col("_area").alias("black_area_ratio"),
+        F.col("_large").alias("big_black_rects"),
+        F.when(looked, F.col("_pixels")).otherwise(0.0).alias("dark_pixel_ratio"),
+        (looked if signs is not None else F.lit(False)).alias("pixel_check_used"),
+    )
+    scored = seen.select("doc_id", "page_no", page_score(text, F.col("_area"), F.col("_pixels")).alias("score"), details.alias("details"))
+    return scored.where(F.col("score") >= least)
 
 
 def looks_scanned(pages: Column, chars: int = 40, share: float = 0.35) -> Column:

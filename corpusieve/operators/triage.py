@@ -39,7 +39,7 @@ def triage(docs: DataFrame, settings: Settings, provider: Callable[[], embedding
     model = model or Model()
     text = F.coalesce("text", F.lit(""))
     least = docs.select("doc_id", F.sha2(text, 256).alias("sha256")).groupBy("sha256").agg(F.min("doc_id").alias("doc_id"))
-    own = docs.join(least, "doc_id")
+    own = written(docs.join(least, "doc_id"), "triage-own")  # all that follows reads it
     pack = compile_pack(list(settings.keywords), set(settings.stopwords), docs.sparkSession)
     hits = matching.capped(matching.hits(own, pack)).select("doc_id", "method", "pattern", "pattern_order", "hit", "score", "snippet") if pack else None
     if settings.query:
@@ -74,7 +74,7 @@ def triage(docs: DataFrame, settings: Settings, provider: Callable[[], embedding
     return {
         "documents": written(out.drop("vector", "norm", "_high", "_low"), "triage-documents"),
         "matches": matches,
-        "doc_entities": entities.merged(entities.extract(own)),
+        "doc_entities": entities.merged(entities.extract(own, settings.ner_engine)),
         "doc_page_flags": redaction.page_flags(own),
     }
 

@@ -28,6 +28,7 @@ class Settings:
     stopwords: tuple[str, ...] = ()
     allow_offsite: bool = False
     storage_layout: str = "flat"
+    ner_engine: str = "regex"
 
     @staticmethod
     def load(path: str) -> Settings:
