@@ -51,17 +51,3 @@ def merged_means(df: DataFrame, by: list[str], vector: str) -> DataFrame:
     own = df.select(*by, F.posexplode(doubles(F.col(vector))).alias("i", "_x"))
     states = own.groupBy(*by, "i").agg(F.sum("_x").alias("_s"), F.count("_x").alias("_n"))
     return states.select(*by, "i", (F.col("_s") / F.col("_n")).alias("x"))
-
-
-def top_by_cosine(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    """query_id, rank, row_id, similarity: the k rows nearest to each of a few queries.
-
-    ``queries``(query_id, q, q_norm) is a handful; it is broadcast and met by every row once, and
-    each task keeps its own best before anything is shuffled.
-    """
-    from pyspark.sql import Window
-
-    met = rows.join(F.broadcast(queries), F.lit(True), "inner")
-    scored = met.select("query_id", "row_id", cosine(F.col("q"), F.col("q_norm"), F.col("v"), F.col("v_norm")).alias("similarity"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "row_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)

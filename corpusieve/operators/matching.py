@@ -12,8 +12,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusieve.functions.arrays import once
 from corpusieve.functions.text import chunks, located, matches, sentences, snippet, word_tokens
 from corpusieve.functions.vectors import cosine, norm
+from corpusieve.operators.pairs import met
 from corpusieve.plans import boolean
 from corpusieve.plans.patterns import Pattern
 
@@ -130,25 +132,64 @@ def fuzzy_keywords(keywords: list[str]) -> list[str]:
     return [k for k in keywords[:FUZZY_KEYWORDS] if len(word_tokens(k)) > 1 and len(k.strip()) >= 8]
 
 
+#: White space as Python's split sees it.
+_SPACE = r"(?U)[\s\x1c-\x1f]+"
+
+
+def _joined_length(words: Column) -> Column:
+    """Characters of the words with a space between each two."""
+    return F.aggregate(words, F.size(words) - 1, lambda n, w: n + F.length(w))
+
+
+def _with_words(sentence: Column) -> Column:
+    """A sentence as s, its distinct lower-cased words and their length."""
+    return once(F.array_distinct(F.split(F.lower(sentence), _SPACE, -1)), lambda w: F.struct(sentence.alias("s"), w.alias("words"), _joined_length(w).alias("n")))
+
+
+def _may_be_like(x: Column, keyword: str, least: float) -> Column:
+    """Whether a sentence's likeness to the keyword can reach ``least``; never false where it does.
+
+    All of one side's words on the other make a whole match. Otherwise two strings of a and b
+    characters have a likeness of at most 2 min(a, b) / (a + b); this is tried for both sides whole, and
+    for the shared words against each.
+    """
+    own = list(dict.fromkeys(keyword.lower().split()))
+    a, words = len(" ".join(own)), F.array(*[F.lit(w) for w in own])
+    near = lambda m, n: 2 * F.least(m, n) >= least * (m + n) - 1e-9
+
+    def by_words(shared: Column) -> Column:
+        s = _joined_length(shared)
+        whole = (F.size(shared) == len(own)) | (F.size(shared) == F.size(x["words"]))
+        return (F.size(shared) > 0) & (whole | near(s, F.lit(a)) | near(s, x["n"]))
+
+    return near(F.lit(a), x["n"]) | once(F.array_intersect(words, x["words"]), by_words)
+
+
+def _like(every: Column, keyword: str, least: float) -> Column:
+    return F.transform(F.filter(every, lambda x: _may_be_like(x, keyword, least)), lambda x: x["s"])
+
+
 def fuzzy_hits(docs: DataFrame, keywords: list[str], least: float = FUZZY_LEAST) -> DataFrame:
     """doc_id, pattern, score and snippet: for each keyword a document's best sentence, if it is
     good enough. Of equally good sentences the first counts.
 
-    Sentences are split and, by length, screened before anything is computed: the common
-    subsequence can't be longer than the keyword.
+    Sentences that can't be good enough, by their length and the words that they share with a keyword,
+    are dropped before Python; most documents have none left and never get there.
     """
     wanted = fuzzy_keywords(keywords)
+    if not wanted:
+        return docs.sparkSession.createDataFrame([], "doc_id long, pattern string, score double, snippet string")
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lowered = [(k, k.lower(), set(k.lower().split())) for k in wanted]
+        lowered = [(k.lower(), set(k.lower().split())) for k in wanted]
         for batch in batches:
             rows = []
-            for doc_id, pieces in zip(batch["doc_id"], batch["sentences"], strict=True):
-                parts = [(s, s.lower(), set(s.lower().split())) for s in pieces]
-                for keyword, low, own in lowered:
+            for doc_id, found in zip(batch["doc_id"], batch["found"], strict=True):
+                for keyword, (low, own), pieces in zip(wanted, lowered, found, strict=True):
                     best, shown = 0.0, ""
-                    for s, low_s, has in parts:
-                        score = 100.0 if own <= has else token_set_ratio(low, low_s)
+                    for s in pieces:
+                        low_s = s.lower()
+                        score = 100.0 if own <= set(low_s.split()) else token_set_ratio(low, low_s)
                         if score > best:
                             best, shown = score, s
                             if best == 100.0:
@@ -157,7 +198,8 @@ def fuzzy_hits(docs: DataFrame, keywords: list[str], least: float = FUZZY_LEAST)
                         rows.append((doc_id, keyword, best / 100.0, shown[:FUZZY_SNIPPET]))
             yield pd.DataFrame(rows, columns=["doc_id", "pattern", "score", "snippet"])
 
-    return docs.select("doc_id", sentences(F.coalesce("text", F.lit(""))).alias("sentences")).mapInPandas(task, "doc_id long, pattern string, score double, snippet string")
+    own = docs.select("doc_id", once(F.transform(sentences(F.coalesce("text", F.lit(""))), _with_words), lambda every: F.array(*[_like(every, k, least) for k in wanted])).alias("found"))
+    return own.where(F.exists("found", lambda x: F.size(x) > 0)).mapInPandas(task, "doc_id long, pattern string, score double, snippet string")
 
 
 def fuzzy_subset_hits(docs: DataFrame, keywords: list[str]) -> DataFrame:
@@ -183,9 +225,18 @@ def chunk_rows(docs: DataFrame, size: int, overlap: int) -> DataFrame:
 
 def semantic_hits(keywords: DataFrame, rows: DataFrame, least: float = 0.62, top: int = 30) -> DataFrame:
     """row_id, keyword_id and score: for each chunk its nearest keywords, ``top`` at most, with
-    cosine ``least`` or more. ``keywords``(keyword_id, k) is a pack, small and broadcast."""
+    cosine ``least`` or more. ``keywords``(keyword_id, k) is a pack."""
     k = keywords.select("keyword_id", "k", norm(F.col("k")).alias("k_norm"))
-    met = rows.select("row_id", "v", norm(F.col("v")).alias("v_norm")).join(F.broadcast(k), F.lit(True), "inner")
-    scored = met.select("row_id", "keyword_id", cosine(F.col("k"), F.col("k_norm"), F.col("v"), F.col("v_norm")).alias("score")).where(F.col("score") >= least)
+    both = met(k, rows.select("row_id", "v", norm(F.col("v")).alias("v_norm")))
+    scored = both.select("row_id", "keyword_id", cosine(F.col("k"), F.col("k_norm"), F.col("v"), F.col("v_norm")).alias("score")).where(F.col("score") >= least)
     rank = F.row_number().over(Window.partitionBy("row_id").orderBy(F.desc("score"), "keyword_id"))
     return scored.withColumn("_n", rank).where(F.col("_n") <= top).drop("_n")
+
+
+def top_by_cosine(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, row_id, similarity: the k rows(row_id, v, v_norm) nearest to each of the
+    queries(query_id, q, q_norm); each task keeps its own best before anything is shuffled by query."""
+    both = met(queries, rows)
+    scored = both.select("query_id", "row_id", cosine(F.col("q"), F.col("q_norm"), F.col("v"), F.col("v_norm")).alias("similarity"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "row_id"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusieve.functions import vectors as V
-from corpusieve.operators import matching
+from corpusieve.operators import matching, pairs
 from corpusieve.runtime import table
 
 
@@ -30,7 +30,7 @@ def cosine_to_query(spark, d):
 
 def semantic_topk(spark, d):
     own = rows(spark, d).select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("v"), V.norm(F.col("embedding")).alias("v_norm"))
-    top = V.top_by_cosine(_query(spark, d, "vec_id in (0, 1, 2)"), own, 20)
+    top = matching.top_by_cosine(_query(spark, d, "vec_id in (0, 1, 2)"), own, 20)
     return top.select("query_id", F.col("rank").cast("long").alias("rank"), "row_id", F.round("similarity", 6).alias("similarity"))
 
 
@@ -54,7 +54,7 @@ def suggest_related(spark, d):
     """For the first twenty vectors as keywords, the five nearest other ones of all rows."""
     own = rows(spark, d).select("vec_id", "embedding", V.norm(F.col("embedding")).alias("n"))
     a, b = own.where("vec_id < 20").select(F.col("vec_id").alias("a"), F.col("embedding").alias("x"), F.col("n").alias("xn")), own.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y"), F.col("n").alias("yn"))
-    met = b.join(F.broadcast(a), F.col("a") != F.col("b")).select("a", "b", F.round(V.cosine(F.col("x"), F.col("xn"), F.col("y"), F.col("yn")), 6).alias("similarity"))  # twenty rows
+    met = pairs.met(a, b).where(F.col("a") != F.col("b")).select("a", "b", F.round(V.cosine(F.col("x"), F.col("xn"), F.col("y"), F.col("yn")), 6).alias("similarity"))
     place = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), "b"))
     return met.withColumn("place", place.cast("long")).where("place <= 5")
 

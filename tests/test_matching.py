@@ -4,9 +4,11 @@ import random
 import re
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from corpusieve.functions import text as T
-from corpusieve.operators import matching
+from corpusieve.operators import matching, pairs
 from corpusieve.plans import boolean
 from corpusieve.plans.patterns import compile_pack
 from pyspark.sql import functions as F
@@ -105,3 +107,63 @@ def test_near_equals_python(spark):
 def test_pages(spark):
     rows = frame(spark, "x [PAGE 1] one [page 2] two").select(F.inline(T.pages(F.col("text")))).collect()
     assert [(r.page_no, r.text.strip()) for r in rows] == [(None, "x"), (1, "one"), (2, "two")]
+
+
+def test_offsets_of_patterns_that_can_match_nothing(spark):
+    found = matching.hits(frame(spark, "baaac xaay", "", "\ufdd0a\ufdd1 a"), compile_pack(["re:a*"])).collect()
+    assert [(r.doc_id, r.start, r.snippet.strip()[:1]) for r in found if r.doc_id == 0] == [(0, 1, "b"), (0, 7, "b")]
+    assert sorted(r.start for r in found if r.doc_id == 2) == [1, 4]
+
+
+def test_offsets_of_many_hits(spark):
+    text = "ab " * 1500
+    found = matching.hits(frame(spark, text), compile_pack(["a?"]), with_snippet=False).collect()
+    assert [r.start for r in sorted(found, key=lambda r: r.hit)] == list(range(0, 4500, 3))
+
+
+@pytest.mark.parametrize(
+    ("query", "want"),
+    [("a OR b AND c", "(a OR (b AND c))"), ("a AND b NEAR/3 c", "(a AND b) NEAR/3 c"), ("NOT a AND b", "(NOT(a) AND b)"), ("a b", "b"), ("a AND b NOT c", "(b AND NOT(c))"), ("(a OR b) AND c", "((a OR b) AND c)")]
+    + [("a OR b ) AND c", "((a OR b) AND c)"), ("android AND-x", "(android AND -x)"), ('"a (b" or near/2x', '("a (b" OR near/2x)'), ("a and b or c", "((a AND b) OR c)"), ("a NEAR/2 b NEAR/3 c", "a NEAR/2 b NEAR/3 c"), ("NOT (a OR b)", "NOT((a OR b))")],
+)
+def test_how_queries_are_read(query, want):
+    assert boolean.parse(query).text == want
+
+
+@pytest.mark.parametrize("query", ["a OR", "OR a", "()", "a AND ()", "NOT", "(a"])
+def test_unreadable_queries(query):
+    with pytest.raises(boolean.QueryError):
+        boolean.parse(query)
+
+
+def test_strict_near():
+    with pytest.raises(boolean.QueryError):
+        boolean.parse("(a AND b) NEAR/2 c", strict=True)
+
+
+def test_near_on_edges(spark):
+    texts = ["", None, "a", "b a", "A x B", "a " + "x " * 3000 + "b"]
+    near = lambda q: [r.ok for r in frame(spark, *texts).select(boolean.compiled(q, F.col("text")).alias("ok")).collect()]
+    assert near("a NEAR/2 b") == [False, False, False, True, True, False]
+    assert near("a NEAR/99999999999 b") == [False, False, False, True, True, True]
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["black", "book", "Bock", "a", "log", "flight", "x\u00a0y", "é"]), max_size=6).map(" ".join), max_size=8))
+def test_fuzzy_screen_loses_nothing(spark, texts):
+    keywords = ["black book", "flight log a", "book book black x"]
+    got = {(r.doc_id, r.pattern): r.score for r in matching.fuzzy_hits(frame(spark, "", *texts), keywords, 0.8).collect()}
+    want = {}
+    for i, t in enumerate(texts, 1):
+        for k in keywords:
+            score = matching.token_set_ratio(k.lower(), t.strip().lower()) / 100
+            if score >= 0.8:
+                want[i, k] = score
+    assert got == pytest.approx(want)
+
+
+def test_many_keywords_meet_rows_in_blocks(spark, monkeypatch):
+    few, rows = spark.range(7).withColumnRenamed("id", "a"), spark.range(20).withColumnRenamed("id", "b")
+    got = {(r.a, r.b) for r in pairs.met(few, rows, most=3).collect()}
+    assert got == {(a, b) for a in range(7) for b in range(20)} == {(r.a, r.b) for r in pairs.met(few, rows).collect()}
+    assert pairs.met(few, rows, most=3).count() == 140
