@@ -1,7 +1,9 @@
 """The attempt log as a stream: latest state, counters, new documents, change detection.
 
-A log folder of Parquet files is read file by file. State views are kept as versioned snapshots that
-``foreachBatch`` writes, named by the batch, so a batch that is replayed writes the same one again.
+A log folder of Parquet files is read file by file. State views are kept in buckets by key, each in
+versions that ``foreachBatch`` writes, named by the batch: a batch writes anew only those buckets that
+it has keys of, and one that is replayed writes the same again. Older versions go when two newer ones
+of their bucket are there.
 """
 
 from __future__ import annotations
@@ -22,29 +24,58 @@ def source(spark: SparkSession, path: str, schema: StructType, files: int = 16)
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def keep_latest(stream: DataFrame, root: str, checkpoint: str, key: str, *order: str, available_now: bool = True) -> StreamingQuery:
-    """Keeps the last row of each key as snapshots below ``root``; ``current_state`` reads them."""
+#: Buckets that a state is kept in.
+BUCKETS = 64
+
+
+def keep_latest(stream: DataFrame, root: str, checkpoint: str, key: str, *order: str, available_now: bool = True, buckets: int = BUCKETS) -> StreamingQuery:
+    """Keeps the last row of each key below ``root``; ``current_state`` reads it."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = _snapshot(spark, root, number - 1, batch.schema) if number else None
-        rows = batch if before is None else before.unionByName(batch)
-        latest(rows, key, *order).write.mode("overwrite").parquet(f"{root}/batch={number:010d}")
+        spark, bucket = batch.sparkSession, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+        touched = [r[0] for r in batch.select(bucket).distinct().collect()]  # as many as there are buckets
+        held = _versions(spark, root, number)
+        before = [held[b][-1] for b in touched if b in held]
+        rows = batch.unionByName(spark.read.schema(batch.schema).parquet(*before)) if before else batch
+        own = latest(rows, key, *order).withColumn(_BUCKET, bucket)
+        own.repartition(max(1, len(touched)), _BUCKET).write.mode("overwrite").partitionBy(_BUCKET).parquet(f"{root}/batch={number:010d}")
+        path, fs = _files(spark, root)
+        for b in touched:
+            for old in held.get(b, [])[:-1]:  # the one before stays for who reads it now
+                fs.delete(path(old), True)
 
     writer = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="5 seconds")).start()
 
 
-def _snapshot(spark: SparkSession, root: str, number: int, schema: StructType) -> DataFrame:
-    return spark.read.schema(schema).parquet(f"{root}/batch={number:010d}")
+_BUCKET = "state_bucket"
+
+
+def _files(spark: SparkSession, root: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return path, path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _versions(spark: SparkSession, root: str, before: int | None = None) -> dict[int, list[str]]:
+    """For each bucket the folders of its versions, oldest first, of batches that were written whole
+    (``before``: lower ones only)."""
+    path, fs = _files(spark, root)
+    out: dict[int, list[str]] = {}
+    if not fs.exists(path(root)):
+        return out
+    for batch in sorted(x.getPath().toString() for x in fs.listStatus(path(root))):
+        number = batch.rpartition("batch=")[2]
+        if number.isdigit() and (before is None or int(number) < before) and fs.exists(path(f"{batch}/_SUCCESS")):
+            for x in fs.listStatus(path(batch)):
+                name = x.getPath().getName()
+                if name.startswith(f"{_BUCKET}="):
+                    out.setdefault(int(name.partition("=")[2]), []).append(x.getPath().toString())
+    return out
 
 
 def current_state(spark: SparkSession, root: str) -> DataFrame:
-    """The newest whole snapshot."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    done = sorted(x.getPath().toString() for x in fs.listStatus(path) if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x.getPath(), "_SUCCESS")))
-    return spark.read.parquet(done[-1])
+    """The newest whole version of every bucket."""
+    return spark.read.parquet(*[own[-1] for own in _versions(spark, root).values()])
 
 
 def status_counts(log: DataFrame, ts: str, status: str, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
