@@ -100,8 +100,16 @@ def flagged_path(folder: str, sha256: Column, suffix: str, layout: str, title: C
 
 
 def flagged(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """Documents with at least one hit and how many; hits are counted before they meet documents."""
-    return docs.join(found.groupBy("doc_id").agg(F.count("*").alias("match_count")), "doc_id")
+    """Documents with at least one hit and how many, as match_count; hits are counted before they meet
+    documents. ``found`` has a row for each hit, or for some of them with their number as n_hits."""
+    n = F.sum("n_hits") if "n_hits" in found.columns else F.count("*")
+    return docs.join(found.groupBy("doc_id").agg(n.alias("match_count")), "doc_id")
+
+
+def newest_flagged(docs: DataFrame, found: DataFrame, reviews: DataFrame, limit: int = 500) -> DataFrame:
+    """The flagged list: the ``limit`` documents(doc_id, fetched_at, ...) with hits that were fetched last,
+    with their review; ties by doc_id, never fetched ones last."""
+    return with_reviews(flagged(docs, found), reviews).orderBy(F.desc_nulls_last("fetched_at"), "doc_id").limit(limit)
 
 
 def with_reviews(docs: DataFrame, reviews: DataFrame) -> DataFrame:

@@ -46,6 +46,14 @@ def upsert_urls(state: DataFrame, incoming: DataFrame, preserve_done: bool = Tru
     return both.select("url", status.alias("status"), at.alias("discovered_at"), "local_path", "sha256")
 
 
+def lookup(table: DataFrame, key: str, value: object, defaults: dict[str, object]) -> DataFrame:
+    """One row: ``key`` and the columns of ``defaults`` of the row that has the key, the defaults where
+    none has it or its column is null. Of several rows the least by these columns counts."""
+    kind = dict(table.dtypes)
+    found = table.where(F.col(key) == F.lit(value)).agg(F.min(F.struct(*defaults)).alias("_row"))
+    return found.select(F.lit(value).cast(kind[key]).alias(key), *[F.coalesce(F.col(f"_row.{c}"), F.lit(v).cast(kind[c])).alias(c) for c, v in defaults.items()])
+
+
 def clear_pending(state: DataFrame) -> DataFrame:
     return state.withColumn("status", F.when(F.col("status").isin(*PENDING), "abandoned").otherwise(F.col("status")))
 

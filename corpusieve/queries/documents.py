@@ -9,7 +9,7 @@ from corpusieve.functions import text as T
 from corpusieve.operators import entities, highlight, matching, redaction, scoring, search, state
 from corpusieve.plans import boolean
 from corpusieve.plans.patterns import compile_pack
-from corpusieve.runtime import table
+from corpusieve.runtime import scratch, table
 from corpusieve.sources import files
 
 WORDS, PHRASES, FREQUENT = ["that", "license", "nicht", "dans"], ["on the", "of the"], ["the", "of", "and", "de", "in"]
@@ -144,6 +144,70 @@ def keyword_rank_score(spark, d):
     return found.select("doc_id", F.round("keyword_rank", 6).alias("keyword_rank"))
 
 
+FTS = {
+    "fts_phrase": '"on the"',
+    "fts_prefix": "licen*",
+    "fts_near": "NEAR(license the, 5)",
+    "fts_not": "license NOT copyright",
+    "fts_column": "title:the license",
+    "fts_fallback": ", ",
+}
+
+
+def _fts(query: str):
+    def run(spark, d):
+        found = search.find(search.with_title(docs(spark, d)), query, 250)
+        return found.select("doc_id", F.round("bm25", 6).alias("bm25"))
+
+    return run
+
+
+def _sql_places(words: list[str], field: str, prefix: bool = False) -> str:
+    """How often words follow each other in a list of words."""
+    tests = [f"{field}[i + {k}] = '{w}'" if not (prefix and k == len(words) - 1) else f"starts_with({field}[i + {k}], '{w}')" for k, w in enumerate(words)]
+    return f"len(list_filter(range(1, len({field}) + 1), lambda i: {' AND '.join(tests)}))"
+
+
+def _sql_both(words: list[str], prefix: bool = False) -> str:
+    return f"({_sql_places(words, 't', prefix)} + {_sql_places(words, 'c', prefix)})"
+
+
+def _sql_near(field: str, a: str, b: str, n: int) -> str:
+    return f"len(list_filter(range(1, len({field}) + 1), lambda i: {field}[i] = '{a}' AND list_contains({field}[greatest(1, i - {n + 1}):i + {n + 1}], '{b}'))) > 0"
+
+
+def _sql_fts(counts: dict[str, str], holds: str, scored: list[str]) -> str:
+    """bm25 of documents for which ``holds``, by the named counts over t (title) and c (content)."""
+    own, numbers = ", ".join(f"{e} AS {k}" for k, e in counts.items()), ", ".join(f"sum(({k} > 0)::INT) AS d_{k}" for k in scored)
+    score = " ".join(f"- greatest(ln((n - d_{k} + .5) / (d_{k} + .5)), 1e-6) * {k} * 2.2 / ({k} + 1.2 * (.25 + .75 * dl / al))" for k in scored)
+    return rf"""
+  WITH t AS (SELECT doc_id, regexp_extract_all(string_split({_FOLDED}, chr(10))[1], '[\p{{L}}\p{{N}}]+') AS t, regexp_extract_all({_FOLDED}, '[\p{{L}}\p{{N}}]+') AS c FROM documents),
+  f AS (SELECT doc_id, t, c, len(t) + len(c) AS dl, {own} FROM t), s AS (SELECT count(*) AS n, avg(dl) AS al, {numbers} FROM f)
+  SELECT doc_id, round(bm25, 6) AS bm25 FROM (SELECT doc_id, {score} AS bm25 FROM f, s WHERE {holds}) ORDER BY round(bm25, 9), doc_id LIMIT 250"""
+
+
+def _fts_sql() -> dict[str, str]:
+    near = f"a > 0 AND b > 0 AND ({_sql_near('t', 'license', 'the', 5)} OR {_sql_near('c', 'license', 'the', 5)})"
+    return {
+        "fts_phrase": _sql_fts({"a": _sql_both(["on", "the"])}, "a > 0", ["a"]),
+        "fts_prefix": _sql_fts({"a": _sql_both(["licen"], True)}, "a > 0", ["a"]),
+        "fts_near": _sql_fts({"a": _sql_both(["license"]), "b": _sql_both(["the"])}, near, ["a", "b"]),
+        "fts_not": _sql_fts({"a": _sql_both(["license"]), "b": _sql_both(["copyright"])}, "a > 0 AND b = 0", ["a"]),
+        "fts_column": _sql_fts({"a": _sql_places(["the"], "t"), "b": _sql_both(["license"])}, "a > 0 AND b > 0", ["a", "b"]),
+        "fts_fallback": "SELECT doc_id, 0.0::DOUBLE AS bm25 FROM documents WHERE text ILIKE '%, %' ORDER BY doc_id LIMIT 250",
+    }
+
+
+def indexed_search(spark, d):
+    """The search by an index that was written in two parts."""
+    root, own = scratch(spark, "search-index"), search.with_title(docs(spark, d))
+    search.Index.append(own.where("doc_id % 2 = 0"), root)
+    search.Index.append(own, root)
+    found = search.find(own, SEARCH, 50, index=search.Index.open(spark, root))
+    rank = F.row_number().over(Window.orderBy("bm25", "doc_id")).cast("long")
+    return found.select("doc_id", F.round("bm25", 6).alias("bm25"), rank.alias("rank"))
+
+
 def like_search(spark, d):
     return search.like_search(search.with_title(docs(spark, d)), "Licens_", 250)
 
@@ -200,6 +264,18 @@ FROM (SELECT c_custkey, lower('dr. ' || c_mktsegment || ' - ' || c_name) AS low
 """
 
 
+def entity_wide(spark, d):
+    """Full-width digits and letters are the same entity as plain ones."""
+    wide = lambda c: F.translate(c, "0123456789CustomerABC", "０１２３４５６７８９ＣｕｓｔｏｍｅｒＡＢＣ")
+    own = table(spark, d, "customer").select("c_custkey", wide(F.col("c_name")).alias("t"), wide(F.col("c_custkey").cast("string")).alias("k"))
+    return own.select("c_custkey", entities.canonical(F.col("t"), F.lit("ORG")).alias("org"), entities.canonical(F.col("k"), F.lit("PHONE")).alias("digits"))
+
+
+def entities_fallback(spark, d):
+    """An engine that is not there leaves the patterns."""
+    return entities.extract(docs(spark, d), "no such engine").groupBy("doc_id", "label").agg(F.count("*").alias("n"))
+
+
 def entity_density(spark, d):
     t = F.coalesce("text", F.lit(""))
     return docs(spark, d).select("doc_id", F.round(entities.density(t, T.word_count(t)), 9).alias("density"))
@@ -264,10 +340,32 @@ WHERE {_sql_score("t")} >= 0.25
 """
 
 
+def _signs(spark, d):
+    box = lambda share, dark: F.struct((F.col("n_chars") % 500 * share).cast("double").alias("width"), F.lit(100.0).alias("height"), dark.alias("darkness"))
+    boxes = F.array(box(1, F.col("doc_id") % 10 / 10.0), box(2, F.lit(0.1)))
+    gray = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.when(i < 40, F.col("doc_id") % 400).otherwise(1).cast("double"))
+    return docs(spark, d).select("doc_id", F.lit(3).alias("page_no"), boxes.alias("boxes"), F.lit(600.0).alias("page_width"), F.lit(800.0).alias("page_height"), gray.alias("histogram"))
+
+
+def page_signs(spark, d):
+    """Pages by their text, and by boxes and pixels of a third page that has none."""
+    own = redaction.page_flags(_paged(spark, d), _signs(spark, d))
+    return own.select("doc_id", "page_no", F.round("score", 6).alias("score"), F.round("details.black_area_ratio", 6).alias("area"), F.round("details.dark_pixel_ratio", 6).alias("pixels"))
+
+
 def redaction_max(spark, d):
     return page_redaction_flags(spark, d).groupBy("doc_id").agg(F.max("score").alias("score"))
 
 
+_SIGNS = f"""
+SELECT doc_id, page_no, score, 0.0::DOUBLE AS area, 0.0::DOUBLE AS pixels FROM ({_FLAGS}) UNION ALL
+SELECT doc_id, 3::INT, round(least(1.0, greatest(3 * area, 2 * (pixels - 0.25))), 6)::DOUBLE, round(area, 6), round(pixels, 6) FROM (
+  SELECT doc_id, ((CASE WHEN doc_id % 10 / 10.0 <= 0.45 AND n_chars % 500 * 100 >= 4800 THEN n_chars % 500 * 100 ELSE 0 END) + (CASE WHEN n_chars % 500 * 200 >= 4800 THEN n_chars % 500 * 200 ELSE 0 END)) / 480000.0::DOUBLE AS area,
+         40 * (doc_id % 400) / (40 * (doc_id % 400) + 216)::DOUBLE AS pixels FROM documents)
+WHERE greatest(3 * area, 2 * (pixels - 0.25)) >= 0.25
+"""
+
+
 def scanned_doc_heuristic(spark, d):
     return docs(spark, d).select("doc_id", redaction.looks_scanned(F.split("text", "\n", -1)).alias("scanned"))
 
@@ -301,6 +399,29 @@ def flagged_docs(spark, d):
     return scoring.flagged(own.select("doc_id", "source"), matching.hits(own, compile_pack(["license", "copyright"]), with_snippet=False))
 
 
+def newest_flagged(spark, d):
+    """The flagged list, last fetched first."""
+    from corpusieve.queries.scores import review_rows
+
+    at = F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 7919 % 1000 * 60).cast("timestamp_ntz")
+    own = docs(spark, d).select("doc_id", F.when(F.col("doc_id") % 10 != 3, at).alias("fetched_at"))
+    return scoring.newest_flagged(own, matching.hit_counts(docs(spark, d), compile_pack(["license", "copyright"])), review_rows(spark, d), 40)
+
+
+def doc_lookup(spark, d):
+    """One document's fields by its id, and defaults where there is none."""
+    own = docs(spark, d).select("doc_id", "source", "n_chars")
+    there, missing = (state.lookup(own, "doc_id", k, {"source": "none", "n_chars": 0}) for k in (7, -1))
+    return there.unionByName(missing)
+
+
+def metrics_update(spark, d):
+    """Metrics of a third of the documents are replaced; the others keep theirs."""
+    own = docs(spark, d).select("doc_id", (F.col("n_chars") / 1000.0).alias("relevance_score"), F.lit(None).cast("double").alias("topic_similarity"))
+    new = docs(spark, d).where("doc_id % 3 = 0").select("doc_id", F.lit(0.5).alias("relevance_score"), F.when(F.col("doc_id") % 2 == 0, 0.25).alias("topic_similarity"))
+    return state.update_metrics(own, new)
+
+
 def matches_for_doc(spark, d):
     found = matching.hit_counts(docs(spark, d), compile_pack(WORDS + PHRASES))
     n = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n_hits"), "pattern")).cast("long")
@@ -319,6 +440,14 @@ FROM (SELECT doc_id, sha, regexp_replace(regexp_replace((CASE WHEN t = '' THEN '
 """
 
 
+def highlight_spans(spark, d):
+    own = highlight.spans(docs(spark, d), compile_pack(["license", "copyright"]))
+    return own.select("doc_id", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+
+
+_ESCAPED = "replace(replace(replace(replace(replace(substring(text, 1, 15000), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
+
+
 def highlight_preview(spark, d):
     return highlight.preview(docs(spark, d), compile_pack(["license", "copyright"]))
 
@@ -368,6 +497,15 @@ def chunk_embeddings(spark, d):
 
 
 QUERIES = {
+    **{name: _fts(query) for name, query in FTS.items()},
+    "indexed_search": indexed_search,
+    "highlight_spans": highlight_spans,
+    "entity_wide": entity_wide,
+    "entities_fallback": entities_fallback,
+    "page_signs": page_signs,
+    "newest_flagged": newest_flagged,
+    "doc_lookup": doc_lookup,
+    "metrics_update": metrics_update,
     "keyword_filter": keyword_filter,
     "page_flags_sorted": page_flags_sorted,
     "entities_sorted": entities_sorted,
@@ -409,7 +547,31 @@ QUERIES = {
     "keyword_blacklist": keyword_blacklist,
 }
 
+_PREVIEW_TOKENS = _TOKENS.replace("text", "p")
+
+
+def _sql_spans(word: str) -> str:
+    """Start and end of a word in the first 15,000 characters."""
+    return rf"""SELECT doc_id, start::BIGINT AS a, (start + {len(word)})::BIGINT AS b FROM (
+      SELECT doc_id, toks, i, list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(toks[1:i-1], lambda t: length(t))), 0) AS start
+      FROM (SELECT doc_id, {_PREVIEW_TOKENS} AS toks, string_split_regex(p, '[\p{{L}}\p{{N}}_]+') AS gaps, unnest(range(1, len({_PREVIEW_TOKENS}) + 1)) AS i FROM (SELECT doc_id, substring(text, 1, 15000) AS p FROM documents) WHERE contains(lower(p), '{word}'))
+      WHERE lower(toks[i]) = '{word}')"""
+
+
 ORACLES = {
+    **_fts_sql(),
+    "indexed_search": f"SELECT doc_id, round(bm25, 6) AS bm25, rank FROM ({_TOP})",
+    "highlight_spans": " UNION ALL ".join(_sql_spans(w) for w in ("license", "copyright")),
+    "highlight_preview": rf"""SELECT doc_id, regexp_replace({_ESCAPED}, '(?i)\b(license|copyright)\b', '<mark>\1</mark>', 'g') AS html FROM documents
+        WHERE {sql_count("license", "substring(text, 1, 15000)")} + {sql_count("copyright", "substring(text, 1, 15000)")} > 0""",
+    "entity_wide": "SELECT c_custkey, lower(replace(c_name, '#', '')) AS org, c_custkey::VARCHAR AS digits FROM customer",
+    "entities_fallback": _entities_sql(),
+    "page_signs": _SIGNS,
+    "newest_flagged": f"""SELECT doc_id, fetched_at, match_count, coalesce(status, 'new') AS review_status FROM (
+        SELECT doc_id, CASE WHEN doc_id % 10 <> 3 THEN TIMESTAMP '2024-01-01' + to_minutes(doc_id * 7919 % 1000) END AS fetched_at, {sql_count("license")} + {sql_count("copyright")} AS match_count FROM documents)
+        LEFT JOIN (SELECT doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 'high_value' ELSE 'irrelevant' END AS status FROM labels) USING (doc_id) WHERE match_count > 0 ORDER BY fetched_at DESC NULLS LAST, doc_id LIMIT 40""",
+    "doc_lookup": "SELECT doc_id, source, n_chars FROM documents WHERE doc_id = 7 UNION ALL SELECT -1, 'none', 0",
+    "metrics_update": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 0.5 ELSE n_chars / 1000.0 END::DOUBLE AS relevance_score, CASE WHEN doc_id % 6 = 0 THEN 0.25 END::DOUBLE AS topic_similarity FROM documents",
     "keyword_filter": "SELECT DISTINCT p_name FROM part WHERE contains(lower(p_name), 're')",
     "page_flags_sorted": f"SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, page_no) AS place FROM ({_FLAGS})",
     "entities_sorted": f"SELECT doc_id, label, display, count, row_number() OVER (PARTITION BY doc_id ORDER BY label, count DESC, display) AS place FROM ({ENTITIES_MERGED_SQL})",

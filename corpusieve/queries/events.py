@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusieve.functions import http
 from corpusieve.operators import feedback, state
-from corpusieve.runtime import table
+from corpusieve.runtime import scratch, table
 from corpusieve.streaming import attempts
 
 _STATUS = {"error": "retry", "view": "queued", "click": "processing", "signup": "done"}
@@ -80,6 +81,42 @@ def url_upsert_overwrite(spark, d):
     return state.upsert_urls(_even(spark, d), new, preserve_done=False)
 
 
+def url_upsert_repeated(spark, d):
+    """All odd events come in, several of a URL: the last of each counts."""
+    return state.upsert_urls(_even(spark, d), log(spark, d).where("event_id % 2 = 1").select("url", "status", F.col("ts").alias("discovered_at")))
+
+
+def _fetches(spark, d, rest: int):
+    return log(spark, d).where(f"event_id % 3 <> {rest}").select("url", "status", "k", "ts", "event_id")
+
+
+def snapshot_diff_repeated(spark, d):
+    """Logs as snapshots, in which a URL has many rows: the last of each counts."""
+    return state.snapshot_diff(_fetches(spark, d, 0), _fetches(spark, d, 1), ("status", "k"), order=("ts", "event_id"))
+
+
+def _urls(spark, d, where: str):
+    own = state.latest(log(spark, d).where(where), "url", "ts", "event_id")
+    nulls = {c: F.lit(None).cast("string") for c in ("etag", "last_modified", "final_url", "content_type")}
+    return own.select("url", "status", F.col("k").cast("string").alias("sha256"), F.lit(200).alias("http_status"), F.col("ts").alias("discovered_at")).withColumns(nulls)
+
+
+def snapshot_last_diff(spark, d):
+    """What changed between the last two of three stored snapshots; abandoned URLs are in none."""
+    store = state.Snapshots(spark, scratch(spark, "snapshots"))
+    for where in ("event_id % 5 = 0", "event_id % 5 < 3", "true"):
+        store.take(_urls(spark, d, where))
+    return store.last_diff()
+
+
+def request_headers(spark, d):
+    """Conditions of the next request for each URL, and what an answer means."""
+    own = _urls(spark, d, "true").withColumns({"etag": F.when(F.length("url") % 2 == 0, F.concat(F.lit("e"), F.col("sha256"))), "last_modified": F.when(F.length("url") % 3 == 0, "Mon, 01 Jan 2024 00:00:00 GMT"), "part": (F.length("url") % 4).cast("long")})
+    asked = http.conditions(F.col("etag"), F.col("last_modified"), F.col("part"))
+    code = F.get(F.array(*[F.lit(x) for x in (200, 206, 304, 404, 503)]), (F.col("sha256").cast("int") % 5).cast("int"))
+    return own.select("url", *[asked[x].alias(x) for x in ("if_none_match", "if_modified_since", "range")], http.outcome(code, F.col("part")).alias("outcome"), http.whole_size(F.col("sha256"), code, F.col("part")).alias("size"))
+
+
 def clear_pending(spark, d):
     return state.clear_pending(_state(log(spark, d))).groupBy("status").agg(F.count("*").alias("n"))
 
@@ -161,12 +198,14 @@ def attempts_by_status(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (url_latest_state, url_last_known, url_upsert_preserve_done, url_upsert_overwrite, clear_pending, review_latest, pending_queue, diag_status_counts, diag_done_detail, url_penalty_fold, host_throttle_fold)
+    for f in (url_latest_state, url_last_known, url_upsert_preserve_done, url_upsert_overwrite, url_upsert_repeated, snapshot_diff_repeated, snapshot_last_diff, request_headers, clear_pending, review_latest, pending_queue, diag_status_counts, diag_done_detail, url_penalty_fold, host_throttle_fold)
     + (backoff_schedule, release_diff, release_added_removed, merge_spans, json_props, stream_status_counts, kv_latest, attempts_by_status)
 }
 
 _BEFORE = "SELECT c_custkey AS url, c_name, c_acctbal, CASE WHEN c_nationkey > 3 THEN c_nationkey END AS n FROM customer WHERE c_custkey % 13 <> 0"
 _AFTER = "SELECT c_custkey AS url, c_name, c_acctbal + CASE WHEN c_custkey % 7 = 0 THEN 1 ELSE 0 END AS c_acctbal, CASE WHEN c_custkey % 5 <> 0 AND c_nationkey > 3 THEN c_nationkey END AS n FROM customer WHERE c_custkey % 11 <> 0"
+_FETCHED = f"SELECT url, status, k FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY ts DESC, event_id DESC) AS rn FROM ({_LOG}) WHERE event_id % 3 <> {{}}) WHERE rn = 1"
+_TAKEN = f"SELECT *, row_number() OVER (PARTITION BY url ORDER BY ts DESC, event_id DESC) AS rn FROM ({_LOG}) WHERE {{}}"
 _FOLD = "list_reduce(list_prepend({start}::DOUBLE, list(x ORDER BY ts, seq)), lambda a, x: {step})"
 ORACLES = {
     "kv_latest": "SELECT key, value FROM (SELECT 'k' || (user_id % 20) AS key, props AS value, row_number() OVER (PARTITION BY user_id % 20 ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1",
@@ -176,6 +215,16 @@ ORACLES = {
     "url_upsert_preserve_done": f"""SELECT url, CASE WHEN n.status IS NULL THEN s.status WHEN s.status = 'done' AND (lower(url) NOT LIKE '%.pdf' OR (s.local_path IS NOT NULL AND s.sha256 IS NOT NULL)) THEN 'done' ELSE n.status END AS status,
         coalesce(s.discovered_at, n.discovered_at) AS discovered_at, local_path, sha256 FROM ({_EVEN}) s FULL JOIN ({_NEW}) n USING (url)""",
     "url_upsert_overwrite": f"SELECT url, coalesce(n.status, s.status) AS status, coalesce(n.discovered_at, s.discovered_at) AS discovered_at, local_path, sha256 FROM ({_EVEN}) s FULL JOIN ({_NEW}) n USING (url)",
+    "url_upsert_repeated": f"""SELECT url, CASE WHEN n.status IS NULL THEN s.status WHEN s.status = 'done' AND (lower(url) NOT LIKE '%.pdf' OR (s.local_path IS NOT NULL AND s.sha256 IS NOT NULL)) THEN 'done' ELSE n.status END AS status,
+        coalesce(s.discovered_at, n.discovered_at) AS discovered_at, local_path, sha256 FROM ({_EVEN}) s FULL JOIN (
+        SELECT url, status, ts AS discovered_at FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY ts DESC, status DESC) AS rn FROM ({_LOG}) WHERE event_id % 2 = 1) WHERE rn = 1) n USING (url)""",
+    "snapshot_diff_repeated": f"""SELECT * FROM (SELECT coalesce(a.url, b.url) AS url, CASE WHEN a.url IS NULL THEN 'added' WHEN b.url IS NULL THEN 'removed' WHEN a.status <> b.status OR a.k IS DISTINCT FROM b.k THEN 'changed' END AS change
+        FROM ({_FETCHED.format(0)}) a FULL JOIN ({_FETCHED.format(1)}) b ON a.url = b.url) WHERE change IS NOT NULL""",
+    "snapshot_last_diff": f"""SELECT * FROM (SELECT coalesce(a.url, b.url) AS url, CASE WHEN a.url IS NULL THEN 'added' WHEN b.url IS NULL THEN 'removed' WHEN a.k IS DISTINCT FROM b.k THEN 'changed' END AS change
+        FROM (SELECT * FROM ({_TAKEN.format("event_id % 5 < 3")}) WHERE rn = 1 AND status <> 'abandoned') a FULL JOIN (SELECT * FROM ({_TAKEN.format("true")}) WHERE rn = 1 AND status <> 'abandoned') b ON a.url = b.url) WHERE change IS NOT NULL""",
+    "request_headers": f"""SELECT url, CASE WHEN part = 0 AND length(url) % 2 = 0 THEN 'e' || k END AS if_none_match, CASE WHEN part = 0 AND length(url) % 3 = 0 THEN 'Mon, 01 Jan 2024 00:00:00 GMT' END AS if_modified_since,
+        CASE WHEN part > 0 THEN 'bytes=' || part || '-' END AS range, CASE k % 5 WHEN 2 THEN 'unchanged' WHEN 3 THEN 'failed' WHEN 4 THEN 'failed' WHEN 1 THEN CASE WHEN part > 0 THEN 'continued' ELSE 'whole' END WHEN 0 THEN 'whole' END AS outcome,
+        k::BIGINT + CASE WHEN k % 5 = 0 THEN 0 ELSE part END AS size FROM (SELECT *, (length(url) % 4)::BIGINT AS part FROM ({_TAKEN.format("true")}) WHERE rn = 1)""",
     "clear_pending": f"SELECT CASE WHEN status IN ('queued', 'retry', 'processing') THEN 'abandoned' ELSE status END AS status, count(*) AS n FROM ({_STATE}) GROUP BY 1",
     "review_latest": f"SELECT doc_id, label AS status FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ts DESC, seq DESC) AS rn FROM ({_REVIEWS})) WHERE rn = 1 AND label <> 'new'",
     "pending_queue": f"SELECT url, status, discovered_at FROM ({_STATE}) WHERE status IN ('queued', 'retry') ORDER BY (lower(url) LIKE '%.pdf')::INT, discovered_at, url LIMIT 400",

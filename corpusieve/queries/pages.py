@@ -97,13 +97,19 @@ _SITE = rf"regexp_replace({_AUTH}, '^www\.', '')"
 _PATH = rf"regexp_extract(url, '^(?:{_S}://[^/?#]*)?([^?#]*)', 1)"
 _TITLE = r"regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '^\s+|\s+$', '', 'g')"
 _PLAIN = f"replace(replace(replace(replace(replace(replace({_TITLE}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&')"
+_NORMAL = rf"lower(regexp_extract(url, '^({_S}):', 1)) || '://' || {_AUTH} || regexp_replace({_PATH}, '//+', '/', 'g') || regexp_extract(regexp_replace(url, '#.*$', ''), '(\?.+)$', 1)"
+_JOINED = f"regexp_extract(url, '^({_S}://[^/?#]*)', 1) || link"
 _SCOPE = " OR ".join(f"p = '{s.split('.com')[1]}' OR starts_with(p, '{s.split('.com')[1]}/')" for s in SEEDS)
 ORACLES = {
     "seed_validation": "SELECT DISTINCT trim(url) AS url FROM pages WHERE regexp_matches(url, '(?i)^https?://')",
     "html_title": f"SELECT page_id, CASE WHEN {_PLAIN} <> '' THEN {_PLAIN} ELSE url END AS title FROM pages",
     "link_extract": r"""SELECT page_id, link, count(*) AS n FROM (SELECT page_id, trim(unnest(regexp_extract_all(html, '(?is)<a\s[^>]*?href\s*=\s*"([^"]*)"', 1))) AS link FROM pages)
         WHERE link <> '' AND NOT regexp_matches(lower(link), '^(mailto|javascript):') GROUP BY 1, 2""",
-    "normalize_url": rf"""SELECT page_id, lower(regexp_extract(url, '^({_S}):', 1)) || '://' || {_AUTH} || regexp_replace({_PATH}, '//+', '/', 'g') || regexp_extract(regexp_replace(url, '#.*$', ''), '(\?.+)$', 1) AS url FROM pages""",
+    "html_text": r"""SELECT page_id, array_to_string(list_filter(list_transform(string_split_regex(regexp_replace(html, '(?is)<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>|<!--.*?-->', '<>', 'g'), '<[^>]*>'),
+        lambda x: trim(replace(replace(replace(replace(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'))), lambda x: x <> ''), chr(10)) AS text FROM pages""",
+    "links_resolved": rf"""SELECT DISTINCT page_id, {_NORMAL} AS url FROM (SELECT page_id, {_JOINED} AS url FROM (
+        SELECT page_id, url, trim(unnest(regexp_extract_all(html, '(?is)<a\s[^>]*?href\s*=\s*"([^"]*)"', 1))) AS link FROM pages) WHERE link <> '')""",
+    "normalize_url": f"SELECT page_id, {_NORMAL} AS url FROM pages",
     "url_host": f"SELECT page_id, {_AUTH} AS host, {_SITE} AS site FROM pages",
     "looks_downloadable": rf"SELECT page_id, regexp_matches(lower({_PATH}), '\.(pdf|docx?|txt|html?)$') AS downloadable FROM pages",
     "known_document_urls": "SELECT page_id, url FROM pages WHERE " + " OR ".join(f"lower(url) LIKE '%.{x}'" for x in ("pdf", "doc", "docx", "txt", "html", "htm")),

@@ -14,7 +14,7 @@ from corpusieve.functions import vectors as V
 from corpusieve.operators import entities, feedback, learning, matching, scoring, search, state
 from corpusieve.plans.patterns import compile_pack
 from corpusieve.queries.documents import DENSITY, ORACLES as DOCUMENT_SQL
-from corpusieve.queries.documents import redaction_max, sql_bm25, sql_count
+from corpusieve.queries.documents import redaction_max, sql_bm25, sql_count, sql_mentions
 from corpusieve.runtime import table, written
 from corpusieve.sources import sinks
 
@@ -201,6 +201,25 @@ def export_flagged_counts(spark, d):
     return sinks.nested(flagged, parts).select("doc_id", "review_status", F.size("matches").cast("long").alias("n_matches"))
 
 
+def _sql_mentions() -> str:
+    """doc_id, label and canonical of every mention; those told by digits are found in texts whose
+    separators are doubled, which their digits don't show."""
+    parts = []
+    for label, count in sql_mentions().items():
+        found = count[len("len(") : -1]
+        form = "regexp_replace(m, '[^0-9]', '', 'g')" if label in ("PHONE", "SSN") else "trim(lower(m), ' \"''`.,;:()[]{}<>')"
+        parts.append(f"SELECT doc_id, '{label}' AS label, {form} AS canonical FROM (SELECT doc_id, unnest({found}) AS m FROM documents)")
+    return " UNION ALL ".join(parts)
+
+
+NESTED_SQL = f"""
+SELECT doc_id, to_json({{'source': source, 'review_status': coalesce(status, 'new'), 'matches': m, 'entities': coalesce(e, [])}})::VARCHAR AS document
+FROM (SELECT doc_id, list({{'pattern': pattern, 'n_hits': n_hits}} ORDER BY pattern) AS m FROM ({_sql_found(SINGLE)}) GROUP BY doc_id)
+JOIN documents USING (doc_id) LEFT JOIN ({_REVIEWS}) USING (doc_id) LEFT JOIN (
+  SELECT doc_id, list({{'label': label, 'canonical': canonical, 'count': n}} ORDER BY label, canonical) AS e FROM (
+    SELECT doc_id, label, canonical, count(*) AS n FROM ({_sql_mentions()}) WHERE canonical <> '' GROUP BY ALL) GROUP BY doc_id) USING (doc_id)
+"""
+
 EXPORT_SQL = f"SELECT doc_id, coalesce(status, 'new') AS review_status, count(*) AS n_matches FROM ({_sql_found(SINGLE)}) LEFT JOIN ({_REVIEWS}) USING (doc_id) GROUP BY 1, 2"
 
 
@@ -243,10 +262,10 @@ QUERIES = {
 
 ORACLES = {
     "flagged_with_metrics": f"""SELECT doc_id, source, round(relevance, 6) AS relevance, match_count, coalesce(status, 'new') AS review_status FROM (SELECT doc_id, source, relevance FROM ({_SCORED}))
-        JOIN (SELECT doc_id, count(*) AS match_count FROM ({_sql_found(PACK)}) GROUP BY 1) USING (doc_id) LEFT JOIN ({_REVIEWS}) USING (doc_id) ORDER BY round(relevance, 6) DESC, doc_id LIMIT 500""",
+        JOIN (SELECT doc_id, sum(n_hits)::BIGINT AS match_count FROM ({_sql_found(PACK)}) GROUP BY 1) USING (doc_id) LEFT JOIN ({_REVIEWS}) USING (doc_id) ORDER BY round(relevance, 6) DESC, doc_id LIMIT 500""",
     "search_with_metrics": f"""SELECT doc_id, round(bm25, 6) AS bm25, round(relevance, 6) AS relevance, coalesce(status, 'new') AS review_status FROM (SELECT * FROM ({sql_bm25("license", "copyright")}) ORDER BY bm25, doc_id LIMIT 250)
         LEFT JOIN (SELECT doc_id, relevance FROM ({_SCORED})) USING (doc_id) LEFT JOIN ({_REVIEWS}) USING (doc_id)""",
-    "results_list": f"""SELECT doc_id, match_count, coalesce(status, 'new') AS review_status, coalesce(score, 0.0)::DOUBLE AS redaction FROM (SELECT doc_id, count(*) AS match_count FROM ({_sql_found(SINGLE)}) GROUP BY 1)
+    "results_list": f"""SELECT doc_id, match_count, coalesce(status, 'new') AS review_status, coalesce(score, 0.0)::DOUBLE AS redaction FROM (SELECT doc_id, sum(n_hits)::BIGINT AS match_count FROM ({_sql_found(SINGLE)}) GROUP BY 1)
         LEFT JOIN ({_REVIEWS}) USING (doc_id) LEFT JOIN ({DOCUMENT_SQL["redaction_max"]}) USING (doc_id)""",
     "relevance_score": f"SELECT doc_id, round(topic, 6) AS topic, round(density, 6) AS density, round(relevance, 6) AS relevance FROM ({_SCORED})",
     "gate_decision": GATE_SQL,
@@ -256,6 +275,7 @@ ORACLES = {
     "standardize": STANDARD_SQL,
     "classifier_metrics": METRICS_SQL,
     "phrase_blacklist": BLACKLIST_SQL,
+    "export_flagged_nested": NESTED_SQL,
     "export_flagged_counts": EXPORT_SQL,
     "purge_derived": PURGE_SQL,
     "label_places": f"""SELECT * FROM (SELECT status, doc_id, round(relevance, 6) AS relevance, row_number() OVER (PARTITION BY status ORDER BY round(relevance, 6) DESC, doc_id) AS place

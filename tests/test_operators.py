@@ -292,3 +292,154 @@ def test_stream_new_documents_and_rates(spark, tmp_path):
     rates: list[float] = []
     attempts.host_rates(stream).writeStream.outputMode("update").foreachBatch(lambda b, n: rates.extend(r.rate for r in b.collect())).option("checkpointLocation", f"file://{tmp_path}/c2").trigger(availableNow=True).start().awaitTermination()
     assert rates[-1] == pytest.approx(0.25 * 1.05)
+
+
+# -- rows that repeat, and what is stored
+
+
+def test_long_page_numbers(spark):
+    text = "[PAGE 99999999999] a@b.org [PAGE 2]\nc@d.org"
+    assert [(r.page_no, r.text) for r in entities.extract(one(spark, doc_id=1, text=text)).orderBy("start").collect()] == [(None, "a@b.org"), (2, "c@d.org")]
+    assert [r.page_no for r in entities.extract_by_page(one(spark, doc_id=1, text=text)).collect()] == [None, 2]
+    hidden = "[PAGE 99999999999]\n[redacted]\n[PAGE 2]\n[REDACTED] redaction"
+    assert [r.page_no for r in redaction.page_flags(one(spark, doc_id=1, text=hidden)).collect()] == [2]
+
+
+def test_engines(spark):
+    def make():
+        return lambda t: [("PERSON", "Jane Roe", t.index("Jane Roe"))] if "Jane Roe" in t else []
+
+    entities.ENGINES["names"] = lambda text: F.concat(entities.mentions(text), entities.tagged(text, make))
+
+    def broken(text):
+        raise ImportError("no such library")
+
+    entities.ENGINES["broken"] = broken
+    try:
+        own = one(spark, doc_id=1, text="[PAGE 3] Jane Roe, j@r.org")
+        assert {(r.label, r.text, r.page_no, r.start) for r in entities.extract(own, "names").collect()} == {("PERSON", "Jane Roe", 3, 9), ("EMAIL", "j@r.org", 3, 19)}
+        for name in ("regex", "broken", "spacy", None):
+            assert [r.label for r in entities.extract(own, name).collect()] == ["EMAIL"]
+    finally:
+        del entities.ENGINES["names"], entities.ENGINES["broken"]
+
+
+def test_wide_letters_are_one_entity(spark):
+    found = spark.createDataFrame([(1, "ORG", 4, "ＡＣＭＥ", 0, 1), (1, "ORG", 4, "acme", 9, 1)], "doc_id long, label string, label_order int, text string, start int, page_no int")
+    (row,) = entities.merged(found).collect()
+    assert (row.canonical, row["count"]) == ("acme", 2)
+
+
+def test_repeated_incoming_rows(spark):
+    schema = "url string, status string, discovered_at string, local_path string, sha256 string"
+    have = spark.createDataFrame([("a", "done", "1", "p", "s")], schema)
+    new = spark.createDataFrame([("a", "queued", "2"), ("a", "retry", "3"), ("b", "queued", "2"), ("b", "retry", "1")], "url string, status string, discovered_at string")
+    assert sorted(tuple(r)[:3] for r in state.upsert_urls(have, new).collect()) == [("a", "done", "1"), ("b", "queued", "2")]
+    assert sorted(tuple(r)[:3] for r in state.upsert_urls(have, new, preserve_done=False).collect()) == [("a", "retry", "3"), ("b", "queued", "2")]
+    table = spark.createDataFrame([("k", 1, "old"), (None, 1, "x"), ("m", 1, "kept")], "key string, n int, v string")
+    incoming = spark.createDataFrame([("k", 1, "new"), ("k", 2, "newer"), (None, 3, "y")], "key string, n int, v string")
+    assert sorted(map(str, (tuple(r) for r in state.upsert(table, incoming, "key").collect()))) == sorted(map(str, [("k", 2, "newer"), (None, 3, "y"), ("m", 1, "kept")]))
+    assert sorted(map(str, (tuple(r) for r in state.upsert(table, table, "key").collect()))) == sorted(map(str, (tuple(r) for r in table.collect())))
+
+
+def test_metrics_of_other_documents_stay(spark):
+    docs = spark.createDataFrame([(1, 0.1, "a"), (2, 0.2, "b"), (3, None, "c")], "doc_id long, relevance_score double, title string")
+    new = spark.createDataFrame([(1, 0.9, 5), (3, None, 6)], "doc_id long, relevance_score double, n int")
+    got = {r.doc_id: (r.relevance_score, r.title, r.n) for r in state.update_metrics(docs, new).collect()}
+    assert got == {1: (0.9, "a", 5), 2: (0.2, "b", None), 3: (None, "c", 6)}
+
+
+def test_last_row_of_a_snapshot_wins(spark):
+    rows = lambda *x: spark.createDataFrame(list(x), "url string, sha256 string, at int")
+    diff = lambda a, b: {r.url: r.change for r in state.snapshot_diff(a, b, ("sha256",), order=("at",)).collect()}
+    assert diff(rows(("u", "x", 2), ("u", "z", 1)), rows(("u", "x", 1))) == {}
+    assert diff(rows(("u", "x", 1), ("u", "z", 2)), rows(("u", "x", 1), ("v", None, 1))) == {"u": "changed", "v": "added"}
+
+
+def test_snapshots(spark, tmp_path):
+    def urls(*rows):
+        own = spark.createDataFrame(list(rows), "url string, status string, sha256 string")
+        return own.withColumns({c: F.lit(None).cast("string") for c in state.COMPARED if c != "sha256"})
+
+    store = state.Snapshots(spark, f"file://{tmp_path}/s")
+    assert store.numbers() == [] and store.last_diff() is None
+    assert store.take(urls(("a", "done", "1"), ("b", "abandoned", "1"), ("c", None, "1"))) == 0
+    assert store.last_diff() is None and sorted(r.url for r in store.read(0).collect()) == ["a", "c"]
+    urls().write.parquet(f"file://{tmp_path}/s/snapshot=1/urls")  # never finished
+    assert store.take(urls(("a", "done", "2"), ("b", "queued", "1"))) == 1
+    assert {r.url: r.change for r in store.last_diff().collect()} == {"a": "changed", "b": "added", "c": "removed"}
+
+
+@pytest.mark.parametrize("scale", [False, True])
+def test_folds_equal_the_walk(spark, scale):
+    import random
+
+    dice, rows = random.Random(4), []
+    for n in range(3000):
+        rows.append((f"h{dice.choice([0, 0, 0, 1, 2])}", n // 3, n, dice.choice([0.5, 1.05, 1.05, 1.3] if scale else [0.05, -0.03, 0.0, 0.2, -0.3])))
+    want: dict[str, float] = {}
+    for host, _, _, x in rows:
+        at = want.get(host, 1.0 if scale else 0.0)
+        want[host] = max(0.2, min(1.0, at * x)) if scale else max(0.0, min(0.6, at + x))
+    dice.shuffle(rows)
+    log = spark.createDataFrame(rows, "host string, ts long, seq long, x double")
+    got = state.folded(log, "host", ["ts", "seq"], "x", "end", *((0.2, 1.0, 1.0, True) if scale else (0.0, 0.6, 0.0)))
+    assert {r.host: r.end for r in got.collect()} == pytest.approx(want)
+    assert state.folded(log.limit(0), "host", ["ts", "seq"], "x", "end", 0.0, 1.0, 0.0).count() == 0
+
+
+def test_metrics_equal_counting(spark):
+    import random
+
+    dice = random.Random(2)
+    rows = [(dice.randint(0, 1), dice.choice([0.1, 0.2, 0.5, 0.5, dice.random()])) for _ in range(400)]
+    (got,) = learning.metrics(spark.createDataFrame(rows, "label int, score double")).collect()
+    good, bad = [s for y, s in rows if y], [s for y, s in rows if not y]
+    auc = sum((a > b) + (a == b) / 2 for a in good for b in bad) / (len(good) * len(bad))
+    assert (got.n, got.auc, got.accuracy) == (400, pytest.approx(auc), pytest.approx(sum((s >= 0.5) == y for y, s in rows) / 400))
+
+
+def test_index_grows_by_segments(spark, tmp_path):
+    docs = lambda *x: spark.createDataFrame(list(x), "doc_id long, title string, content string")
+    root, first, more = f"file://{tmp_path}/i", docs((1, "a", "b c")), docs((1, "a", "b c"), (2, "x", "b d"))
+    with pytest.raises(ValueError, match="no index"):
+        search.Index.open(spark, root)
+    assert search.Index.append(first, root) and search.Index.append(more, root) and not search.Index.append(more, root)
+    whole, texts = search.search(search.Index.open(spark, root), "b"), search.search(more, "b")
+    assert [tuple(r) for r in whole.collect()] == [tuple(r) for r in texts.collect()] != []
+    first.limit(0).write.parquet(f"{root}/segment=lost/postings")
+    assert len(search.Index.segments(spark, root)) == 2
+
+
+@pytest.mark.parametrize("query", ["hello world", '"hello world"', "hel* NOT cafe", "NEAR(there world, 1)", "NEAR(hello world, 0)", "title:other OR content:cafe", "hello OR wor*", '"hello there" big', "title:hello"])
+def test_search_with_and_without_an_index(spark, query):
+    rows = [(1, "hello", "hello world of café"), (2, "", "hello there big world"), (3, "other", "nothing"), (4, None, None), (5, "hello world", "world hello world hello")]
+    docs = spark.createDataFrame(rows, "doc_id long, title string, content string")
+    found = [[(r.doc_id, pytest.approx(r.bm25)) for r in search.search(source, query).collect()] for source in (docs, search.build_index(docs))]
+    assert found[0] == found[1] != []
+
+
+def test_lookup(spark):
+    own = spark.createDataFrame([(1, "a", None), (1, "b", 2), (2, None, 3)], "id long, s string, n int")
+    get = lambda v: tuple(state.lookup(own, "id", v, {"s": "none", "n": 0}).first())
+    assert (get(1), get(2), get(9)) == ((1, "a", 0), (2, "none", 3), (9, "none", 0))
+
+
+def test_links(spark):
+    page = """<a href="/a">x</a><A class=y HREF='/b c'>y</a><a href=/d>z</a><a href="">e</a><a href="MAILTO:x@y">m</a><a name="n">n</a>"""
+    assert one(spark, h=page).select(urls.links(F.col("h"))).first()[0] == ["/a", "/b c", "/d"]
+
+
+def test_state_of_a_stream_rewrites_only_touched_buckets(spark, tmp_path):
+    log = spark.range(200).select(F.concat(F.lit("u"), (F.col("id") % 40).cast("string")).alias("url"), F.col("id").alias("seq"))
+    root = f"file://{tmp_path}/state"
+    for k, part in enumerate((log.where("seq < 150"), log.where("seq = 150"), log.where("seq > 150"))):
+        part.coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/log")
+        stream = attempts.source(spark, f"file://{tmp_path}/log", log.schema, files=1)
+        attempts.keep_latest(stream, root, f"file://{tmp_path}/c", "url", "seq", buckets=8).awaitTermination()
+        versions = attempts._versions(spark, root)
+        assert set(versions) == set(range(8)) and all(len(v) <= 2 for v in versions.values())
+        if k == 1:
+            assert sorted(map(len, versions.values())) == [1] * 7 + [2]
+    got = {r.url: r.seq for r in attempts.current_state(spark, root).collect()}
+    assert got == {f"u{i}": 160 + i for i in range(40)}
