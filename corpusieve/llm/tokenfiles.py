@@ -145,8 +145,9 @@ def _open(root: str):
 def write(docs: DataFrame, root: str, encoder: Callable[[], Callable[[str | None], bytes]], end_id: int = 0, kind: str = "byte", level: int = 3, partitions: int | None = None) -> DataFrame:
     """Writes the ids of docs(doc_id, text), each document's followed by ``end_id``, below ``root``.
 
-    Documents go in ascending doc_id (null first, repeated ids by text): ranges of ids to
-    partitions, one file for each that has rows. ``encoder`` is called in the worker and gives what
+    Documents go in ascending doc_id (null first, repeated ids by a hash of the text, then the text):
+    ranges of both to partitions, so an id that many rows share is dealt to many, one file for each
+    that has rows. ``encoder`` is called in the worker and gives what
     turns a text into bytes of ids; null is the empty text. Returns the manifest, which is also
     written to ``root``/manifest: file_no, name, docs, n_ids, start (ids in all files before it).
     """
@@ -172,7 +173,8 @@ def write(docs: DataFrame, root: str, encoder: Callable[[], Callable[[str | None
             yield pd.DataFrame({"file_no": [number], "name": [name], "docs": [len(writer.counts)], "n_ids": [ids]})
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ranged = own.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = [F.col("doc_id").asc_nulls_first(), F.col("_hash").asc()]
+    ranged = own.withColumn("_hash", F.xxhash64("text")).repartitionByRange(n, *order).sortWithinPartitions(*order, "text").drop("_hash")
     rows = sorted(ranged.mapInPandas(task, "file_no int, name string, docs long, n_ids long").collect())  # one row for each file
     start, listed = 0, []
     for row in rows:
