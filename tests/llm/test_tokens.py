@@ -118,6 +118,16 @@ def test_token_files(spark, library):
         at += len(r.ids) // 4
 
 
+def test_token_files_of_one_id(spark):
+    docs = spark.createDataFrame([(None if i % 2 else 5, f"text {i}") for i in range(200)], "doc_id long, text string")
+    root = scratch(spark, "t9")
+    manifest = tokenfiles.write(docs, root, lambda: encoders.library_encoder(JSON), partitions=8)
+    assert manifest.where("docs > 60").count() == 0
+    rows = sorted(tokenfiles.read(spark, root).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == [None] * 100 + [5] * 100 and len({bytes(r.ids) for r in rows}) == 200
+    assert all(b.start == a.start + len(a.ids) // 4 for a, b in zip(rows, rows[1:], strict=False))
+
+
 def test_token_files_of_nothing(spark):
     root = scratch(spark, "t9")
     tokenfiles.write(frame(spark, []), root, lambda: encoders.library_encoder(JSON))
@@ -178,6 +188,23 @@ def test_packing(spark, library):
     assert packing.library_pack(frame(spark, []), scratch(spark, "t10"), JSON).count() == 0
 
 
+def test_packing_of_null_and_repeated_ids(spark, library):
+    docs = spark.createDataFrame([(None, "a"), (None, None), (1, "b c"), (1, "b c")], "doc_id long, text string")
+    rows = packing.library_pack(docs, scratch(spark, "t10"), JSON).collect()
+    want = sorted([*library.encode(t, add_special_tokens=False).ids, 1] for t in ("a", "", "b c", "b c"))
+    whole = {}
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):  # pieces of four tokens at most lie side by side
+        whole.setdefault(r.doc_id, []).extend(ids_of(r.ids))
+    assert sorted(whole[None] + whole[1]) == sorted(i for x in want for i in x) and sum(r.doc_tokens for r in rows if r.start == 0) == sum(map(len, want))
+
+
+def test_bpe_of_nothing_and_of_long_texts(spark, reference):
+    assert bpe.round_trip(frame(spark, []), RANKS).count() == 0
+    texts = ["ab" * 100_000, "the words and  more\n" * 20_000, "é😀" * 30_000]
+    for r in bpe.round_trip(frame(spark, texts), RANKS).collect():
+        assert bytes(r.decoded) == texts[r.doc_id].encode() and ids_of(r.ids) == reference.encode_ordinary(texts[r.doc_id])
+
+
 def test_queries(spark, sf_dir, reference, library):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     for r in bpe.op8_query(spark, sf_dir).collect():
