@@ -6,17 +6,17 @@ its count there, t all counts, d distinct bytes); otherwise an escape of -log2(d
 paid and the context loses its oldest byte; below the empty context any byte costs 8 bits. The
 statistics stay as they were learned, so the code length of a text is exact and the same everywhere.
 
-Words are what is coded: each lower-cased, without the marks and digits around it, between two
-spaces, and contexts reach back to the space before it, not into the word before. So the exact code
-length is that of a text's words in any order, not of its marks, digits and line ends; it is the sum
-over words, each of which is coded once in a worker. Of languages with equally short codes the first
-by name is predicted.
+What is coded is the lower-cased text in which every run of other characters than letters is one
+space, from its first byte to its last, contexts reaching over words. Of languages with equally
+short codes the first by name is predicted.
+
+A byte and the bytes before it that can matter are a window; texts are coded together, and each
+distinct window of some hundred thousand bytes is looked up once.
 """
 
 from __future__ import annotations
 
-import string
-from collections import Counter
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 
 from corpusieve.llm.sampling import sampled_by, taken
 from corpusieve.llm.shingles import mixed
-from corpusieve.llm.words import WordTable, text_sums
 from corpusieve.runtime import bound_batches, table
 
 ORDER = 4
@@ -40,35 +39,56 @@ LANGUAGES = 400
 UNDETERMINED = "und"
 #: A text is in no learned language if a byte takes more than so many times the usual bits.
 FAR = 2.5
-_AROUND = string.punctuation + string.digits + "«»“”„‘’‚¿¡…–—·•°§€£"
+#: Bytes that are coded together.
+BYTES = 1 << 19
+_OTHER = re.compile(r"[\W\d_]+")
 _TAG, _LOW = np.uint64(56), np.uint64((1 << 56) - 1)
 
 
-def core(word: str) -> str:
-    """The part of a word that is coded; empty if it has no letter."""
-    word = word.lower().strip(_AROUND)
-    return word if any(map(str.isalpha, word)) else ""
+def stream(text: str | None) -> bytes:
+    """The bytes that are coded, between two spaces; empty if there is no letter."""
+    words = _OTHER.sub(" ", (text or "").lower()).strip(" ")
+    return f" {words} ".encode("utf-8", "surrogatepass") if any(map(str.isalpha, words)) else b""
+
+
+def windows(streams: list[bytes], order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Windows of all bytes but the first of each stream, and the numbers of their streams, some at a
+    time. A window is a number: the byte, the bytes before it of its stream, ``order`` at most, and on
+    top how many these are."""
+    for first, last in _parts([len(x) for x in streams]):
+        data = np.frombuffer(b"".join(streams[first:last]), np.uint8)
+        sizes = np.array([len(x) for x in streams[first:last]], np.int64)
+        for k in range(0, len(data), BYTES):  # a long text is one part of several times as many bytes
+            at = np.arange(k, min(k + BYTES, len(data)))
+            owner = np.searchsorted(np.cumsum(sizes), at, "right")
+            place = at - (np.cumsum(sizes) - sizes)[owner]
+            at, owner, place = at[place > 0], owner[place > 0], np.minimum(place[place > 0], order)
+            key = data[at].astype(np.uint64) | place.astype(np.uint64) << _TAG
+            for back in range(1, order + 1):
+                there = place >= back
+                key[there] |= data[at[there] - back].astype(np.uint64) << np.uint64(8 * back)
+            yield key, owner + first
 
 
-def _coded(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes of all words between spaces; for each its place in its word, and its word."""
-    each = [f" {w} ".encode() for w in words]
-    sizes = np.array([len(x) for x in each], np.int64)
-    owner = np.repeat(np.arange(len(words)), sizes)
-    place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    return np.frombuffer(b"".join(each), np.uint8).astype(np.uint64), place, owner
+def _parts(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbouring items of about BYTES together."""
+    first, held = 0, 0
+    for k, size in enumerate(sizes):
+        if held and held + size > BYTES:
+            yield first, k
+            first, held = k, 0
+        held += size
+    if held:
+        yield first, len(sizes)
 
 
-def _contexts(data: np.ndarray, at: np.ndarray, order: int) -> np.ndarray:
-    """The ``order`` bytes before each position as one number, tagged with the order."""
-    key = np.full(len(at), np.uint64(order) << _TAG)
-    for back in range(1, order + 1):
-        key |= data[at - back] << np.uint64(8 * (back - 1))
-    return key
+def _context(key: np.ndarray, order: int) -> np.ndarray:
+    """The last ``order`` bytes before the byte of a window, tagged with the order."""
+    return np.uint64(order) << _TAG | key >> np.uint64(8) & np.uint64((1 << 8 * order) - 1)
 
 
-def _with_byte(context: np.ndarray, byte: np.ndarray) -> np.ndarray:
-    return (context >> _TAG << _TAG) | ((context & _LOW) << np.uint64(8)) | byte
+def _with_byte(context: np.ndarray, key: np.ndarray) -> np.ndarray:
+    return (context >> _TAG << _TAG) | ((context & _LOW) << np.uint64(8)) | key & np.uint64(255)
 
 
 class Lookup:
@@ -124,65 +144,57 @@ class Model:
         self.__dict__.update(own)
         self.__post_init__()
 
-    def word_bits(self, words: list[str]) -> np.ndarray:
-        """For each word the code length in each language."""
-        return self._core_bits([core(w) for w in words])
-
-    def _core_bits(self, cores: list[str]) -> np.ndarray:
-        unique = {w: k for k, w in enumerate(dict.fromkeys(w for w in cores if w))}
-        out = np.zeros((len(cores), len(self.languages)))
-        if unique:
-            bits = self._bits(list(unique))
-            has = [k for k, w in enumerate(cores) if w]
-            out[has] = bits[[unique[cores[k]] for k in has]]
-        return out
-
-    def _bits(self, words: list[str]) -> np.ndarray:
-        data, place, owner = _coded(words)
-        todo = np.flatnonzero(place > 0)
-        cost = np.zeros((len(todo), len(self.languages)))
-        left = np.arange(len(todo))  # positions that some language has not coded yet
+    def window_bits(self, keys: np.ndarray) -> np.ndarray:
+        """For each window the code length of its byte in each language."""
+        cost = np.zeros((len(keys), len(self.languages)))
         open_ = np.ones(cost.shape, bool)
+        left, reach = np.arange(len(keys)), keys >> _TAG
         for order in range(self.order, -1, -1):
-            can = place[todo[left]] >= order
+            can = reach[left] >= order
             rows = left[can]
-            at = todo[rows]
-            context = _contexts(data, at, order)
-            found = self.find_symbol(_with_byte(context, data[at]))
-            bits = self.symbol_bits[found]
-            own = open_[rows]
+            context = _context(keys[rows], order)
+            bits = self.symbol_bits[self.find_symbol(_with_byte(context, keys[rows]))]
             known = np.isfinite(bits)
             escape = self.escape_bits[self.find_context(context)]
+            own = open_[rows]
             cost[rows] += np.where(own, np.where(known, bits, escape), 0)
             own &= ~known
             open_[rows] = own
             left = np.concatenate([left[~can], rows[own.any(1)]])
-        cost += 8.0 * open_
-        return np.stack([np.bincount(owner[todo], cost[:, k], len(words)) for k in range(cost.shape[1])], 1) if cost.shape[1] else np.zeros((len(words), 0))
-
-    def predictor(self):
-        """texts -> for each (language, probability among the learned languages, bits for each
-        coded byte)."""
-
-        def rows(words: list[str]) -> np.ndarray:
-            cores = [core(w) for w in words]
-            sizes = np.array([len(c.encode()) + 1 if c else 0 for c in cores], float).reshape(-1, 1)
-            return np.hstack([self._core_bits(cores), sizes])
-
-        known = WordTable(rows)
+        return cost + 8.0 * open_
+
+    def code_lengths(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """For each text its code length in each language, and its number of coded bytes."""
+        streams = [stream(x) for x in texts]
+        total = np.zeros((len(streams), len(self.languages)))
+        for key, owner in windows(streams, self.order):
+            distinct, back = np.unique(key, return_inverse=True)
+            bits = self.window_bits(distinct)
+            for k in range(len(self.languages)):
+                total[:, k] += np.bincount(owner, bits[back, k], len(streams))
+        return total, np.array([max(0, len(x) - 1) for x in streams], np.int64)
+
+    def predict(self, texts) -> list[tuple[str, float, float]]:
+        """For each text (language, probability among the learned languages, bits for each coded byte)."""
+        out = []
+        for total, size in zip(*self.code_lengths(texts), strict=True):
+            if not size or not self.languages:
+                out.append((UNDETERMINED, 0.0, 0.0))
+                continue
+            best = int(total.argmin())
+            share = 1 / np.exp2(np.maximum(total[best] - total, -1000.0)).sum()
+            out.append((self.languages[best], float(share), float(total[best] / size)))
+        return out
 
-        def predict(texts) -> list[tuple[str, float, float]]:
-            out = []
-            for total in text_sums(list(texts), known):
-                if not total[-1] or not self.languages:
-                    out.append((UNDETERMINED, 0.0, 0.0))
-                    continue
-                best = int(total[:-1].argmin())
-                share = 1 / np.exp2(np.maximum(total[best] - total[:-1], -1000.0)).sum()
-                out.append((self.languages[best], float(share), float(total[best] / total[-1])))
-            return out
 
-        return predict
+def _counted(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct windows of texts, and how often each is there."""
+    keys, counts = np.zeros(0, np.uint64), np.zeros(0)
+    for key, _ in windows([x for x in map(stream, texts) if x], order):
+        new, times = np.unique(key, return_counts=True)
+        keys, back = np.unique(np.concatenate([keys, new]), return_inverse=True)
+        counts = np.bincount(back, np.concatenate([counts, times]), len(keys))
+    return keys, counts
 
 
 def train(texts: dict[str, list[str]], order: int = ORDER) -> Model:
@@ -190,20 +202,19 @@ def train(texts: dict[str, list[str]], order: int = ORDER) -> Model:
     languages = sorted(texts)
     found = []
     for language in languages:
-        counts = Counter(w for t in texts[language] for w in map(core, t.split()) if w)
-        data, place, owner = _coded(list(counts))
-        times = np.fromiter(counts.values(), float, len(counts))
+        seen, times = _counted(texts[language], order)
         symbols, weights = [], []
         for k in range(order + 1):
-            at = np.flatnonzero((place > 0) & (place >= k))
-            symbols.append(_with_byte(_contexts(data, at, k), data[at]))
-            weights.append(times[owner[at]])
+            there = seen >> _TAG >= k
+            symbols.append(_with_byte(_context(seen[there], k), seen[there]))
+            weights.append(times[there])
         keys, back = np.unique(np.concatenate(symbols), return_inverse=True)
         count = np.bincount(back, np.concatenate(weights), len(keys))
         context = (keys >> _TAG << _TAG) | ((keys & _LOW) >> np.uint64(8))
         contexts, of = np.unique(context, return_inverse=True)
-        total = np.bincount(of, count, len(contexts)) + np.bincount(of, minlength=len(contexts))
-        found.append((keys, np.log2(total[of]) - np.log2(count), contexts, np.log2(total) - np.log2(np.bincount(of, minlength=len(contexts)))))
+        distinct = np.bincount(of, minlength=len(contexts))
+        total = np.bincount(of, count, len(contexts)) + distinct
+        found.append((keys, np.log2(total[of]) - np.log2(count), contexts, np.log2(total) - np.log2(distinct)))
     empty = np.zeros(0, np.uint64)
     symbols = np.unique(np.concatenate([empty, *(x[0] for x in found)]))
     contexts = np.unique(np.concatenate([empty, *(x[2] for x in found)]))
@@ -246,9 +257,9 @@ def most_bits(texts: dict[str, list[str]], order: int = ORDER) -> dict[str, floa
     """
     found: dict[str, list[float]] = {}
     for k in (0, 1):
-        guess = train({language: own[k::2] for language, own in texts.items()}, order).predictor()
+        half = train({language: own[k::2] for language, own in texts.items()}, order)
         for own in texts.values():
-            for language, _, bits in guess(own[1 - k :: 2]):
+            for language, _, bits in half.predict(own[1 - k :: 2]):
                 if language != UNDETERMINED:
                     found.setdefault(language, []).append(bits)
     return {language: FAR * float(np.median(bits)) for language, bits in sorted(found.items())}
@@ -260,9 +271,8 @@ def predict(text: Column, model: Model) -> Column:
 
     @F.pandas_udf("lang_pred string, score double, bits double")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        guess = model.predictor()
         for batch in texts:
-            yield pd.DataFrame(guess(batch), columns=["lang_pred", "score", "bits"])
+            yield pd.DataFrame(model.predict(batch), columns=["lang_pred", "score", "bits"])
 
     return of(text)
 
