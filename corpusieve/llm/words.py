@@ -33,7 +33,7 @@ class WordTable:
     """Rows that ``compute(words)`` gives, an array of len(words) x width; at most about
     ``limit`` words are remembered, then the memo starts anew. Results never depend on it."""
 
-    def __init__(self, compute: Callable[[list[str]], np.ndarray], limit: int = 600_000) -> None:
+    def __init__(self, compute: Callable[[list[str]], np.ndarray], limit: int = 300_000) -> None:
         self.compute, self.limit = compute, limit
         self._clear()
 
@@ -87,11 +87,3 @@ def text_rows(texts: Iterable[str | None], table: WordTable, size: int = 1 << 16
             if len(words) >= size:
                 yield from known()
     yield from known()
-
-
-def text_sums(texts: list[str | None], table: WordTable) -> np.ndarray:
-    """For each text the sum of its words' rows."""
-    out = np.zeros((len(texts), *table.rows.shape[1:]))
-    for i, rows in text_rows(texts, table):
-        out[i] += rows.sum(0)
-    return out
