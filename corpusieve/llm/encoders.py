@@ -10,6 +10,8 @@ stay inside one chunk, with the words on both sides.
 from __future__ import annotations
 
 import itertools
+import string
+import struct
 from collections.abc import Callable
 
 import numpy as np
@@ -27,14 +29,21 @@ def pretokens(text: str) -> list[str]:
 
 
 class _Memo(dict):
+    """What ``compute`` gives for a key, kept for short keys that have no line end: ``limit`` of them at
+    most, in two halves. When the newer one is full, the older is dropped, and of its keys those that
+    were asked for meanwhile are in the newer."""
+
     def __init__(self, compute: Callable[[str], bytes | None], limit: int) -> None:
         super().__init__()
-        self.compute, self.limit = compute, limit
+        self.compute, self.limit, self.older = compute, limit, {}
 
     def __missing__(self, key: str) -> bytes | None:
-        found = self.compute(key)
-        if len(key) <= _LONGEST:
-            if len(self) >= self.limit:
+        found = self.older.get(key)
+        if found is None:
+            found = self.compute(key)
+        if len(key) <= _LONGEST and "\n" not in key:
+            if 2 * len(self) >= self.limit:
+                self.older = dict(self)
                 self.clear()
             self[key] = found
         return found
@@ -44,19 +53,35 @@ class ChunkEncoder:
     """``encode_pretoken`` gives the ids of one match of the pattern, as bytes of little-endian
     unsigned 32-bit integers; calling this object gives those of a whole text."""
 
-    def __init__(self, encode_pretoken: Callable[[str], bytes], limit: int = 500_000) -> None:
-        self.pretoken = _Memo(encode_pretoken, limit)
+    def __init__(self, encode_pretoken: Callable[[str], bytes], limit: int = 900_000) -> None:
+        self.encode = encode_pretoken
         self.chunk = _Memo(self._chunk, limit)
+        self.bare = _Memo(self._bare, limit // 4)
+        self.pretoken = _Memo(encode_pretoken, limit // 4)  # matches that are not a whole word after a space
+        self.line_end = encode_pretoken("\n")
 
     def _chunk(self, chunk: str) -> bytes | None:
-        """Ids of " " + chunk; None if its white space may belong to a neighbour's run."""
+        """Ids of " " + chunk; None if its white space may belong to a neighbour's run. Letters and marks
+        after them are two matches, which need no pattern."""
+        core = chunk.rstrip(string.punctuation)
+        if core.isalpha() and (core.isascii() or max(core) < _SETTLED):
+            return self.chunk[core] + self.pretoken[chunk[len(core) :]] if len(core) < len(chunk) else self.encode(" " + chunk)
         if not chunk or chunk[0].isspace() or chunk[-1].isspace():
             return None
-        core, end = (chunk[:-1], chunk[-1]) if chunk[-1:] in (".", ",") else (chunk, "")
-        if core.isalpha() and max(core) < _SETTLED:
-            return self.pretoken[" " + core] + (self.pretoken[end] if end else b"")
+        if "\n" in chunk:
+            # a line end between two other characters is a match by itself, and what follows has no space before it
+            first, *rest = chunk.split("\n")
+            if all(p and not p[0].isspace() and not p[-1].isspace() for p in (first, *rest)):
+                return self.chunk[first] + b"".join([self.line_end + self.bare[p] for p in rest])
         return self._plain(" " + chunk)
 
+    def _bare(self, part: str) -> bytes:
+        """Ids of a part with neither a space before it nor white space at its ends."""
+        core = part.rstrip(string.punctuation)
+        if core.isalpha() and (core.isascii() or max(core) < _SETTLED):
+            return self.bare[core] + self.pretoken[part[len(core) :]] if len(core) < len(part) else self.encode(part)
+        return self._plain(part)
+
     def _plain(self, text: str) -> bytes:
         return b"".join([self.pretoken[x] for x in pretokens(text)])
 
@@ -119,10 +144,14 @@ class LibraryEncoder:
         steps = self.whole.pre_tokenizer
         self.plain = self.whole.normalizer is None and type(steps).__name__ == "ByteLevel" and not steps.add_prefix_space and steps.use_regex
         ask, letters = self.whole.model.tokenize, byte_letters()
+        space, packed = letters[32], [struct.pack("<I", k) for k in range(self.whole.get_vocab_size())]
 
         def encode(pretoken: str) -> bytes:
-            mapped = pretoken.encode().decode("latin-1").translate(letters)
-            return np.array([t.id for t in ask(mapped)], "<u4").tobytes()
+            if pretoken[:1] == " " and pretoken[1:].isalpha() and pretoken.isascii():
+                mapped = space + pretoken[1:]  # other bytes of ASCII letters stand for themselves
+            else:
+                mapped = pretoken.encode().decode("latin-1").translate(letters)
+            return b"".join([packed[t.id] for t in ask(mapped)])
 
         self.chunks = ChunkEncoder(encode)
 
