@@ -15,9 +15,9 @@ from pyspark.sql.types import ArrayType, FloatType
 from corpusieve.functions.text import chunks
 from corpusieve.functions.vectors import mean_vectors, norm
 
-#: Characters that a whole text is cut to before it is embedded, and chunks of the index.
+#: Characters that a whole text is cut to before it is embedded, and chunks of the index (fixed values).
 TEXT_CHARS, CHUNK, OVERLAP = 12000, 2500, 250
-#: Long documents: chunk, overlap, number of chunks, characters.
+#: Long documents: chunk, overlap, number of chunks, characters (fixed values).
 LONG = (4500, 300, 12, 60000)
 
 
@@ -45,6 +45,17 @@ class HashingProvider:
         return (out / np.where(size > 0, size, 1)).astype(np.float32).tolist()
 
 
+def available(make: Callable[[], Provider] | None) -> Callable[[], Provider] | None:
+    """``make``, or None where its library or model is missing: callers then go on without vectors."""
+    if make is None:
+        return None
+    try:
+        make()
+    except (ImportError, OSError):
+        return None
+    return make
+
+
 def embedded(text: Column, make: Callable[[], Provider]) -> Column:
     """The vector of each text. ``make`` gives the provider in the worker, once for a task."""
 

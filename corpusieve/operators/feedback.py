@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusieve.functions.vectors import mean_vectors, norm
-from corpusieve.operators.state import folded, latest, penalty_steps, reviews
+from corpusieve.operators.state import folded, latest, penalty_steps, reviews, upsert
 
 BLACKLIST_KEPT = 500
 
@@ -36,6 +36,11 @@ def centroids(log: DataFrame, vectors: DataFrame) -> DataFrame:
     return mean_vectors(own, ["label"], "vector").withColumn("norm", norm(F.col("vector")))
 
 
+def upsert_centroids(table: DataFrame, new: DataFrame) -> DataFrame:
+    """Centroids(label, model_name, ...) with those of ``new`` in place of theirs."""
+    return upsert(table, new.where("vector is not null"), "label", "model_name")
+
+
 def apply_feedback(log: DataFrame, found: DataFrame, vectors: DataFrame) -> dict[str, DataFrame]:
     """All that a feedback log(doc_id, label, host, ts, seq) changes, each as its whole new table."""
     return {

@@ -36,7 +36,7 @@ def triage(docs: DataFrame, settings: Settings, provider: Callable[[], embedding
     """Tables by name of docs(doc_id, url, text): documents (title, sha256, metrics, gate, bucket, path),
     matches, doc_entities and doc_page_flags. Equal texts are one document, that with the least
     doc_id. Hits are kept for documents that are not flagged as well."""
-    model = model or Model()
+    model, provider = model or Model(), embedding.available(provider)
     text = F.coalesce("text", F.lit(""))
     least = docs.select("doc_id", F.sha2(text, 256).alias("sha256")).groupBy("sha256").agg(F.min("doc_id").alias("doc_id"))
     own = written(docs.join(least, "doc_id"), "triage-own")  # all that follows reads it

@@ -103,14 +103,22 @@ FROM (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '[\n.?!
 """
 
 
-def chunks(spark, d):
-    rows = matching.chunk_rows(docs(spark, d), 2500, 250)
-    return rows.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.sha2("text", 256).alias("digest"))
+def _chunked(size: int, overlap: int, most: int | None = None, chars: int | None = None):
+    def run(spark, d):
+        own = docs(spark, d) if chars is None else docs(spark, d).withColumn("text", F.substring("text", 1, chars))
+        rows = matching.chunk_rows(own, size, overlap)
+        rows = rows if most is None else rows.where(F.col("chunk_index") < most)
+        return rows.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.sha2("text", 256).alias("digest"))
+
+    return run
 
 
-CHUNKS_SQL = """
-SELECT doc_id, i AS chunk_index, i * 2250 AS start, least(n, i * 2250 + 2500) AS "end", sha256(substring(text, (i * 2250 + 1)::INT, 2500)) AS digest
-FROM (SELECT doc_id, text, length(text) AS n, unnest(range(0, greatest(1, ceil((length(text) - 250) / 2250.0)::BIGINT))) AS i FROM documents WHERE length(text) > 0)
+def _chunks_sql(size: int, overlap: int, most: int | None = None, chars: int | None = None) -> str:
+    step, text = size - overlap, "text" if chars is None else f"substring(text, 1, {chars})"
+    return f"""
+SELECT doc_id, i AS chunk_index, i * {step} AS start, least(n, i * {step} + {size}) AS "end", sha256(substring(t, (i * {step} + 1)::INT, {size})) AS digest
+FROM (SELECT doc_id, t, length(t) AS n, unnest(range(0, greatest(1, ceil((length(t) - {overlap}) / {step}.0)::BIGINT))) AS i FROM (SELECT doc_id, {text} AS t FROM documents) WHERE length(t) > 0)
+{f"WHERE i < {most}" if most else ""}
 """
 
 
@@ -523,7 +531,9 @@ QUERIES = {
     "fuzzy_subset_hits": lambda s, d: matching.fuzzy_subset_hits(docs(s, d), FUZZY),
     "fuzzy_hits": lambda s, d: matching.fuzzy_hits(docs(s, d), FUZZY),
     "sentences": sentences,
-    "chunks": chunks,
+    "chunks": _chunked(2500, 250),
+    "chunks_generic": _chunked(4000, 200),
+    "chunks_long": _chunked(4500, 300, 12, 60000),
     "word_count": word_count,
     "bm25_search": bm25_search,
     "like_search": like_search,
@@ -592,7 +602,9 @@ ORACLES = {
         for k in FUZZY
     ),
     "sentences": SENTENCES_SQL,
-    "chunks": CHUNKS_SQL,
+    "chunks": _chunks_sql(2500, 250),
+    "chunks_generic": _chunks_sql(4000, 200),
+    "chunks_long": _chunks_sql(4500, 300, 12, 60000),
     "word_count": f"SELECT doc_id, {WORD_COUNT} AS n_words FROM documents",
     "bm25_search": f"SELECT doc_id, round(bm25, 6) AS bm25, rank FROM ({_TOP})",
     "like_search": "SELECT doc_id, 0.0::DOUBLE AS bm25 FROM documents WHERE text ILIKE '%Licens_%' ORDER BY doc_id LIMIT 250",

@@ -90,6 +90,24 @@ def read_labelled_folder(spark: SparkSession, path: str, label: str, index: str
     return rows.where(F.lower("path").rlike(r"\.(pdf|docx?|txt|html?)$") & ~F.col("path").endswith("/" + index)).select(F.col("path").alias("local_path"), F.lit(label).alias("review_status"))
 
 
+def read_labelled(spark: SparkSession, root: str, labels: tuple[str, ...] = ("high_value", "irrelevant"), index: str = "semantic_sorted.txt") -> DataFrame:
+    """Labelled documents below ``root``, a folder for each label: the rows of its index file if there
+    are any, else the documents that lie there. Labels without a folder have none."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    columns = "local_path string, review_status string, url string, title string, relevance_score double, topic_similarity double, entity_density double"
+    found = spark.createDataFrame([], columns)
+    for label in labels:
+        own = None
+        if fs.exists(path(f"{root}/{label}/{index}")):
+            own = read_labelled_tsv(spark, f"{root}/{label}/{index}", label)
+        if own is None or own.isEmpty():
+            own = read_labelled_folder(spark, f"{root}/{label}", label, index) if fs.exists(path(f"{root}/{label}")) else None
+        if own is not None:
+            found = found.unionByName(own.withColumn("review_status", F.lit(label)).select(*[c for c in own.columns if c in found.columns]), allowMissingColumns=True)
+    return found
+
+
 # -- keyword packs, which are small and live on the driver
 
 

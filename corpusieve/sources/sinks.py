@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusieve.schemas import conformed, schema
+
 INDEX = ("relevance_score", "topic_similarity", "entity_density", "review_status", "local_path", "url", "title")
 
 
@@ -24,6 +28,17 @@ def index_lines(rows: DataFrame) -> DataFrame:
     )
 
 
+def append(rows: DataFrame, table: str, root: str, now: datetime | None = None) -> None:
+    """Adds rows to the stored table of that name, with its columns and types. Its time of entry
+    (created_at, fetched_at or updated_at) is ``now`` where rows have none; by default the clock's."""
+    names = [f.name for f in schema(table)]
+    clock = F.lit(now) if now else F.current_timestamp()
+    for c in ("created_at", "fetched_at", "updated_at"):
+        if c in names:
+            rows = rows.withColumn(c, F.coalesce(F.col(c).cast("timestamp"), clock) if c in rows.columns else clock)
+    conformed(rows, table).write.mode("append").parquet(f"{root}/{table}")
+
+
 def write_sorted_index(rows: DataFrame, path: str, one_file: bool = False) -> None:
     """A TSV folder with the best first. Files are ranges of the order; ``one_file`` only for
     lists that fit one task."""

@@ -443,3 +443,37 @@ def test_state_of_a_stream_rewrites_only_touched_buckets(spark, tmp_path):
             assert sorted(map(len, versions.values())) == [1] * 7 + [2]
     got = {r.url: r.seq for r in attempts.current_state(spark, root).collect()}
     assert got == {f"u{i}": 160 + i for i in range(40)}
+
+
+def test_labelled_source_takes_the_index_first(spark, tmp_path):
+    for name in ("high_value/a.txt", "high_value/semantic_sorted.txt", "irrelevant/b.pdf", "irrelevant/c.exe", "irrelevant/semantic_sorted.txt"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("x")
+    head = "relevance_score\ttopic_similarity\tentity_density\treview_status\tlocal_path\turl\ttitle\n"
+    (tmp_path / "high_value/semantic_sorted.txt").write_text(head + "0.5\tx\t\thigh_value\tp/1\tu\tt\n" + "0.1\t\t\tirrelevant\tp/2\tu\tt\n")
+    (tmp_path / "irrelevant/semantic_sorted.txt").write_text(head)
+    rows = files.read_labelled(spark, f"file://{tmp_path}", ("high_value", "irrelevant", "missing")).collect()
+    assert sorted((r.review_status, r.local_path.rpartition("/")[2], r.relevance_score) for r in rows) == [("high_value", "1", 0.5), ("irrelevant", "b.pdf", None)]
+
+
+def test_append_with_a_clock(spark, tmp_path):
+    import datetime
+
+    at, root = datetime.datetime(2024, 5, 1, 12), f"file://{tmp_path}"
+    sinks.append(spark.createDataFrame([(1, "keyword", "a", 1.0, 9)], "doc_id long, method string, pattern string, score double, extra int"), "matches", root, at)
+    sinks.append(spark.createDataFrame([(2, "query")], "doc_id int, method string"), "matches", root)
+    rows = {r.doc_id: r for r in spark.read.parquet(f"{root}/matches").collect()}
+    assert rows[1].created_at == at and rows[2].created_at > at and rows[2].pattern is None and "extra" not in rows[1]
+
+
+def test_missing_provider_and_centroids(spark):
+    from corpusieve.operators import embedding
+
+    def broken():
+        raise ImportError("no such library")
+
+    assert embedding.available(broken) is None and embedding.available(None) is None
+    assert embedding.available(embedding.HashingProvider) is embedding.HashingProvider
+    have = spark.createDataFrame([("high_value", "m", [1.0], 1), ("irrelevant", "m", [2.0], 1)], "label string, model_name string, vector array<float>, count long")
+    new = spark.createDataFrame([("high_value", "m", [3.0], 2), ("irrelevant", "m", None, 0)], have.schema)
+    assert {r.label: r.vector for r in feedback.upsert_centroids(have, new).collect()} == {"high_value": [3.0], "irrelevant": [2.0]}
