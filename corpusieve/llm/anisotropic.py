@@ -34,8 +34,10 @@ SAMPLE = 8192
 #: Share of a vector's norm from which on an inner product counts as large.
 THRESHOLD = 0.2
 ROUNDS, SWEEPS = 8, 2
-#: Rows travel once for each block of queries, so such a block is large.
-QUERY_BLOCK, ROW_BLOCK = 16384, 4096
+#: Rows travel once for each block of queries and queries once for each block of rows, and every block
+#: gives each query its best: so blocks are large. Blocks of rows are smaller, down to ROW_BLOCK,
+#: where there would be fewer of them than three for each partition.
+QUERY_BLOCK, LARGE_BLOCK, ROW_BLOCK = 1 << 16, 1 << 16, 4096
 #: Distinct vectors of each block that are ranked exactly, and all that tie with the last of them.
 RERANK = 128
 NEAREST = 20
@@ -222,7 +224,9 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, nearest: int =
     else:  # numbers that no row has
         asked = indexed(usable(queries).where(F.size("x") == dimension), "op4-queries").withColumn("number", -1 - F.col("number"))
     n_rows, n_asked = index.count(), asked.count()
-    row_blocks, query_blocks = max(1, -(-n_rows // ROW_BLOCK)), max(1, -(-n_asked // QUERY_BLOCK))
+    query_blocks = max(1, -(-n_asked // QUERY_BLOCK))
+    tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    row_blocks = max(1, -(-n_rows // LARGE_BLOCK), min(-(-n_rows // ROW_BLOCK), -(-3 * tasks // query_blocks)))
     by_query = F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))
     by_row = F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1)))
     left = index.withColumn("r", F.pmod(F.xxhash64("number"), F.lit(row_blocks)).cast("int")).withColumn("q", by_query)
@@ -240,6 +244,8 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, nearest: int =
                     found.append((np.full(len(near[0]), asking[place]), np.full(len(near[0]), query_ids[place]), *near))
         return pd.DataFrame({name: np.concatenate(c) for name, c in zip(("asking", "query_id", "number", "vec_id", "score"), zip(*found, strict=True), strict=True)})
 
+    # dealt by number, since blocks are small and take long: adaptive execution would put many in one task
+    left, right = (x.repartition(tasks, "q", "r") for x in (left, right))
     met = left.groupBy("q", "r").cogroup(right.groupBy("q", "r")).applyInPandas(meet, "asking long, query_id long, number long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("asking").orderBy(F.desc("score"), "vec_id", "number"))
     return met.withColumn("rank", rank).where(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")
