@@ -22,6 +22,7 @@ def vectors(spark, rows):
 @pytest.mark.parametrize("blocks", [4096, 150])
 def test_recall(spark, monkeypatch, blocks):
     monkeypatch.setattr(anisotropic, "ROW_BLOCK", blocks)
+    monkeypatch.setattr(anisotropic, "LARGE_BLOCK", blocks)
     monkeypatch.setattr(anisotropic, "QUERY_BLOCK", 20)
     rng = np.random.default_rng(1)
     x = rng.normal(size=(1200, 32)).astype(np.float32)
@@ -130,3 +131,18 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
             assert docs.columns == [x.split()[0] for x in schema.split(", ")]
             docs.collect()
         corpus_pipeline.STAGES[3][1](spark, docs, f"file://{tmp_path}").collect()
+
+
+def test_pipeline_on_repeated_rows_and_long_texts(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    (first,) = docs.where("lang = 'en' and n_chars > 500").orderBy("doc_id").limit(1).collect()
+    long = spark.createDataFrame([(900_000, (first.text + " ") * (400_000 // len(first.text)), "en", "s", 1)], docs.schema)
+    own = docs.unionByName(docs.where(docs.doc_id == first.doc_id)).unionByName(long)
+    kept = own
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        before, kept = kept, stage(spark, kept, sf_dir).cache()
+        assert kept.exceptAll(before).count() == 0  # rows stay as they are, and none is made
+    assert kept.groupBy("doc_id").count().where("count > 1").count() == 0  # repeated rows are copies
+    packed = corpus_pipeline.STAGES[3][1](spark, kept, sf_dir)
+    whole = packed.groupBy("doc_id").agg({"length": "sum", "doc_tokens": "max"}).where("`sum(length)` <> `max(doc_tokens)`")
+    assert whole.count() == 0 and packed.select("doc_id").distinct().count() == kept.count()

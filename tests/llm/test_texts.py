@@ -98,7 +98,7 @@ def test_samples_are_bounded(spark):
 
 def test_equal_code_lengths_give_the_first_name():
     model = langid.train({"b": ["one two"], "a": ["one two"]})
-    assert model.predictor()(["one two"])[0][:2] == ("a", 0.5)
+    assert model.predict(["one two"])[0][:2] == ("a", 0.5)
 
 
 def test_scores_do_not_depend_on_blocks(monkeypatch):
@@ -113,15 +113,14 @@ def test_scores_do_not_depend_on_blocks(monkeypatch):
 # -- language
 
 
-def brute_bits(counts: dict, order: int, word: str) -> float:
-    """Code length of a word by walking plain dictionaries."""
+def brute_bits(texts: list, order: int, text: str) -> float:
+    """Code length of a text by walking plain dictionaries."""
     seen = defaultdict(lambda: defaultdict(int))
-    for w, n in counts.items():
-        s = f" {w} ".encode()
+    for s in map(langid.stream, texts):
         for i in range(1, len(s)):
             for k in range(min(order, i) + 1):
-                seen[s[i - k : i]][s[i]] += n
-    s, total = f" {word} ".encode(), 0.0
+                seen[s[i - k : i]][s[i]] += 1
+    s, total = langid.stream(text), 0.0
     for i in range(1, len(s)):
         for k in range(min(order, i), -1, -1):
             own = seen.get(s[i - k : i])
@@ -136,20 +135,24 @@ def brute_bits(counts: dict, order: int, word: str) -> float:
     return total
 
 
-def test_code_lengths_are_exact():
-    texts = {"en": ["the thing that the other thinks", "é the"], "fr": ["les choses que les autres pensent"]}
+@pytest.mark.parametrize("size", [1 << 19, 7])
+def test_code_lengths_are_exact(monkeypatch, size):
+    monkeypatch.setattr(langid, "BYTES", size)
+    texts = {"en": ["the thing that the other thinks", "é the", "12"], "fr": ["les choses que les autres pensent"], "xx": []}
     model = langid.train(texts, 3)
-    words = ["the", "then", "choses", "zzz", "é", "thé"]
-    got = model.word_bits(words)
-    for k, lang in enumerate(["en", "fr"]):
-        counts = defaultdict(int)
-        for t in texts[lang]:
-            for w in t.split():
-                counts[w] += 1
-        assert got[:, k] == pytest.approx([brute_bits(counts, 3, w) for w in words], rel=1e-5)
-    (guess,) = model.predictor()(["The THING, (that) 42 the!"])
-    bits = model.word_bits(["the", "thing", "that", "the"]).sum(0)
-    assert guess[0] == "en" and guess[1] == pytest.approx(1 / (1 + 2 ** (bits[0] - bits[1])), rel=1e-6)
+    asked = ["the", "then the Choses, l'été 42!", None, "zzz\n\nzz", "é", "12 !", "the other " * 30]
+    bits, sizes = model.code_lengths(asked)
+    for k, lang in enumerate(["en", "fr", "xx"]):
+        assert bits[:, k] == pytest.approx([brute_bits(texts[lang], 3, t) for t in asked], rel=1e-5)
+    assert sizes.tolist() == [max(0, len(langid.stream(t)) - 1) for t in asked]
+    guess = model.predict(["The THING, (that) 42 the!", "²"])
+    (own,) = model.code_lengths(["the thing that the"])[0]
+    assert guess[0][:2] == ("en", pytest.approx(1 / np.exp2(own.min() - own).sum(), rel=1e-6)) and guess[1] == ("und", 0.0, 0.0)
+
+
+def test_streams():
+    assert langid.stream("Hé,  l'Eau_7\n") == " hé l eau ".encode()
+    assert langid.stream("12 ² _") == langid.stream(None) == b""
 
 
 def test_language_edge_cases(spark):
