@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusieve.llm.components import components
@@ -282,16 +282,22 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _marked(rows: DataFrame, key: Column, wanted: DataFrame, name: str) -> DataFrame:
+    """``rows`` with ``name``: whether their key, a hash, may be in the first column of ``wanted``; never
+    false where it is. A bitmap of FILTER_BITS bits tells, which is what is broadcast, however many are
+    wanted; the more they are, the more rows are marked that are not among them."""
+    at, bucket, bits = (f"{name}_{x}" for x in ("at", "bucket", "bits"))
+    place = lambda c: F.pmod(c, F.lit(FILTER_BITS)) + 1
+    own = wanted.select(place(F.col(wanted.columns[0])).alias(at))
+    maps = own.groupBy(F.bitmap_bucket_number(at).alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias(bits))
+    met = rows.withColumn(at, F.bitmap_bit_position(place(key))).withColumn(bucket, F.bitmap_bucket_number(place(key))).join(F.broadcast(maps), bucket, "left")
+    there = F.expr(f"(cast(conv(hex(substring({bits}, int({at} div 8) + 1, 1)), 16, 10) as int) >> int({at} % 8)) & 1 = 1")
+    return met.withColumn(name, F.coalesce(there, F.lit(False))).drop(at, bucket, bits)
+
+
 def _perhaps_among(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
-    """Rows whose ``column``, a hash, may be in the first column of ``wanted``: none that is there is
-    missed. A bitmap of FILTER_BITS bits tells, which is what is broadcast, however many are wanted;
-    the more they are, the more rows stay that the join after it drops."""
-    place = lambda c: F.pmod(F.col(c), F.lit(FILTER_BITS)) + 1
-    own = wanted.select(place(wanted.columns[0]).alias("at"))
-    maps = own.groupBy(F.bitmap_bucket_number("at").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("_bits"))
-    met = rows.withColumn("_at", F.bitmap_bit_position(place(column))).withColumn("_bucket", F.bitmap_bucket_number(place(column))).join(F.broadcast(maps), "_bucket")
-    there = F.expr("(cast(conv(hex(substring(_bits, int(_at div 8) + 1, 1)), 16, 10) as int) >> int(_at % 8)) & 1 = 1")
-    return met.where(there).drop("_at", "_bucket", "_bits")
+    """Rows whose ``column`` may be in the first column of ``wanted``; none that is there is missed."""
+    return _marked(rows, F.col(column), wanted, "_perhaps").where("_perhaps").drop("_perhaps")
 
 
 def _compared(groups: DataFrame, docs: DataFrame, words: int, threshold: float) -> DataFrame:
@@ -370,15 +376,20 @@ def keep_one(docs: DataFrame, threshold: float = SIMILARITY, words: int = WORDS,
     that with the least doc_id (nulls last), of equal ones that with the least hash of the text."""
     signed, classes, linked = _linked(docs, threshold, words, recall, small)
     known = classes.join(linked, "node", "left").select(F.coalesce("root", "node").alias("root"), "least")
-    i, h, times = (f"_{x}_{uuid.uuid4().hex}" for x in ("id", "hash", "times"))  # names that no column of docs has
+    i, h, times, mark = (f"_{x}_{uuid.uuid4().hex}" for x in ("id", "hash", "times", "mark"))  # names that no column of docs has
     stays = known.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias(i), F.col("least.text_hash").alias(h))
-    again = signed.groupBy("doc_id", "text_hash").agg(F.count("*").alias(times)).where(F.col(times) > 1)
-    repeated = written(again.join(stays, F.col("doc_id").eqNullSafe(F.col(i)) & (F.col("text_hash") == F.col(h))).select(i, h), "op6-repeated")
-    same = docs["doc_id"].eqNullSafe(F.col(i)) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col(h))
-    if repeated.isEmpty():
-        return docs.join(stays, same, "left_semi")
-    once = docs.join(stays.exceptAll(repeated), same, "left_semi")
-    return once.unionByName(docs.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    rows = signed.groupBy(F.col("doc_id").alias(f"{i}_"), F.col("text_hash").alias(f"{h}_")).agg(F.count("*").alias(times))
+    both = rows.join(stays.withColumn(mark, F.lit(True)), F.col(i).eqNullSafe(F.col(f"{i}_")) & (F.col(h) == F.col(f"{h}_")), "left")
+    # what does not stay as it is: rows that go, and those that stay once of several
+    changed = written(both.where(F.col(mark).isNull() | (F.col(times) > 1)).select(F.col(f"{i}_").alias(i), F.col(f"{h}_").alias(h), F.col(mark).isNotNull().alias(times)), "op6-changed")
+    own = F.xxhash64(docs["doc_id"].cast("long"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))))
+    seen = _marked(docs, own, changed.select(F.xxhash64(i, h).alias(times)), mark)
+    perhaps = seen.where(mark).drop(mark)  # all that is shuffled
+    same = perhaps["doc_id"].cast("long").eqNullSafe(F.col(i)) & (F.xxhash64(F.coalesce(perhaps["text"], F.lit(""))) == F.col(h))
+    kept = seen.where(~F.col(mark)).drop(mark).unionByName(perhaps.join(changed, same, "left_anti"))
+    if changed.where(times).isEmpty():
+        return kept
+    return kept.unionByName(perhaps.join(changed.where(times), same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def op6_query(spark: SparkSession, sf_dir: str) -> DataFrame:
