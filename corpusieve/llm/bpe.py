@@ -140,7 +140,7 @@ def loaded(path: str) -> tuple[Vocabulary, ChunkEncoder]:
     """The vocabulary of a rank file and its encoder of texts, one for each worker process."""
     if path not in _loaded:
         own = Vocabulary(read_ranks(path))
-        _loaded[path] = own, ChunkEncoder(lambda pretoken: np.array(own.encode(pretoken.encode()), "<u4").tobytes(), limit=600_000)
+        _loaded[path] = own, ChunkEncoder(lambda pretoken: np.array(own.encode(pretoken.encode()), "<u4").tobytes(), limit=500_000)
     return _loaded[path]
 
 

@@ -29,18 +29,28 @@ def pretokens(text: str) -> list[str]:
 
 
 class _Memo(dict):
-    """What ``compute`` gives for a key, kept for short keys that have no line end: ``limit`` of them at
-    most, in two halves. When the newer one is full, the older is dropped, and of its keys those that
-    were asked for meanwhile are in the newer."""
+    """What ``compute`` gives for a key, kept for short keys that have no line end and come up again:
+    most of a corpus's words are there once, so a key is kept from its second time on. ``limit`` are kept
+    at most, in two halves. When the newer one is full, the older is dropped, and of its keys those
+    that were asked for meanwhile are in the newer."""
+
+    SLOTS = 1 << 21
 
     def __init__(self, compute: Callable[[str], bytes | None], limit: int) -> None:
         super().__init__()
         self.compute, self.limit, self.older = compute, limit, {}
+        self.seen, self.marked = bytearray(self.SLOTS), 0
 
     def __missing__(self, key: str) -> bytes | None:
-        found = self.older.get(key)
-        if found is None:
+        if (found := self.older.get(key)) is None:
             found = self.compute(key)
+            slot = hash(key) & (self.SLOTS - 1)
+            if not self.seen[slot]:
+                if 2 * self.marked > self.SLOTS:
+                    self.seen, self.marked = bytearray(self.SLOTS), 0
+                self.seen[slot] = 1
+                self.marked += 1
+                return found
         if len(key) <= _LONGEST and "\n" not in key:
             if 2 * len(self) >= self.limit:
                 self.older = dict(self)
@@ -53,7 +63,7 @@ class ChunkEncoder:
     """``encode_pretoken`` gives the ids of one match of the pattern, as bytes of little-endian
     unsigned 32-bit integers; calling this object gives those of a whole text."""
 
-    def __init__(self, encode_pretoken: Callable[[str], bytes], limit: int = 900_000) -> None:
+    def __init__(self, encode_pretoken: Callable[[str], bytes], limit: int = 500_000) -> None:
         self.encode = encode_pretoken
         self.chunk = _Memo(self._chunk, limit)
         self.bare = _Memo(self._bare, limit // 4)
