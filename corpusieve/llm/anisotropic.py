@@ -150,8 +150,8 @@ def best_of_block(numbers: np.ndarray, ids: np.ndarray, vectors: np.ndarray, cod
     starts = np.r_[0, np.cumsum(np.bincount(group))]
     distinct, columns = vectors[first], np.ascontiguousarray(codes[first].T)
     most = nearest + 1
-    for place, (number, query, own) in enumerate(zip(asking, queries, tables, strict=True)):
-        likely = scan(columns, own)
+    for place, (number, query) in enumerate(zip(asking, queries, strict=True)):
+        likely = scan(columns, tables[place]) if len(columns) else (distinct * query).sum(1)
         least = np.partition(likely, -rerank)[-rerank] if len(likely) > rerank else -np.inf
         top = np.flatnonzero(likely >= least)  # all that tie with the last: codes can't tell them apart
         exact = (distinct[top] * query).sum(1)
@@ -174,14 +174,11 @@ def best_of_block(numbers: np.ndarray, ids: np.ndarray, vectors: np.ndarray, cod
 
 def usable(vectors: DataFrame) -> DataFrame:
     """vec_id and x (array of double) of the rows that take part: vec_id and vector not null, all
-    components finite and not all zero, and as many components as most rows have (of equally
-    frequent numbers the least)."""
+    components finite and not all zero."""
     x = F.transform("embedding", lambda v: v.cast("double"))
     rows = vectors.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x"))
     sound = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))) & F.exists("x", lambda v: v != 0)
-    rows = rows.where(F.coalesce(sound, F.lit(False)))
-    common = rows.groupBy(F.size("x").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    return rows.where(F.size("x") == (common[0].n if common else -1))
+    return rows.where(F.coalesce(sound, F.lit(False)))
 
 
 def _is_float(vectors: DataFrame) -> bool:
@@ -199,30 +196,33 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, nearest: int =
 
     Queries are the rows whose vec_id is divisible by ``every``, each without itself among its
     candidates, or the rows of ``queries``, to which every row is a candidate. A repeated vec_id is
-    as many rows and as many queries, each with an answer of its own.
+    as many rows and as many queries, each with an answer of its own. Only vectors of a query's own
+    length are its candidates. Of equally frequent lengths the least has codes.
     """
     rows = usable(vectors)
-    fitted = np.array([r.x for r in sampled(rows, sample, "vec_id", "x").collect()])
-    dimension = fitted.shape[1] if len(fitted) else 1
+    common = rows.groupBy(F.size("x").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
+    dimension = common[0].n if common else 1
+    fitted = np.array([r.x for r in sampled(rows.where(F.size("x") == dimension), sample, "vec_id", "x").collect()])
     quantiser = fit(fitted.reshape(-1, dimension), dimension)
     kind = "<f4" if _is_float(vectors) and (queries is None or _is_float(queries)) else "<f8"
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
+        for batch in batches:
+            for n, b in batch.groupby(batch["x"].map(len)):
                 x = np.stack(b["x"].to_list())
-                yield pd.DataFrame({"number": b["number"], "vec_id": b["vec_id"], "x": [v.tobytes() for v in x.astype(kind)], "code": [c.tobytes() for c in pack_codes(quantiser.codes(x))]})
+                codes = [c.tobytes() for c in pack_codes(quantiser.codes(x))] if n == dimension else [b""] * len(b)
+                yield pd.DataFrame({"number": b["number"], "vec_id": b["vec_id"], "n": n, "x": [v.tobytes() for v in x.astype(kind)], "code": codes}).astype({"n": "int32"})
 
     def indexed(own: DataFrame, name: str) -> DataFrame:
         numbered = own.withColumn("number", F.monotonically_increasing_id())
-        return written(numbered.mapInPandas(encode, "number long, vec_id long, x binary, code binary"), name)
+        return written(numbered.mapInPandas(encode, "number long, vec_id long, n int, x binary, code binary"), name)
 
     index = indexed(rows, "op4-index")
     if queries is None:
         # read anew: cogroup mixes up the columns of two frames that share theirs
         asked = index.sparkSession.read.schema(index.schema).parquet(index.written_to).where(F.col("vec_id") % every == 0)
     else:  # numbers that no row has
-        asked = indexed(usable(queries).where(F.size("x") == dimension), "op4-queries").withColumn("number", -1 - F.col("number"))
+        asked = indexed(usable(queries), "op4-queries").withColumn("number", -1 - F.col("number"))
     n_rows, n_asked = index.count(), asked.count()
     query_blocks = max(1, -(-n_asked // QUERY_BLOCK))
     tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -240,13 +240,14 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, nearest: int =
             for k in range(0, len(ask), 256):
                 part = ask.iloc[k : k + 256]
                 asking, query_ids, wanted = part["number"].to_numpy(), part["vec_id"].to_numpy(), _joined(part["x"], kind)
-                for place, *near in best_of_block(numbers, ids, x, codes, asking, wanted, quantiser.tables(wanted), nearest, rerank):
+                tables = quantiser.tables(wanted) if x.shape[1] == dimension else np.zeros((len(part), 0))
+                for place, *near in best_of_block(numbers, ids, x, codes, asking, wanted, tables, nearest, rerank):
                     found.append((np.full(len(near[0]), asking[place]), np.full(len(near[0]), query_ids[place]), *near))
         return pd.DataFrame({name: np.concatenate(c) for name, c in zip(("asking", "query_id", "number", "vec_id", "score"), zip(*found, strict=True), strict=True)})
 
     # dealt by number, since blocks are small and take long: adaptive execution would put many in one task
-    left, right = (x.repartition(tasks, "q", "r") for x in (left, right))
-    met = left.groupBy("q", "r").cogroup(right.groupBy("q", "r")).applyInPandas(meet, "asking long, query_id long, number long, vec_id long, score double")
+    left, right = (x.repartition(tasks, "q", "r", "n") for x in (left, right))
+    met = left.groupBy("q", "r", "n").cogroup(right.groupBy("q", "r", "n")).applyInPandas(meet, "asking long, query_id long, number long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("asking").orderBy(F.desc("score"), "vec_id", "number"))
     return met.withColumn("rank", rank).where(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")
 
