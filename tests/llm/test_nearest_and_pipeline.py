@@ -62,6 +62,15 @@ def test_repeated_ids_are_rows_of_their_own(spark):
     assert got == 2 * [(7, 1, 0, 1.0)] + 2 * [(7, 2, 0, 1.0)]
 
 
+def test_vectors_meet_those_of_their_length(spark):
+    rows = [(i, [1.0, float(i)]) for i in range(10)] + [(100 + i, [float(i + 1), 0.5, 1.0]) for i in range(3)] + [(200, [3.0])]
+    got: dict[int, list] = {}
+    for r in anisotropic.search(vectors(spark, rows)).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert set(got) == {0, 100} and sorted(got[100]) == [(1, 102, 4.25), (2, 101, 3.25)]
+    assert [v for _, v, _ in sorted(got[0])] == list(range(1, 10))
+
+
 def test_many_copies_with_the_query_among_them(spark):
     rows = [(i // 2, [2.0, 2.0]) for i in range(120)] + [(500, [2.0, 1.0])]
     by_query: dict[int, list] = {}
