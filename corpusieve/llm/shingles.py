@@ -9,8 +9,6 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-from corpusieve.llm.words import WordTable
-
 WORDS = 5
 SIMILARITY = 0.8
 _TOP = np.uint64((1 << 64) - 1)
@@ -28,24 +26,52 @@ def odd_numbers(seed: int, n: int) -> np.ndarray:
     return mixed(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)) | np.uint64(1)
 
 
+#: What each byte of a word is multiplied by, from its first; they come again in longer words.
+_FACTORS = odd_numbers(5, 4096)
+#: Bytes whose words are hashed together.
+_BYTES = 1 << 18
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """A hash of each word in order: the sum of its bytes, each times the number of its place, mixed
+    with its length."""
+    joined = " ".join((text or "").lower().split())
+    if not joined:
+        return np.zeros(0, np.uint64)
+    data = np.frombuffer(joined.encode("utf-8", "surrogatepass"), np.uint8)
+    ends = np.append(np.flatnonzero(data == 32), len(data))
+    starts = np.append(0, ends[:-1] + 1)
+    sizes, sums = ends - starts, np.empty(len(ends), np.uint64)
+    first = 0
+    while first < len(ends):
+        last = max(first + 1, int(np.searchsorted(ends, starts[first] + _BYTES, "right")))
+        begin, own = starts[first], starts[first:last] - starts[first]
+        part = data[begin : ends[last - 1]]
+        place = np.arange(len(part)) - np.repeat(own, sizes[first:last] + 1)[: len(part)]
+        terms = (part.astype(np.uint64) + np.uint64(1)) * _FACTORS[place & (len(_FACTORS) - 1)]
+        terms[own[1:] - 1] = 0  # spaces
+        sums[first:last] = np.add.reduceat(terms, own)
+        first = last
+    return mixed(sums + sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
 class Shingler:
     """text -> hashes of its shingles in order, repeats kept."""
 
     def __init__(self, words: int = WORDS) -> None:
         self.words = words
         self.factors = odd_numbers(words, words)
-        self.table = WordTable(lambda new: np.array([xxhash.xxh3_64_intdigest(w) for w in new], np.uint64))
 
     def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").lower().split()
-        if not words:
-            return np.zeros(0, np.uint64)
-        hashes, n = self.table(words), self.words
-        if len(words) < n:
+        hashes, n = word_hashes(text), self.words
+        count = len(hashes) - n + 1
+        if not len(hashes):
+            return hashes
+        if count < 1:
             return mixed(np.array([xxhash.xxh3_64_intdigest(hashes.tobytes())], np.uint64))
-        total = hashes[: len(words) - n + 1] * self.factors[0]
+        total = hashes[:count] * self.factors[0]
         for k in range(1, n):
-            total += hashes[k : len(words) - n + 1 + k] * self.factors[k]
+            total += hashes[k : count + k] * self.factors[k]
         return mixed(total)
 
 
