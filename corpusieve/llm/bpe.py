@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusieve.llm.encoders import ChunkEncoder
+from corpusieve.llm.words import only
 
 _NEVER = math.inf
 #: Pairs of tokens that a worker remembers at most.
@@ -133,15 +134,14 @@ class Vocabulary:
         return b"".join(map(self.token.__getitem__, ids.tolist()))
 
 
-_loaded: dict[str, tuple[Vocabulary, ChunkEncoder]] = {}
-
-
 def loaded(path: str) -> tuple[Vocabulary, ChunkEncoder]:
-    """The vocabulary of a rank file and its encoder of texts, one for each worker process."""
-    if path not in _loaded:
+    """The vocabulary of a rank file and its encoder of texts, which a worker process keeps between tasks."""
+
+    def make() -> tuple[Vocabulary, ChunkEncoder]:
         own = Vocabulary(read_ranks(path))
-        _loaded[path] = own, ChunkEncoder(lambda pretoken: np.array(own.encode(pretoken.encode()), "<u4").tobytes(), limit=500_000)
-    return _loaded[path]
+        return own, ChunkEncoder(lambda pretoken: np.array(own.encode(pretoken.encode()), "<u4").tobytes(), limit=600_000)
+
+    return only(("ranks", path), make)
 
 
 def encode(text: Column, ranks_path: str) -> Column:

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from corpusieve.llm.components import components
 from corpusieve.llm.shingles import SIMILARITY, WORDS, OnePermutation, Shingler, mixed, odd_numbers
+from corpusieve.llm.words import forget
 from corpusieve.runtime import bound_batches, discard, table, written
 
 RECALL = 0.99
@@ -107,6 +108,7 @@ _LEVELS = ", ".join(f"path{k} array<long>, before{k} array<long>" for k in range
 
 def _signed(docs: DataFrame, words: int, threshold: float, runs: int) -> DataFrame:
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         signer = Signer(words, threshold, runs)
         for batch in batches:
             rows = []

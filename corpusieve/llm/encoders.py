@@ -18,6 +18,8 @@ import numpy as np
 import public_tokenizers
 import regex
 
+from corpusieve.llm.words import only
+
 _SPLIT = regex.compile(public_tokenizers.PATTERN)
 #: Characters below this have had their letter class since long before any library's tables.
 _SETTLED = "ɐ"
@@ -29,30 +31,20 @@ def pretokens(text: str) -> list[str]:
 
 
 class _Memo(dict):
-    """What ``compute`` gives for a key, kept for short keys that have no line end and come up again:
-    most of a corpus's words are there once, so a key is kept from its second time on. ``limit`` are kept
-    at most, in two halves. When the newer one is full, the older is dropped, and of its keys those
-    that were asked for meanwhile are in the newer."""
-
-    SLOTS = 1 << 21
+    """What ``compute`` gives for a key, kept for short keys that have no line end: ``limit`` of them at
+    most, in two halves. When the newer one is full, the older is dropped, and of its keys those that
+    were asked for meanwhile are in the newer."""
 
     def __init__(self, compute: Callable[[str], bytes | None], limit: int) -> None:
         super().__init__()
-        self.compute, self.limit, self.older = compute, limit, {}
-        self.seen, self.marked = bytearray(self.SLOTS), 0
+        self.compute, self.half, self.older = compute, max(1, limit // 2), {}
 
     def __missing__(self, key: str) -> bytes | None:
-        if (found := self.older.get(key)) is None:
+        found = self.older.get(key)
+        if found is None:
             found = self.compute(key)
-            slot = hash(key) & (self.SLOTS - 1)
-            if not self.seen[slot]:
-                if 2 * self.marked > self.SLOTS:
-                    self.seen, self.marked = bytearray(self.SLOTS), 0
-                self.seen[slot] = 1
-                self.marked += 1
-                return found
         if len(key) <= _LONGEST and "\n" not in key:
-            if 2 * len(self) >= self.limit:
+            if len(self) >= self.half:
                 self.older = dict(self)
                 self.clear()
             self[key] = found
@@ -61,10 +53,12 @@ class _Memo(dict):
 
 class ChunkEncoder:
     """``encode_pretoken`` gives the ids of one match of the pattern, as bytes of little-endian
-    unsigned 32-bit integers; calling this object gives those of a whole text."""
+    unsigned 32-bit integers, ``encode_word`` those of ASCII letters after a space; calling this object
+    gives those of a whole text."""
 
-    def __init__(self, encode_pretoken: Callable[[str], bytes], limit: int = 500_000) -> None:
+    def __init__(self, encode_pretoken: Callable[[str], bytes], encode_word: Callable[[str], bytes] | None = None, limit: int = 800_000) -> None:
         self.encode = encode_pretoken
+        self.word = encode_word or (lambda word: encode_pretoken(" " + word))
         self.chunk = _Memo(self._chunk, limit)
         self.bare = _Memo(self._bare, limit // 4)
         self.pretoken = _Memo(encode_pretoken, limit // 4)  # matches that are not a whole word after a space
@@ -73,6 +67,8 @@ class ChunkEncoder:
     def _chunk(self, chunk: str) -> bytes | None:
         """Ids of " " + chunk; None if its white space may belong to a neighbour's run. Letters and marks
         after them are two matches, which need no pattern."""
+        if chunk.isalpha() and chunk.isascii():
+            return self.word(chunk)
         core = chunk.rstrip(string.punctuation)
         if core.isalpha() and (core.isascii() or max(core) < _SETTLED):
             return self.chunk[core] + self.pretoken[chunk[len(core) :]] if len(core) < len(chunk) else self.encode(" " + chunk)
@@ -157,13 +153,12 @@ class LibraryEncoder:
         space, packed = letters[32], [struct.pack("<I", k) for k in range(self.whole.get_vocab_size())]
 
         def encode(pretoken: str) -> bytes:
-            if pretoken[:1] == " " and pretoken[1:].isalpha() and pretoken.isascii():
-                mapped = space + pretoken[1:]  # other bytes of ASCII letters stand for themselves
-            else:
-                mapped = pretoken.encode().decode("latin-1").translate(letters)
-            return b"".join([packed[t.id] for t in ask(mapped)])
+            return b"".join([packed[t.id] for t in ask(pretoken.encode().decode("latin-1").translate(letters))])
 
-        self.chunks = ChunkEncoder(encode)
+        def encode_word(word: str) -> bytes:  # bytes of ASCII letters stand for themselves
+            return b"".join([packed[t.id] for t in ask(space + word)])
+
+        self.chunks = ChunkEncoder(encode, encode_word)
 
     def __call__(self, text: str | None) -> bytes:
         if text and (not self.plain or any(map(text.__contains__, self.added))):
@@ -171,11 +166,6 @@ class LibraryEncoder:
         return self.chunks(text)
 
 
-_tokenizers: dict[str, LibraryEncoder] = {}
-
-
 def library_encoder(path: str) -> LibraryEncoder:
-    """The encoder of the file ``path``, one for each worker process."""
-    if path not in _tokenizers:
-        _tokenizers[path] = LibraryEncoder(path)
-    return _tokenizers[path]
+    """The encoder of the file ``path``, which a worker process keeps between tasks."""
+    return only(("library", path), lambda: LibraryEncoder(path))

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from corpusieve.llm.sampling import sampled_by, taken
 from corpusieve.llm.shingles import mixed
+from corpusieve.llm.words import forget
 from corpusieve.runtime import bound_batches, table
 
 ORDER = 4
@@ -271,6 +272,7 @@ def predict(text: Column, model: Model) -> Column:
 
     @F.pandas_udf("lang_pred string, score double, bits double")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        forget()
         for batch in texts:
             yield pd.DataFrame(model.predict(batch), columns=["lang_pred", "score", "bits"])
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from corpusieve.llm.sampling import sampled, taken
 from corpusieve.llm.shingles import mixed, odd_numbers
-from corpusieve.llm.words import WordTable, blocks, text_rows
+from corpusieve.llm.words import WordTable, blocks, forget, text_rows
 from corpusieve.runtime import bound_batches, table
 
 ROW_BITS = 17
@@ -197,6 +197,7 @@ def score(text: Column, model: Model) -> Column:
 
     @F.pandas_udf("double")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        forget()
         rate = model.scorer()
         for batch in texts:
             yield pd.Series(rate(list(batch)), dtype=float)

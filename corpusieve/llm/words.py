@@ -7,13 +7,32 @@ it once for each word that a worker meets, for all new words of a document toget
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from typing import TypeVar
 
 import numpy as np
 
+T = TypeVar("T")
 #: Words longer than this are computed each time: they rarely repeat and would fill the memo.
 LONGEST = 64
 
 
+_kept: dict[object, object] = {}
+
+
+def only(name: object, make: Callable[[], T]) -> T:
+    """What ``make`` gives under a name, kept in this process; what was kept under other names is
+    dropped, so a worker that runs one operator after another holds what one of them remembers."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
+def forget() -> None:
+    """Drops what ``only`` keeps: for tasks that need none of it."""
+    _kept.clear()
+
+
 class _Index(dict):
     """word -> row; a word that is not there yet gets the next row."""
 
