@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusieve.llm import chat, chosenpath, fingerprints, langid, quality, shards
+from corpusieve.llm import chat, chosenpath, fingerprints, langid, quality, shards, shingles
 from corpusieve.llm.components import components
 from corpusieve.llm.shingles import OnePermutation, Shingler
 from corpusieve.llm.words import WordTable, text_rows
@@ -331,6 +331,18 @@ def test_shingler_short_texts():
     assert make("A b\tC")[0] == make("a B c")[0]
 
 
+def test_word_hashes(monkeypatch):
+    rng, words = random.Random(3), ["a", "b", "ab", "ba", "é", "日本", "x" * 5000, "x" * 5001, "aa", "a" * 4097]
+    texts = [[rng.choice(words) for _ in range(rng.randint(1, 30))] for _ in range(50)]
+    alone = {w: int(shingles.word_hashes(w)[0]) for w in words}
+    assert len(set(alone.values())) == len(words)
+    for size in (1 << 18, 3, 7000):
+        monkeypatch.setattr(shingles, "_BYTES", size)
+        for t in texts:
+            assert shingles.word_hashes("\n ".join(t).upper().replace("É", "é")).tolist() == [alone[w] for w in t]
+    assert len(shingles.word_hashes(" \u2003\n")) == len(shingles.word_hashes(None)) == 0
+
+
 # -- shards
 
 

@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from corpusieve.llm import bpe, encoders, packing, tokenfiles
+from corpusieve.llm import bpe, encoders, packing, tokenfiles, words
 from corpusieve.runtime import scratch
 
 RANKS, JSON = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
@@ -50,7 +50,7 @@ def test_chunks_equal_the_whole_text(library, text):
 
 
 def test_memo_overflow_changes_nothing(library):
-    small = encoders.ChunkEncoder(encoders.library_encoder(JSON).chunks.pretoken.compute, limit=2)
+    small = encoders.ChunkEncoder(encoders.library_encoder(JSON).chunks.encode, limit=2)
     text = "many different words pass by here, many different words"
     assert ids_of(small(text)) == library.encode(text, add_special_tokens=False).ids
 
@@ -62,6 +62,15 @@ def test_other_files_go_to_the_library_whole():
         assert ids_of(encode(text)) == whole.encode(text, add_special_tokens=False).ids
 
 
+def test_a_worker_keeps_one_thing():
+    first = encoders.library_encoder(JSON)
+    assert encoders.library_encoder(JSON) is first
+    vocabulary, _ = bpe.loaded(RANKS)
+    assert bpe.loaded(RANKS)[0] is vocabulary and encoders.library_encoder(JSON) is not first
+    words.forget()
+    assert not words._kept
+
+
 def frame(spark, texts, **more):
     rows = [(i, t, "clash") for i, t in enumerate(texts)]
     return spark.createDataFrame(rows, "doc_id long, text string, ids string")
