@@ -3,8 +3,9 @@
 The pattern that byte-level vocabularies split texts by never joins two non-space runs. Where
 two of them are parted by exactly one space, the text can be cut before that space and each
 side split on its own: the second starts with " ". So a text is cut at its single spaces, ids are
-looked up by chunk, and only a new chunk is split and encoded. Runs of other or more white space
-stay inside one chunk, with the words on both sides.
+looked up by chunk, and only a new chunk is split and encoded. A chunk is cut again at single line
+ends, which are matches by themselves, and where marks follow letters. Other runs of white space stay
+inside one chunk, with the words on both sides.
 """
 
 from __future__ import annotations
