@@ -25,6 +25,8 @@ _SPLIT = regex.compile(public_tokenizers.PATTERN)
 #: Characters below this have had their letter class since long before any library's tables.
 _SETTLED = "ɐ"
 _LONGEST = 48
+#: Chunks whose ids are remembered in a worker at most: about 190 MB.
+REMEMBERED = 800_000
 
 
 def pretokens(text: str) -> list[str]:
@@ -57,7 +59,7 @@ class ChunkEncoder:
     unsigned 32-bit integers, ``encode_word`` those of ASCII letters after a space; calling this object
     gives those of a whole text."""
 
-    def __init__(self, encode_pretoken: Callable[[str], bytes], encode_word: Callable[[str], bytes] | None = None, limit: int = 800_000) -> None:
+    def __init__(self, encode_pretoken: Callable[[str], bytes], encode_word: Callable[[str], bytes] | None = None, limit: int = REMEMBERED) -> None:
         self.encode = encode_pretoken
         self.word = encode_word or (lambda word: encode_pretoken(" " + word))
         self.chunk = _Memo(self._chunk, limit)
@@ -143,7 +145,7 @@ class LibraryEncoder:
     id, as the library's default has it.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, limit: int = REMEMBERED) -> None:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
@@ -159,7 +161,7 @@ class LibraryEncoder:
         def encode_word(word: str) -> bytes:  # bytes of ASCII letters stand for themselves
             return b"".join([packed[t.id] for t in ask(space + word)])
 
-        self.chunks = ChunkEncoder(encode, encode_word)
+        self.chunks = ChunkEncoder(encode, encode_word, limit)
 
     def __call__(self, text: str | None) -> bytes:
         if text and (not self.plain or any(map(text.__contains__, self.added))):
@@ -167,6 +169,6 @@ class LibraryEncoder:
         return self.chunks(text)
 
 
-def library_encoder(path: str) -> LibraryEncoder:
+def library_encoder(path: str, limit: int = REMEMBERED) -> LibraryEncoder:
     """The encoder of the file ``path``, which a worker process keeps between tasks."""
-    return only(("library", path), lambda: LibraryEncoder(path))
+    return only(("library", path, limit), lambda: LibraryEncoder(path, limit))

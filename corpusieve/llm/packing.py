@@ -154,13 +154,14 @@ def pack(docs: DataFrame, root: str, encoder: Callable[[], Callable[[str | None]
     return packed.where("not open").drop("open", "task").unionByName(merged)
 
 
-def library_pack(docs: DataFrame, root: str, path: str, end_id: int = 1) -> DataFrame:
-    """``pack`` with the tokenizers library's vocabulary at ``path``."""
+def library_pack(docs: DataFrame, root: str, path: str, end_id: int = 1, remembered: int | None = None) -> DataFrame:
+    """``pack`` with the tokenizers library's vocabulary at ``path``; a worker remembers the ids of as
+    many words as ``remembered`` says, which changes nothing but time and memory."""
 
     def encoder():
-        from corpusieve.llm.encoders import library_encoder
+        from corpusieve.llm import encoders
 
-        return library_encoder(path)
+        return encoders.library_encoder(path, remembered or encoders.REMEMBERED)
 
     return pack(docs, root, encoder, end_id)
 
