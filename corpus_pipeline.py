@@ -18,6 +18,9 @@ from corpusieve.runtime import bound_batches, discard, scratch, table, written
 
 #: A document must be in one of the learned languages with this probability at least.
 LANGUAGE_SURE = 0.5
+#: Words whose ids a worker remembers while packing: fewer than by default, as workers that wait for a later
+#: run's first stages still hold them.
+REMEMBERED = 400_000
 QUALITY_LEAST = 0.5
 
 
@@ -67,7 +70,7 @@ def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     bound_batches(spark)
-    return packing.digest(packing.library_pack(docs, scratch(spark, "pipeline-packed"), public_tokenizers.path("byte_bpe_50k.json")))
+    return packing.digest(packing.library_pack(docs, scratch(spark, "pipeline-packed"), public_tokenizers.path("byte_bpe_50k.json"), remembered=REMEMBERED))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
