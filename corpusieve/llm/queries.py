@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusieve.llm import anisotropic, bpe, chat, chosenpath, fingerprints, langid, packing, quality, shards, tokenfiles
+from corpusieve.llm import anisotropic, bpe, chat, chosenpath, fingerprints, langid, packing, quality, repeats, shards, tokenfiles
 
 QUERIES = {
     "op1_quality": quality.op1_query,
@@ -15,7 +15,8 @@ QUERIES = {
     "op8_bpe": bpe.op8_query,
     "op9_token_files": tokenfiles.op9_query,
     "op10_packing": packing.op10_query,
+    "op11_repeats": repeats.op11_query,
 }
 
 #: Queries without SQL are tested against brute force, round trips or held-out rows.
-ORACLES = {"op5_shards": shards.OP5_SQL, "op6_jaccard_join": chosenpath.OP6_SQL, "op7_chat": chat.OP7_SQL}
+ORACLES = {"op5_shards": shards.OP5_SQL, "op6_jaccard_join": chosenpath.OP6_SQL, "op7_chat": chat.OP7_SQL, "op11_repeats": repeats.OP11_SQL}
