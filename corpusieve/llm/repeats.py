@@ -349,7 +349,8 @@ def _kept(batch: pa.RecordBatch, size: int) -> pa.RecordBatch:
     np.add.at(edge, own.ends[stays], -1)
     mask = np.cumsum(edge[:-1], dtype=np.int8) > 0
     row = own.row[stays]
-    more = np.append(False, row[1:] == row[:-1])
+    more = np.zeros(len(row), bool)
+    more[1:] = row[1:] == row[:-1]
     gaps = own.starts[stays][more] - 1
     data = own.data.copy()
     data[gaps], mask[gaps] = 32, True
