@@ -305,7 +305,7 @@ def repeated_windows(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, li
     copied = runs.select(*same, "doc", "key", "start", "size").join(firsts, [*same, "doc"], "left_anti")
     digest = F.struct("d1", "d2")
     unlike = runs.groupBy("minimizer").agg(F.min(digest).alias("a"), F.max(digest).alias("b")).where("a <> b").select("minimizer")
-    leaders = runs.join(unlike, "minimizer").join(firsts, [*same, "doc"], "left_semi")
+    leaders = runs.join(firsts.join(unlike, "minimizer"), [*same, "doc"], "left_semi")
     both = F.posexplode(F.arrays_zip("w1", "w2")).alias("at", "w")
     windows = written(leaders.select("doc", "key", "start", both).select("doc", "key", (F.col("start") + F.col("at")).alias("start"), "w.w1", "w.w2"), "op11-windows")
     earliest = windows.groupBy("w1", "w2").agg(F.min("doc").alias("doc"))
