@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusieve.llm.sampling import sampled_by, taken
+from corpusieve.llm.sampling import learnable, sampled_by, taken
 from corpusieve.llm.shingles import mixed
 from corpusieve.llm.words import forget
 from corpusieve.runtime import bound_batches, table
@@ -234,10 +234,10 @@ def training_texts(docs: DataFrame, per_language: int = PER_LANGUAGE, sample: in
     """Texts of each language from docs(doc_id, text, lang): at most ``per_language`` documents of
     each language and ``sample`` in all, by the hash of doc_id, none held out, none with a null in
     one of the three, and no more than ``chars`` characters. Of rows that share doc_id and lang one
-    text is taken."""
+    text is taken, and none that is longer than a 64th of ``chars``."""
     known = docs.where("doc_id is not null and lang is not null").where(~held_out(F.col("doc_id"))).select("doc_id", "lang")
     ids = sampled_by(known.distinct(), "lang", per_language, sample, LANGUAGES, "doc_id")
-    rows = docs.where("text is not null").select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    rows = learnable(docs, chars).select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
     texts: dict[str, list[str]] = {}
     for r in taken(rows, chars, "doc_id", "lang"):
         texts.setdefault(r.lang, []).append(r.text)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusieve.llm.sampling import sampled, taken
+from corpusieve.llm.sampling import learnable, sampled, taken
 from corpusieve.llm.shingles import mixed, odd_numbers
 from corpusieve.llm.words import WordTable, blocks, forget, text_rows
 from corpusieve.runtime import bound_batches, table
@@ -182,11 +182,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int =
 
     Ids are chosen first, by hash, from ``labels`` alone, so only texts of the sample leave the
     executors. Several labels of one document: the majority, 1 on a tie; null labels and ids
-    count as none; of repeated documents one text is taken.
+    count as none; of repeated documents one text is taken, and none that is longer than a 64th of ``chars``.
     """
     known = labels.where("quality is not null and doc_id is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
     ids = F.broadcast(sampled(known, sample, "doc_id"))  # bounded by sample
-    rows = docs.where("text is not null").select("doc_id", "text").join(ids, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
+    rows = learnable(docs, chars).select("doc_id", "text").join(ids, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
     found = list(taken(rows, chars, "doc_id"))
     return train([r.text for r in found], [r.label for r in found])
 

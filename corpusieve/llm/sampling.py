@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 _RANGE = 1 << 31
+#: A text that is learned from has at most this part of the characters that all together may have.
+SHARE = 64
 
 
 def place(*key: str) -> Column:
@@ -35,11 +37,17 @@ def sampled_by(rows: DataFrame, group: str, n: int, most: int, groups: int, *key
     return kept.withColumn("_turn", turn).where(F.col("_turn") <= n).orderBy("_turn", group).limit(most).drop("_turn")
 
 
+def learnable(rows: DataFrame, chars: int) -> DataFrame:
+    """Rows with a text of at most a SHARE-th of ``chars`` characters: longer ones are never learned from,
+    so one text can't take the place of others, and their length is seen before they leave an executor."""
+    return rows.where(F.length("text") <= chars // SHARE)
+
+
 def taken(rows: DataFrame, chars: int, *key: str) -> Iterator[Row]:
-    """Rows with a text, in hash order of ``key``, until their texts have ``chars`` characters. They
-    come to the driver partition by partition, so what it holds is bounded, however long texts are."""
+    """Rows with a text, in hash order of ``key``, as long as their texts have ``chars`` characters
+    together; one that would be too much is left out and the next one tried. They come to the driver
+    partition by partition, so what it holds is bounded."""
     for row in rows.orderBy(place(*key), *key).toLocalIterator():
-        chars -= len(row.text)
-        if chars < 0:
-            return
-        yield row
+        if len(row.text) <= chars:
+            chars -= len(row.text)
+            yield row

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from corpusieve.llm import anisotropic
+from corpusieve.llm import anisotropic, chosenpath
 from corpusieve.runtime import table
 
 
@@ -155,3 +155,14 @@ def test_pipeline_on_repeated_rows_and_long_texts(spark, sf_dir):
     packed = corpus_pipeline.STAGES[3][1](spark, kept, sf_dir)
     whole = packed.groupBy("doc_id").agg({"length": "sum", "doc_tokens": "max"}).where("`sum(length)` <> `max(doc_tokens)`")
     assert whole.count() == 0 and packed.select("doc_id").distinct().count() == kept.count()
+
+
+def test_of_rows_equal_in_id_and_text_the_same_one_stays(spark):
+    text = "one two three four five six seven"
+    rows = [(1, text, f"s{k}", k) for k in range(12)] + [(2, text, "other", 0), (3, "quite another text that is alone here", "a", 1)]
+    kept = set()
+    for seed in range(4):
+        own = spark.createDataFrame(sorted(rows, key=lambda r: hash((r, seed))), "doc_id long, text string, source string, n int").repartition(1 + seed, "n")
+        kept.add(tuple(sorted(tuple(r) for r in chosenpath.keep_one(own).collect())))
+    (one,) = kept
+    assert [r[0] for r in one] == [1, 3]

@@ -90,12 +90,34 @@ def test_samples_are_bounded(spark):
 
     rows = docs(spark, [(i, "x" * 100, f"l{i % 7}") for i in range(300)])
     assert len(list(sampling.taken(rows, 1050, "doc_id"))) == 10
-    assert sum(map(len, langid.training_texts(rows, chars=2000).values())) == 20
+    assert sum(map(len, langid.training_texts(rows, chars=12_800).values())) == 128
     by = sampling.sampled_by(rows, "lang", 3, 100, 5, "doc_id").groupBy("lang").count().collect()
     assert len(by) == 5 and all(r["count"] == 3 for r in by)
     assert sampling.sampled(rows, 20, "doc_id").count() == 20 and sampling.sampled(rows, 2000, "doc_id").count() == 300
 
 
+def test_a_text_that_does_not_fit_is_passed_over(spark):
+    from corpusieve.llm import sampling
+
+    own = docs(spark, [(i, "x" * (900 if i % 2 else 100), "en") for i in range(40)])
+    kept = [len(r.text) for r in sampling.taken(own, 2000, "doc_id")]
+    assert sum(kept) == 2000 or sum(kept) > 1900
+    assert {len(r.text) for r in sampling.learnable(own, 64 * 500).collect()} == {100}
+
+
+def test_one_very_long_labelled_text_changes_nothing(spark):
+    rows = [(10 + i, f"good words here {i}" if i % 2 else f"bad### bad### {i}", "en" if i % 2 else "fr") for i in range(60)]
+    marks = spark.createDataFrame([(i, i % 2) for i in range(500)], "doc_id long, quality int")
+    less = docs(spark, rows)
+    for i in range(100, 104):  # one of these is not held out, whatever the fold
+        more = less.unionByName(spark.range(1).select(F.lit(i).cast("long").alias("doc_id"), F.repeat(F.lit("odd words "), 4_000_000).alias("text"), F.lit("fr").alias("lang")), allowMissingColumns=True)
+        if not held_out(i, 3, 1) and not held_out(i, 4, 2):
+            break
+    a, b = quality.learn(less, marks), quality.learn(more, marks)
+    assert (a.weight == b.weight).all() and a.bias == b.bias and a.weight.any()
+    assert langid.training_texts(less) == langid.training_texts(more) and langid.training_texts(less)
+
+
 def test_equal_code_lengths_give_the_first_name():
     model = langid.train({"b": ["one two"], "a": ["one two"]})
     assert model.predict(["one two"])[0][:2] == ("a", 0.5)
@@ -359,9 +381,17 @@ def test_shards(spark):
     assert sorted(r.doc_id for r in store.read().collect()) == list(range(400))
     assert store.read(2).count() == 200  # an older version is still whole
     assert store.vacuum() == len(before)
+    with pytest.raises(ValueError, match="version 2"):
+        store.read(2)
+    assert store._put(2, {}, []) is False  # its number stays taken
+    read = []
+    store.manifest, whole = (lambda v=None: read.append(v) or whole(v)), store.manifest
+    assert store.vacuum() == 0 and len(read) <= 2  # emptied manifests are not read again
+    store.manifest = whole
     assert store.read().exceptAll(rows).count() == 0 and rows.exceptAll(store.read()).count() == 0
     with pytest.raises(ValueError, match="columns differ"):
         store.append(rows.select("doc_id"))
+    assert store.vacuum(grace=-1) == 0  # it wrote nothing
     assert store._put(1, {}, []) is False and store.read().count() == 400
 
 
