@@ -74,9 +74,12 @@ class ShardStore:
             return {"version": 0, "schema": None, "shards": []}
         stream = self._fs.open(self._path(f"{self.root}/manifest/v{v:010d}.json"))
         try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
+            found = bytes(stream.readAllBytes()).decode()
         finally:
             stream.close()
+        if not found:
+            raise ValueError(f"the files of version {v} were removed by a vacuum")
+        return json.loads(found)
 
     def shards(self, version: int | None = None) -> list[Shard]:
         return [Shard(**x) for x in self.manifest(version)["shards"]]
@@ -122,6 +125,7 @@ class ShardStore:
 
     def append(self, df: DataFrame, arrival: str = "") -> int:
         """Adds ``df`` as new shards and commits; columns must be those of earlier arrivals."""
+        self._same_columns(self.manifest()["schema"], json.loads(df.schema.json()))
         folder = f"data/{uuid.uuid4().hex}"
         df.write.parquet(f"{self.root}/{folder}")
         return self._add(df.schema, [Shard(path, size, arrival) for path, size in self._files(folder)])
@@ -143,12 +147,16 @@ class ShardStore:
         own = json.loads(schema.json())
 
         def added(now: dict) -> tuple[dict, list[Shard]]:
-            if now["schema"] and _plain(now["schema"]) != _plain(own):
-                raise ValueError("the columns differ from those of earlier arrivals")
+            self._same_columns(now["schema"], own)
             return now["schema"] or own, [*(Shard(**x) for x in now["shards"]), *new]
 
         return self._commit(added)
 
+    @staticmethod
+    def _same_columns(before: dict | None, own: dict) -> None:
+        if before and _plain(before) != _plain(own):
+            raise ValueError("the columns differ from those of earlier arrivals")
+
     def tier(self, size: int) -> int:
         """0 for the smallest shards; one more for each factor of ``fan``."""
         return max(0, math.ceil(math.log(max(size, 1) / 4096, self.fan)))
@@ -198,11 +206,20 @@ class ShardStore:
     def vacuum(self, grace: float = GRACE) -> int:
         """Deletes data files that only older versions name, and those of no version that were
         written more than ``grace`` seconds ago; returns how many. Readers of older versions must be
-        done; writers need not be."""
+        done; writers need not be.
+
+        The manifests of versions that lost files are emptied, not removed, so that no writer takes their
+        numbers for free; later vacuums tell them by their size and read only those since the last one.
+        """
         newest = self.version()
         named = {s.path for s in self.shards(newest)}
-        once = {x.getPath().getName() for x in self._fs.listStatus(self._path(f"{self.root}/manifest"))}
-        older = {s.path for n in once if n.startswith("v") and int(n[1:-5]) < newest for s in self.shards(int(n[1:-5]))}
+        manifests = {x.getPath().getName(): x.getLen() for x in self._fs.listStatus(self._path(f"{self.root}/manifest"))}
+        before = [v for v in (int(n[1:-5]) for n, size in manifests.items() if n.startswith("v") and size) if v < newest]
+        of = {v: {s.path for s in self.shards(v)} for v in before}
+        older = set().union(*of.values())
+        for v in before:
+            if of[v] - named:
+                self._fs.create(self._path(f"{self.root}/manifest/v{v:010d}.json"), True).close()
         gone = 0
         for path, _ in self._files("data"):
             at = self._path(f"{self.root}/{path}")
