@@ -375,7 +375,8 @@ def jaccard_join(docs: DataFrame, threshold: float = SIMILARITY, words: int = WO
 
 def keep_one(docs: DataFrame, threshold: float = SIMILARITY, words: int = WORDS, recall: float = RECALL, small: int = SMALL) -> DataFrame:
     """The rows of ``docs``, all columns, of which one of each group of linked documents stays:
-    that with the least doc_id (nulls last), of equal ones that with the least hash of the text."""
+    that with the least doc_id (nulls last), of equal ones that with the least hash of the text, and of
+    rows equal in both that with the least hash of all columns."""
     signed, classes, linked = _linked(docs, threshold, words, recall, small)
     known = classes.join(linked, "node", "left").select(F.coalesce("root", "node").alias("root"), "least")
     i, h, times, mark = (f"_{x}_{uuid.uuid4().hex}" for x in ("id", "hash", "times", "mark"))  # names that no column of docs has
@@ -391,7 +392,9 @@ def keep_one(docs: DataFrame, threshold: float = SIMILARITY, words: int = WORDS,
     kept = seen.where(~F.col(mark)).drop(mark).unionByName(perhaps.join(changed, same, "left_anti"))
     if changed.where(times).isEmpty():
         return kept
-    return kept.unionByName(perhaps.join(changed.where(times), same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    repeated = perhaps.join(changed.where(times), same, "left_semi").groupBy("doc_id", "text").agg(F.min_by(whole, F.struct(F.xxhash64(F.to_json(whole)), F.to_json(whole))).alias(mark))
+    return kept.unionByName(repeated.select(f"{mark}.*"))
 
 
 def op6_query(spark: SparkSession, sf_dir: str) -> DataFrame:
