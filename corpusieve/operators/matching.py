@@ -1,12 +1,13 @@
 """Keyword, wildcard, regex, boolean, fuzzy and semantic matching of documents.
 
-All patterns of a pack are folded into one projection of literal expressions, so documents are read
-once and nothing is shuffled until hits, which are small, are deduplicated or capped by document.
+All patterns of a pack are folded into one projection, so documents are read once and nothing is
+shuffled until hits, which are small, are deduplicated or capped by document. A few literals are searched
+for one by one; a larger pack of them is looked up word by word (``pack``), at hardly more cost.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from corpusieve.functions.arrays import once
 from corpusieve.functions.text import chunks, located, matches, sentences, snippet, word_tokens
 from corpusieve.functions.vectors import cosine, norm
+from corpusieve.operators import pack
 from corpusieve.operators.pairs import met
 from corpusieve.plans import boolean
 from corpusieve.plans.patterns import Pattern
@@ -24,6 +26,8 @@ SOFT_CAP = 200
 FUZZY_LEAST, FUZZY_KEYWORDS, FUZZY_SNIPPET = 0.92, 200, 350
 _NONE = "array<struct<method:string,pattern:string,pattern_order:int,hit:int,start:int,score:double,snippet:string>>"
 _WILD_WORDS = r"(?U)\b[\w\-']+\b"
+#: Literals and globs that are searched for one by one at most.
+ONE_BY_ONE = 12
 
 
 def _hits_of(pattern: Pattern, text: Column, with_snippet: bool) -> Column:
@@ -31,40 +35,94 @@ def _hits_of(pattern: Pattern, text: Column, with_snippet: bool) -> Column:
     found = located(text, _WILD_WORDS if pattern.method == "wildcard" else pattern.java)
     if pattern.method == "wildcard":
         found = F.filter(found, lambda x: F.lower(x["match"]).rlike(pattern.java))
-    sized = F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.length(x["match"]).alias("size")))
-    show = (lambda x: snippet(text, x["start"], x["size"])) if with_snippet else (lambda x: F.lit(None).cast("string"))
+    return _shown(pattern, F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.length(x["match"]).alias("size"))), text, with_snippet)
+
+
+def _snippet(text: Column, with_snippet: bool) -> Callable[[Column], Column]:
+    return (lambda x: snippet(text, x["start"], x["size"])) if with_snippet else (lambda x: F.lit(None).cast("string"))
+
+
+def _shown(pattern: Pattern, sized: Column, text: Column, with_snippet: bool) -> Column:
+    show = _snippet(text, with_snippet)
     return F.transform(
         sized,
         lambda x, i: F.struct(F.lit(pattern.method).alias("method"), F.lit(pattern.source).alias("pattern"), F.lit(pattern.order).alias("pattern_order"), i.alias("hit"), x["start"].alias("start"), F.lit(1.0).alias("score"), show(x).alias("snippet")),
     )
 
 
+def _together(patterns: list[Pattern]) -> tuple[list[Pattern], list[Pattern], list[Pattern]]:
+    """Literals and globs that are looked up together, and patterns that are searched for one by one."""
+    kinds = [[p for p in patterns if p.method == m] for m in ("keyword", "wildcard")]
+    literals, globs = (own if len(own) > ONE_BY_ONE else [] for own in kinds)
+    taken = {*literals, *globs}
+    return literals, globs, [p for p in patterns if p not in taken]
+
+
+def _glob_hits(globs: list[Pattern], text: Column) -> Column:
+    """For each glob, in order, its hits: words are cut once, and those that no glob takes dropped by one
+    test."""
+    any_of = pack.may_be_glob(globs)
+    words = F.filter(F.transform(located(text, _WILD_WORDS), lambda x: F.struct(F.lower(x["match"]).alias("w"), x["start"].alias("start"), F.length(x["match"]).alias("size"))), lambda x: x["w"].rlike(any_of))
+    return once(words, lambda own: F.array(*[F.filter(own, _taken_by(g)) for g in globs]))
+
+
+def _taken_by(glob: Pattern) -> Callable[[Column], Column]:
+    return lambda x: x["w"].rlike(glob.java)
+
+
+#: Columns that a pass over texts leaves beside those of the documents.
+_LITERALS, _GLOBS = "_pack_literals", "_pack_globs"
+
+
 def hits(docs: DataFrame, patterns: list[Pattern], with_snippet: bool = True) -> DataFrame:
     """doc_id, method, pattern, pattern_order, hit, start, score and snippet of every hit.
 
     Offsets and snippets are worked out only for texts that a pattern is in.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    arrays = []
-    for p in patterns:
+    if not patterns:
+        raise ValueError("the pack has no usable pattern")
+    text, show = F.coalesce(F.col("text"), F.lit("")), _snippet(F.coalesce(F.col("text"), F.lit("")), with_snippet)
+    literals, globs, rest = _together(patterns)
+    own, arrays = docs, []
+    if literals:
+        own = own.withColumn(_LITERALS, pack.literal_hits(text, literals))
+        zipped = F.arrays_zip(*[F.col(f"{_LITERALS}.{c}").alias(c) for c in ("o", "pattern", "hit", "start", "size")])
+        arrays.append(F.transform(zipped, lambda x: F.struct(F.lit("keyword").alias("method"), x["pattern"], x["o"].alias("pattern_order"), x["hit"], x["start"], F.lit(1.0).alias("score"), show(x).alias("snippet"))))
+    if globs:
+        own = own.withColumn(_GLOBS, _glob_hits(globs, text))
+        arrays += [_shown(p, F.get(F.col(_GLOBS), k), text, with_snippet) for k, p in enumerate(globs)]
+    for p in rest:
         found = _hits_of(p, text, with_snippet)
         arrays.append(found if p.method == "wildcard" else F.when(text.rlike(p.java), found).otherwise(F.array().cast(_NONE)))
-    if not arrays:
-        raise ValueError("the pack has no usable pattern")
-    return docs.select("doc_id", F.inline(F.concat(*arrays)))
+    return own.select("doc_id", F.inline(F.concat(*[a.cast(_NONE) for a in arrays])))
 
 
 def hit_counts(docs: DataFrame, patterns: list[Pattern]) -> DataFrame:
     """doc_id, pattern and n_hits where there are any: no offsets, so one scan and no shuffle."""
     text = F.coalesce(F.col("text"), F.lit(""))
+    literals, globs, rest = _together(patterns)
+    own, kind, arrays = docs, "array<struct<pattern:string,n_hits:long>>", []
+    if literals:
+        own = own.withColumn(_LITERALS, pack.literal_counts(text, literals))
+        arrays.append(F.arrays_zip(*[F.col(f"{_LITERALS}.{c}").alias(c) for c in ("pattern", "n_hits")]))
 
     def count(p: Pattern) -> Column:
         if p.method == "wildcard":
-            return F.size(F.filter(matches(F.lower(text), _WILD_WORDS), lambda w: w.rlike(p.java)))
+            return F.size(F.filter(words, _matches(p)))
         return F.regexp_count(text, F.lit(p.java))
 
-    rows = F.array(*[F.struct(F.lit(p.source).alias("pattern"), count(p).cast("long").alias("n_hits")) for p in patterns])
-    return docs.select("doc_id", F.inline(F.filter(rows, lambda r: r["n_hits"] > 0)))
+    words = matches(F.lower(text), _WILD_WORDS)
+    if globs:
+        own = own.withColumn(_GLOBS, F.filter(words, lambda w: w.rlike(pack.may_be_glob(globs))))
+        words, rest = F.col(_GLOBS), [*globs, *rest]
+    if rest:
+        rows = F.array(*[F.struct(F.lit(p.source).alias("pattern"), count(p).cast("long").alias("n_hits")) for p in rest])
+        arrays.append(F.filter(rows, lambda r: r["n_hits"] > 0))
+    return own.select("doc_id", F.inline(F.concat(*[a.cast(kind) for a in arrays])))
+
+
+def _matches(glob: Pattern) -> Callable[[Column], Column]:
+    return lambda w: w.rlike(glob.java)
 
 
 def capped(found: DataFrame) -> DataFrame:
@@ -177,8 +235,9 @@ def fuzzy_hits(docs: DataFrame, keywords: list[str], least: float = FUZZY_LEAST)
     are dropped before Python; most documents have none left and never get there.
     """
     wanted = fuzzy_keywords(keywords)
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, pattern string, score double, snippet string"
     if not wanted:
-        return docs.sparkSession.createDataFrame([], "doc_id long, pattern string, score double, snippet string")
+        return docs.sparkSession.createDataFrame([], schema)
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lowered = [(k.lower(), set(k.lower().split())) for k in wanted]
@@ -199,7 +258,7 @@ def fuzzy_hits(docs: DataFrame, keywords: list[str], least: float = FUZZY_LEAST)
             yield pd.DataFrame(rows, columns=["doc_id", "pattern", "score", "snippet"])
 
     own = docs.select("doc_id", once(F.transform(sentences(F.coalesce("text", F.lit(""))), _with_words), lambda every: F.array(*[_like(every, k, least) for k in wanted])).alias("found"))
-    return own.where(F.exists("found", lambda x: F.size(x) > 0)).mapInPandas(task, "doc_id long, pattern string, score double, snippet string")
+    return own.where(F.exists("found", lambda x: F.size(x) > 0)).mapInPandas(task, schema)
 
 
 def fuzzy_subset_hits(docs: DataFrame, keywords: list[str]) -> DataFrame:

@@ -54,6 +54,35 @@ _SNIPPETS = f"""
 """
 
 
+def large_pack(spark, d) -> list[str]:
+    """Words of three letters and more and pairs of words in the passages of `benchmark`, which is a small
+    table: some thousand keywords."""
+    passages = table(spark, d, "benchmark").select(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0)).alias("w"))
+    pairs = F.transform(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), lambda w, i: F.when(w != F.get("w", i + 1), F.concat_ws(" ", w, F.get("w", i + 1))))
+    return sorted({r[0] for r in passages.select(F.explode(F.concat("w", pairs))).where("col is not null").distinct().collect()})
+
+
+def pack_hits(spark, d):
+    """How often a document has each keyword of a large pack."""
+    return matching.hit_counts(docs(spark, d), compile_pack(large_pack(spark, d)))
+
+
+PACK_SQL = r"""
+WITH p AS (SELECT regexp_extract_all(lower(text), '[a-z]{3,}') AS w FROM benchmark),
+pack AS (
+  SELECT unnest(w) AS pattern FROM p
+  UNION SELECT a || ' ' || b FROM (SELECT unnest(w[1:len(w)-1]) AS a, unnest(w[2:len(w)]) AS b FROM p) WHERE a <> b),
+t AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w, string_split_regex(text, '[\p{L}\p{N}_]+') AS g FROM documents),
+u AS (SELECT doc_id, unnest(w) AS a, unnest(w[2:len(w)+1]) AS b, unnest(g[2:len(w)+1]) AS gap FROM t WHERE len(w) > 0),
+f AS (
+  SELECT doc_id, a AS pattern FROM u
+  UNION ALL SELECT doc_id, a || ' ' || b FROM u WHERE b IS NOT NULL AND regexp_full_match(gap, '[ 	
+]+'))
+SELECT doc_id, pattern, count(*) AS n_hits FROM f JOIN pack USING (pattern) GROUP BY doc_id, pattern
+"""
+
+
 def keyword_snippets(spark, d):
     return matching.hits(docs(spark, d), compile_pack(["license"])).select("doc_id", "pattern", F.col("start").cast("long").alias("start"), "snippet")
 
@@ -519,6 +548,7 @@ QUERIES = {
     "entities_sorted": entities_sorted,
     "docs_in_list": docs_in_list,
     "chunk_embeddings": chunk_embeddings,
+    "pack_hits": pack_hits,
     "keyword_hits": _counts(WORDS),
     "phrase_hits": _counts(PHRASES),
     "wildcard_hits": _counts(GLOBS),
@@ -586,6 +616,7 @@ ORACLES = {
     "page_flags_sorted": f"SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, page_no) AS place FROM ({_FLAGS})",
     "entities_sorted": f"SELECT doc_id, label, display, count, row_number() OVER (PARTITION BY doc_id ORDER BY label, count DESC, display) AS place FROM ({ENTITIES_MERGED_SQL})",
     "docs_in_list": "SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)",
+    "pack_hits": PACK_SQL,
     "keyword_hits": _sql_rows({k: sql_count(k) for k in WORDS}),
     "phrase_hits": _sql_rows({k: sql_count(k) for k in PHRASES}),
     "wildcard_hits": _sql_rows({"licen*": f"len(list_filter({_GLOB_WORDS}, lambda w: regexp_full_match(w, 'licen.*')))", "th?t": f"len(list_filter({_GLOB_WORDS}, lambda w: regexp_full_match(w, 'th.t')))"}),
