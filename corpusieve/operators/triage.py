@@ -34,12 +34,20 @@ class Model:
 
 def triage(docs: DataFrame, settings: Settings, provider: Callable[[], embedding.Provider] | None = None, model: Model | None = None) -> dict[str, DataFrame]:
     """Tables by name of docs(doc_id, url, text): documents (title, sha256, metrics, gate, bucket, path),
-    matches, doc_entities and doc_page_flags. Equal texts are one document, that with the least
+    matches, doc_entities and doc_page_flags, all with the digest of the text. Equal texts are one document,
+    the least by doc_id (null ones last) and url; different texts are as many documents, also if they share a
     doc_id. Hits are kept for documents that are not flagged as well."""
     model, provider = model or Model(), embedding.available(provider)
     text = F.coalesce("text", F.lit(""))
-    least = docs.select("doc_id", F.sha2(text, 256).alias("sha256")).groupBy("sha256").agg(F.min("doc_id").alias("doc_id"))
-    own = written(docs.join(least, "doc_id"), "triage-own")  # all that follows reads it
+    row = F.struct(F.col("doc_id").isNull().alias("_none"), *[F.col(c) for c in ("doc_id", "url", "text")])
+    least = docs.groupBy(F.sha2(text, 256).alias("sha256")).agg(F.min(row).alias("_row"))
+    # the digest is what tables are joined by; ids come back at the end
+    own = written(least.select("sha256", F.col("sha256").alias("doc_id"), F.col("_row.doc_id").alias("id"), "_row.url", "_row.text"), "triage-own")  # all that follows reads it
+    ids = own.select("sha256", F.col("id").alias("doc_id"))
+
+    def named(rows: DataFrame) -> DataFrame:
+        return rows.withColumnRenamed("doc_id", "sha256").join(ids, "sha256")
+
     pack = compile_pack(list(settings.keywords), set(settings.stopwords), docs.sparkSession)
     hits = matching.capped(matching.hits(own, pack)).select("doc_id", "method", "pattern", "pattern_order", "hit", "score", "snippet") if pack else None
     if settings.query:
@@ -52,7 +60,7 @@ def triage(docs: DataFrame, settings: Settings, provider: Callable[[], embedding
         raise ValueError("nothing to look for: no usable keyword and no query")
     matches = written(matching.deduplicated(hits), "triage-matches")
 
-    base = own.select("doc_id", "url", "sha256", first_line(text).alias("title"), entities.density(text, word_count(text)).alias("entity_density"))
+    base = own.select("doc_id", "url", "sha256", "id", first_line(text).alias("title"), entities.density(text, word_count(text)).alias("entity_density"))
     features = base.join(matches.groupBy("doc_id").agg(F.count("*").alias("n_hits")), "doc_id", "left").withColumn("n_hits", F.coalesce("n_hits", F.lit(0)))
     if model.penalties is not None:
         features = features.join(model.penalties.select(F.col("host").alias("_host"), F.col("penalty").alias("url_penalty")), authority(F.col("url")) == F.col("_host"), "left").drop("_host")
@@ -72,10 +80,10 @@ def triage(docs: DataFrame, settings: Settings, provider: Callable[[], embedding
     path = scoring.flagged_path("flagged", F.col("sha256"), "txt", settings.storage_layout, F.col("title"))
     out = gated.withColumns({"has_matches": F.col("n_hits") > 0, "bucket": F.when(F.col("passes_relevance"), "flagged").otherwise("triaged"), "path": F.when(F.col("passes_relevance"), path)})
     return {
-        "documents": written(out.drop("vector", "norm", "_high", "_low"), "triage-documents"),
-        "matches": matches,
-        "doc_entities": entities.merged(entities.extract(own, settings.ner_engine)),
-        "doc_page_flags": redaction.page_flags(own),
+        "documents": written(out.drop("vector", "norm", "_high", "_low", "doc_id").withColumnRenamed("id", "doc_id"), "triage-documents"),
+        "matches": named(matches),
+        "doc_entities": named(entities.merged(entities.extract(own, settings.ner_engine))),
+        "doc_page_flags": named(redaction.page_flags(own)),
     }
 
 
