@@ -69,22 +69,25 @@ def distinct_documents(docs: DataFrame, *order: str) -> DataFrame:
 
 
 def update_storage(docs: DataFrame, moved: DataFrame) -> DataFrame:
-    """local_path and sha256 replaced where ``moved``(doc_id, ...) has a value."""
-    new = moved.select("doc_id", F.col("local_path").alias("_p"), F.col("sha256").alias("_s"))
+    """local_path and sha256 replaced where ``moved``(doc_id, ...) has a value; of several rows of a
+    document the greatest counts."""
+    new = _last_of_each(moved.select("doc_id", "local_path", "sha256"), "doc_id").select("doc_id", F.col("local_path").alias("_p"), F.col("sha256").alias("_s"))
     return docs.join(new, "doc_id", "left").withColumns({"local_path": F.coalesce("_p", "local_path"), "sha256": F.coalesce("_s", "sha256")}).drop("_p", "_s")
 
 
 def update_paths(rows: DataFrame, moved: DataFrame) -> DataFrame:
-    """local_path replaced where the digest, without case and spaces, is in moved(sha256, path)."""
-    new = moved.select(F.lower(F.trim("sha256")).alias("sha256"), F.col("path").alias("_p"))
+    """local_path replaced where the digest, without case and spaces, is in moved(sha256, path); of
+    several paths of a digest the greatest counts."""
+    new = _last_of_each(moved.select(F.lower(F.trim("sha256")).alias("sha256"), F.col("path").alias("_p")), "sha256")
     return rows.join(new, "sha256", "left").withColumn("local_path", F.coalesce("_p", "local_path")).drop("_p")
 
 
 def update_metrics(docs: DataFrame, metrics: DataFrame) -> DataFrame:
     """Documents with the metric columns of ``metrics``(doc_id, ...) in place of their own; those that
-    it has no row for keep theirs, null where they had none."""
+    it has no row for keep theirs, null where they had none. Of several rows of a document the greatest by
+    these columns, in their order, counts."""
     new = [c for c in metrics.columns if c != "doc_id"]
-    given = metrics.select("doc_id", F.struct(*new).alias("_new"))
+    given = _last_of_each(metrics, "doc_id").select("doc_id", F.struct(*new).alias("_new"))
     own = {c: F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c) if c in docs.columns else F.lit(None)) for c in new}
     return docs.join(given, "doc_id", "left").withColumns(own).drop("_new")
 

@@ -477,3 +477,13 @@ def test_missing_provider_and_centroids(spark):
     have = spark.createDataFrame([("high_value", "m", [1.0], 1), ("irrelevant", "m", [2.0], 1)], "label string, model_name string, vector array<float>, count long")
     new = spark.createDataFrame([("high_value", "m", [3.0], 2), ("irrelevant", "m", None, 0)], have.schema)
     assert {r.label: r.vector for r in feedback.upsert_centroids(have, new).collect()} == {"high_value": [3.0], "irrelevant": [2.0]}
+
+
+def test_repeated_updates_of_a_key_are_one(spark):
+    docs = spark.createDataFrame([(1, "p", "s"), (2, "q", "t")], "doc_id long, local_path string, sha256 string")
+    moved = spark.createDataFrame([(1, "a", None), (1, "b", "x"), (1, "b", "x")], "doc_id long, local_path string, sha256 string")
+    assert sorted(map(tuple, state.update_storage(docs, moved).select("doc_id", "local_path", "sha256").collect())) == [(1, "b", "x"), (2, "q", "t")]
+    paths = spark.createDataFrame([(" S", "m"), ("s", "n"), ("t", None)], "sha256 string, path string")
+    assert sorted(r.local_path for r in state.update_paths(docs, paths).collect()) == ["n", "q"]
+    metrics = spark.createDataFrame([(1, 0.5, None), (1, 0.75, 1.0), (1, 0.75, 0.5)], "doc_id long, m double, n double")
+    assert sorted((r.doc_id, r.m, r.n) for r in state.update_metrics(docs, metrics).collect()) == [(1, 0.75, 1.0), (2, None, None)]
