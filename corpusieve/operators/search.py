@@ -2,62 +2,187 @@
 
 from __future__ import annotations
 
+import math
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusieve.functions.arrays import once
 from corpusieve.functions.text import first_line, search_terms
+from corpusieve.operators.state import last_of_each
+from corpusieve.operators.versions import Versions
 from corpusieve.plans.fts import Phrase, Query, QueryError, parse
-from corpusieve.runtime import written
+from corpusieve.runtime import discard, written
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 FIELDS = ("title", "content")
 
 
+#: Dead documents that are broadcast at most; segments of like size that are merged, and how much larger a
+#: segment of the next tier is.
+FEW_DEAD, RUN, FAN = 100_000, 4, 4
+
+
 @dataclass
 class Index:
-    """``postings``(term, field, doc_id, tf, positions) and ``lengths``(doc_id, length)."""
+    """``postings``(term, field, doc_id, tf, positions) and ``lengths``(doc_id, length). One that was opened
+    also knows how many documents there are, their length together, and which rows are dead."""
 
     postings: DataFrame
     lengths: DataFrame
+    documents: int | None = None
+    length: int | None = None
+    dead: DataFrame | None = None
+    few_dead: bool = True
+
+    def live(self, rows: DataFrame) -> DataFrame:
+        """``rows`` of documents that were neither changed nor removed since."""
+        if self.dead is None:
+            return rows
+        return rows.join(F.broadcast(self.dead) if self.few_dead else self.dead, ["segment", "doc_id"], "left_anti")
 
     def write(self, root: str) -> None:
-        """Adds both below ``root`` as a segment, postings in order of their terms so that a query
-        reads few row groups. A segment whose last file is missing was never finished and is not read."""
-        at = f"{root}/segment={uuid.uuid4().hex}"
-        self.postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.parquet(f"{at}/postings")
-        self.lengths.write.parquet(f"{at}/lengths")
+        """Adds both below ``root`` as a segment."""
+        Store(self.postings.sparkSession, root).add(self.postings, self.lengths)
 
     @staticmethod
     def segments(spark: SparkSession, root: str) -> list[str]:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        fs = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        found = [x.getPath().toString() for x in fs.listStatus(path(root))] if fs.exists(path(root)) else []
-        return sorted(x for x in found if "/segment=" in x and fs.exists(path(f"{x}/lengths/_SUCCESS")))
+        """Names of the segments of the newest version."""
+        return [s["name"] for s in Store(spark, root).now["segments"]]
 
     @staticmethod
     def open(spark: SparkSession, root: str) -> Index:
-        """All whole segments as one index."""
-        found = Index.segments(spark, root)
-        if not found:
-            raise ValueError(f"there is no index below {root}")
-        return Index(spark.read.parquet(*[f"{x}/postings" for x in found]), spark.read.parquet(*[f"{x}/lengths" for x in found]))
+        return Store(spark, root).index()
 
     @staticmethod
     def append(docs: DataFrame, root: str) -> bool:
-        """Indexes those of docs(doc_id, title, content) that no segment has, as a further one; False
-        if there are none."""
-        spark = docs.sparkSession
-        if Index.segments(spark, root):
-            docs = docs.join(Index.open(spark, root).lengths.select("doc_id"), "doc_id", "left_anti")
-        if docs.isEmpty():
+        """Indexes those of docs(doc_id, title, content) that are new or changed; False if none is."""
+        return Store(docs.sparkSession, root).upsert(docs)
+
+
+class Store:
+    """An index in segments that are never rewritten, and the versions that name them.
+
+    A segment has postings in order of their terms, so that a query reads few row groups. A document that
+    changes or goes is dead in its old segment: (segment, doc_id) is noted, and queries leave it out. Merging
+    makes one segment of several of like size, without their dead. Each step makes one version, so who reads
+    sees all of it or nothing; files of a step that failed are in no version. A step that another writer
+    was ahead of raises ``Conflict`` and is to be made again.
+    """
+
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.spark, self.root, self.versions = spark, root.rstrip("/"), Versions(spark, root)
+        self.number = self.versions.newest()
+        self.now: dict = self.versions.read(self.number) if self.number else {"segments": [], "dead": []}
+
+    def _commit(self, segments: list[dict], dead: list[dict]) -> None:
+        self.versions.put(self.number + 1, {"segments": segments, "dead": dead})
+        self.number, self.now = self.number + 1, {"segments": segments, "dead": dead}
+
+    def index(self) -> Index:
+        if not self.now["segments"]:
+            raise ValueError(f"there is no index below {self.root}")
+        names, dead = [s["name"] for s in self.now["segments"]], self.now["dead"]
+        total = lambda k: sum(s[k] for s in self.now["segments"]) - sum(d[k] for d in dead)
+        own = self._dead() if dead else None
+        out = Index(*(self.spark.read.parquet(*[f"{self.root}/{n}/{part}" for n in names]) for part in ("postings", "lengths")), total("documents"), total("length"), own, sum(d["documents"] for d in dead) <= FEW_DEAD)
+        out.lengths = out.live(out.lengths)
+        return out
+
+    def _dead(self) -> DataFrame:
+        return self.spark.read.parquet(*[f"{self.root}/{d['name']}" for d in self.now["dead"]]).select("segment", "doc_id")
+
+    def _segment(self, postings: DataFrame, lengths: DataFrame) -> dict:
+        """Writes a segment that no version names yet; its entry."""
+        name = f"segment={uuid.uuid4().hex}"
+        at, own = f"{self.root}/{name}", F.lit(name).alias("segment")
+        digest = [] if "digest" in lengths.columns else [F.lit(None).cast("string").alias("digest")]
+        lengths.select("doc_id", "length", *(["digest"] if not digest else digest), own).write.parquet(f"{at}/lengths")
+        postings.select("term", "field", "doc_id", "tf", "positions", own).repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.parquet(f"{at}/postings")
+        return {"name": name, **self._sums(f"{at}/lengths")}
+
+    def _sums(self, path: str) -> dict:
+        row = self.spark.read.parquet(path).agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+        return {"documents": row[0], "length": row[1]}
+
+    def _bury(self, rows: DataFrame) -> dict | None:
+        """Notes rows(segment, doc_id, length) as dead; the entry of that, None if there are none."""
+        name = f"dead={uuid.uuid4().hex}"
+        rows.select("segment", "doc_id", "length").write.parquet(f"{self.root}/{name}")
+        sums = self._sums(f"{self.root}/{name}")
+        if not sums["documents"]:
+            self.versions.delete(name)
+            return None
+        return {"name": name, **sums}
+
+    def add(self, postings: DataFrame, lengths: DataFrame) -> None:
+        """A segment of documents that no other has."""
+        self._commit([*self.now["segments"], self._segment(postings, lengths)], self.now["dead"])
+
+    def upsert(self, docs: DataFrame) -> bool:
+        """Indexes docs(doc_id, title, content), in place of what documents of these ids had before; those
+        that did not change are left as they are. False if nothing is new. Rows without doc_id are left out; of
+        rows that share one the greatest by title and content counts. Texts are cut into words once."""
+        own = last_of_each(docs.where("doc_id is not null").select("doc_id", "title", "content"), "doc_id")
+        digest = F.sha2(F.concat_ws("\x1f", *[F.coalesce(f, F.lit("")) for f in FIELDS]), 256)
+        own = own.withColumn("digest", digest)
+        if self.now["segments"]:
+            before = self.index().lengths
+            own = own.join(before.select("doc_id", "digest"), ["doc_id", "digest"], "left_anti")
+        terms = written(_terms(own, "digest"), "search-terms")
+        lengths = _lengths(terms, "digest")
+        if lengths.isEmpty():
+            discard(terms)
             return False
-        build_index(docs).write(root)
+        gone = self._bury(before.join(lengths.select("doc_id"), "doc_id", "left_semi")) if self.now["segments"] else None
+        entry = self._segment(_postings(terms), lengths)
+        discard(terms)
+        self._commit([*self.now["segments"], entry], [*self.now["dead"], *([gone] if gone else [])])
         return True
 
+    def remove(self, gone: DataFrame) -> int:
+        """Takes the documents in gone(doc_id) out; returns how many there were."""
+        entry = self._bury(self.index().lengths.join(gone.select("doc_id"), "doc_id", "left_semi"))
+        if entry:
+            self._commit(self.now["segments"], [*self.now["dead"], entry])
+        return entry["documents"] if entry else 0
+
+    def plan(self) -> list[list[dict]]:
+        """Segments to merge: all of a tier that has RUN of them."""
+        tiers: dict[int, list[dict]] = {}
+        for s in self.now["segments"]:
+            tiers.setdefault(math.ceil(math.log(max(s["documents"], 1), FAN)), []).append(s)
+        return [tiers[t] for t in sorted(tiers) if len(tiers[t]) >= RUN]
+
+    def merge(self, everything: bool = False) -> int:
+        """Merges tiers that have enough segments (``everything``: all segments, so that no dead are left);
+        returns how many segments there are. Postings are read, not texts."""
+        while runs := ([self.now["segments"]] if everything and (len(self.now["segments"]) > 1 or self.now["dead"]) else [] if everything else self.plan()):
+            names = [s["name"] for s in runs[0]]
+            whole = self.index()
+            of = lambda part: whole.live(self.spark.read.parquet(*[f"{self.root}/{n}/{part}" for n in names]))
+            entry = self._segment(of("postings").drop("segment"), of("lengths").drop("segment"))
+            rest = None
+            if self.now["dead"]:
+                dead = self.spark.read.parquet(*[f"{self.root}/{d['name']}" for d in self.now["dead"]])
+                rest = self._bury(dead.where(~F.col("segment").isin(names)))
+            self._commit([*(s for s in self.now["segments"] if s["name"] not in names), entry], [rest] if rest else [])
+        return len(self.now["segments"])
+
+    def vacuum(self) -> int:
+        """Deletes the folders that the newest version does not name; returns how many. No one may write or
+        read an older version meanwhile."""
+        named = {x["name"] for x in (*self.now["segments"], *self.now["dead"])}
+        gone = [n for n in (*self.versions.folders("segment="), *self.versions.folders("dead=")) if n not in named]
+        for name in gone:
+            self.versions.delete(name)
+        return len(gone)
+
 
 def with_title(docs: DataFrame) -> DataFrame:
     """doc_id, title (the first line) and content of documents."""
@@ -65,13 +190,45 @@ def with_title(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", first_line(text).alias("title"), text.alias("content"))
 
 
+def _terms(docs: DataFrame, *more: str) -> DataFrame:
+    return docs.select("doc_id", *more, *[search_terms(F.coalesce(f, F.lit(""))).alias(f) for f in FIELDS])
+
+
+def _lengths(terms: DataFrame, *more: str) -> DataFrame:
+    return terms.select("doc_id", (F.size("title") + F.size("content")).cast("long").alias("length"), *more)
+
+
+def _postings(terms: DataFrame) -> DataFrame:
+    """A row for each term of a field of a document. All words of a text are in one row, so they are grouped
+    there, batch by batch; nothing is shuffled."""
+    kind = terms.schema["doc_id"].dataType
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for field in FIELDS:
+                lists = batch.column(field)
+                sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                flat = lists.flatten()
+                if not len(flat):
+                    continue
+                words = flat.dictionary_encode()
+                code, row = words.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(sizes)), sizes)
+                position = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                order = np.lexsort((code, row))  # stable, so places stay in order
+                code, row, position = code[order], row[order], position[order]
+                begin = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (row[1:] != row[:-1])))
+                cuts = np.append(begin, len(row))
+                places = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(position.astype(np.int32)))
+                out = [words.dictionary.take(pa.array(code[begin])), pa.array([field] * len(begin)), batch.column("doc_id").take(pa.array(row[begin])), pa.array(np.diff(cuts)), places]
+                yield pa.RecordBatch.from_arrays(out, ["term", "field", "doc_id", "tf", "positions"])
+
+    return terms.select("doc_id", *FIELDS).mapInArrow(task, f"term string, field string, doc_id {kind.simpleString()}, tf long, positions array<int>")
+
+
 def build_index(docs: DataFrame) -> Index:
-    """Postings and lengths of docs(doc_id, title, content)."""
-    terms = docs.select("doc_id", *[search_terms(F.coalesce(f, F.lit(""))).alias(f) for f in FIELDS])
-    every = [terms.select("doc_id", F.lit(f).alias("field"), F.posexplode(f).alias("position", "term")) for f in FIELDS]
-    rows = every[0].unionByName(every[1])
-    postings = rows.groupBy("term", "field", "doc_id").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
-    return Index(postings, terms.select("doc_id", (F.size("title") + F.size("content")).cast("long").alias("length")))
+    """Postings and lengths of docs(doc_id, title, content), a row for each doc_id."""
+    terms = _terms(docs)
+    return Index(_postings(terms), _lengths(terms))
 
 
 def _wanted(p: Phrase, word: str, last: bool) -> Column:
@@ -111,7 +268,7 @@ def _from_index(index: Index, phrases: list[Phrase]) -> DataFrame:
             wanted = wanted | _wanted(p, word, k == len(p.words) - 1)
     places = F.transform("positions", lambda x: F.struct(F.col("field").alias("field"), x.alias("position")))
     gathered = [F.flatten(F.collect_list(F.when(_wanted(phrases[i], phrases[i].words[k], k == len(phrases[i].words) - 1), places))).alias(name) for (i, k), name in names.items()]
-    docs = index.postings.where(wanted).groupBy("doc_id").agg(F.count("*").alias("_n"), *gathered)
+    docs = index.live(index.postings.where(wanted)).groupBy("doc_id").agg(F.count("*").alias("_n"), *gathered)
     starts = [(_starts([names[i, k] for k in range(len(p.words))]) if p.words else F.array().cast(_PLACES)).alias(f"p{i}") for i, p in enumerate(phrases)]
     return docs.select("doc_id", *starts).join(index.lengths, "doc_id")
 
@@ -179,8 +336,13 @@ def search(source: Index | DataFrame, query: str, limit: int = 250) -> DataFrame
 
     scored = list(dict.fromkeys(tree.leaves()))
     frequencies = docs.agg(*[F.sum((F.size(f"p{number[p]}") > 0).cast("long")).alias(f"d{number[p]}") for p in scored])
-    corpus = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"))
-    own = docs.where(holds(tree)).join(F.broadcast(corpus), F.lit(True), "inner").join(F.broadcast(frequencies), F.lit(True), "inner")  # one row each
+    if isinstance(source, Index) and source.documents is not None:
+        known = {"n": F.lit(source.documents), "mean_length": F.lit(source.length / max(source.documents, 1))}
+        whole = docs.where(holds(tree)).withColumns(known)
+    else:
+        corpus = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"))
+        whole = docs.where(holds(tree)).join(F.broadcast(corpus), F.lit(True), "inner")  # one row
+    own = whole.join(F.broadcast(frequencies), F.lit(True), "inner")  # one row
     score = F.lit(0.0)
     for p in scored:
         tf, d = F.size(f"p{number[p]}"), F.col(f"d{number[p]}")

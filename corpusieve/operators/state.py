@@ -71,14 +71,14 @@ def distinct_documents(docs: DataFrame, *order: str) -> DataFrame:
 def update_storage(docs: DataFrame, moved: DataFrame) -> DataFrame:
     """local_path and sha256 replaced where ``moved``(doc_id, ...) has a value; of several rows of a
     document the greatest counts."""
-    new = _last_of_each(moved.select("doc_id", "local_path", "sha256"), "doc_id").select("doc_id", F.col("local_path").alias("_p"), F.col("sha256").alias("_s"))
+    new = last_of_each(moved.select("doc_id", "local_path", "sha256"), "doc_id").select("doc_id", F.col("local_path").alias("_p"), F.col("sha256").alias("_s"))
     return docs.join(new, "doc_id", "left").withColumns({"local_path": F.coalesce("_p", "local_path"), "sha256": F.coalesce("_s", "sha256")}).drop("_p", "_s")
 
 
 def update_paths(rows: DataFrame, moved: DataFrame) -> DataFrame:
     """local_path replaced where the digest, without case and spaces, is in moved(sha256, path); of
     several paths of a digest the greatest counts."""
-    new = _last_of_each(moved.select(F.lower(F.trim("sha256")).alias("sha256"), F.col("path").alias("_p")), "sha256")
+    new = last_of_each(moved.select(F.lower(F.trim("sha256")).alias("sha256"), F.col("path").alias("_p")), "sha256")
     return rows.join(new, "sha256", "left").withColumn("local_path", F.coalesce("_p", "local_path")).drop("_p")
 
 
@@ -87,12 +87,12 @@ def update_metrics(docs: DataFrame, metrics: DataFrame) -> DataFrame:
     it has no row for keep theirs, null where they had none. Of several rows of a document the greatest by
     these columns, in their order, counts."""
     new = [c for c in metrics.columns if c != "doc_id"]
-    given = _last_of_each(metrics, "doc_id").select("doc_id", F.struct(*new).alias("_new"))
+    given = last_of_each(metrics, "doc_id").select("doc_id", F.struct(*new).alias("_new"))
     own = {c: F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c) if c in docs.columns else F.lit(None)) for c in new}
     return docs.join(given, "doc_id", "left").withColumns(own).drop("_new")
 
 
-def _last_of_each(rows: DataFrame, *key: str) -> DataFrame:
+def last_of_each(rows: DataFrame, *key: str) -> DataFrame:
     """One row for each key: the greatest by its other columns, in the order in which they stand."""
     others = [c for c in rows.columns if c not in key]
     return rows.groupBy(*key).agg(F.max(F.struct(*others)).alias("_last")).select(*[c if c in key else F.col(f"_last.{c}").alias(c) for c in rows.columns]) if others else rows.distinct()
@@ -101,7 +101,7 @@ def _last_of_each(rows: DataFrame, *key: str) -> DataFrame:
 def upsert(table: DataFrame, incoming: DataFrame, *key: str) -> DataFrame:
     """Rows of both; incoming ones replace those with their key. Of several incoming rows of a key
     one stays, the greatest by its other columns in their order."""
-    new = _last_of_each(incoming, *key)
+    new = last_of_each(incoming, *key)
     same = [table[k].eqNullSafe(new[k]) for k in key]
     return table.join(new.select(*key), same, "left_anti").unionByName(new, allowMissingColumns=True)
 

@@ -78,7 +78,8 @@ u AS (SELECT doc_id, unnest(w) AS a, unnest(w[2:len(w)+1]) AS b, unnest(g[2:len(
 f AS (
   SELECT doc_id, a AS pattern FROM u
   UNION ALL SELECT doc_id, a || ' ' || b FROM u WHERE b IS NOT NULL AND regexp_full_match(gap, '[ 	
-]+'))
+
+]+'))
 SELECT doc_id, pattern, count(*) AS n_hits FROM f JOIN pack USING (pattern) GROUP BY doc_id, pattern
 """
 
@@ -160,11 +161,11 @@ def bm25_search(spark, d):
 _FOLDED = rf"""translate(lower(text), '{T.MARKED}', '{T.PLAIN}')"""
 
 
-def sql_bm25(first: str, second: str) -> str:
+def sql_bm25(first: str, second: str, source: str = "documents") -> str:
     """doc_id and bm25 of documents with either word, in title (the first line) or text."""
     return rf"""
   WITH t AS (
-    SELECT doc_id, list_concat(regexp_extract_all(string_split({_FOLDED}, chr(10))[1], '[\p{{L}}\p{{N}}]+'), regexp_extract_all({_FOLDED}, '[\p{{L}}\p{{N}}]+')) AS toks FROM documents
+    SELECT doc_id, list_concat(regexp_extract_all(string_split({_FOLDED}, chr(10))[1], '[\p{{L}}\p{{N}}]+'), regexp_extract_all({_FOLDED}, '[\p{{L}}\p{{N}}]+')) AS toks FROM {source}
   ), f AS (
     SELECT doc_id, len(toks) AS dl, len(list_filter(toks, lambda x: x = '{first}')) AS f1, len(list_filter(toks, lambda x: x = '{second}')) AS f2 FROM t
   ), c AS (SELECT count(*) AS n, avg(dl) AS al, sum((f1 > 0)::INT) AS d1, sum((f2 > 0)::INT) AS d2 FROM f)
@@ -245,6 +246,20 @@ def indexed_search(spark, d):
     return found.select("doc_id", F.round("bm25", 6).alias("bm25"), rank.alias("rank"))
 
 
+def index_upkeep(spark, d):
+    """The search by an index that grew, whose documents changed and went, and that was merged."""
+    own = search.with_title(docs(spark, d))
+    store = search.Store(spark, scratch(spark, "search-store"))
+    store.upsert(own.where("doc_id % 2 = 0").withColumn("content", F.concat("content", F.lit(" copyright license"))))
+    store.upsert(own)  # all of these changed
+    store.remove(own.where("doc_id % 7 = 3"))
+    store.upsert(own.where("doc_id % 14 = 3"))
+    store.merge(everything=True)
+    found = search.find(own, SEARCH, 50, index=store.index())
+    rank = F.row_number().over(Window.orderBy("bm25", "doc_id")).cast("long")
+    return found.select("doc_id", F.round("bm25", 6).alias("bm25"), rank.alias("rank"))
+
+
 def like_search(spark, d):
     return search.like_search(search.with_title(docs(spark, d)), "Licens_", 250)
 
@@ -536,6 +551,7 @@ def chunk_embeddings(spark, d):
 QUERIES = {
     **{name: _fts(query) for name, query in FTS.items()},
     "indexed_search": indexed_search,
+    "index_upkeep": index_upkeep,
     "highlight_spans": highlight_spans,
     "entity_wide": entity_wide,
     "entities_fallback": entities_fallback,
@@ -601,6 +617,7 @@ def _sql_spans(word: str) -> str:
 ORACLES = {
     **_fts_sql(),
     "indexed_search": f"SELECT doc_id, round(bm25, 6) AS bm25, rank FROM ({_TOP})",
+    "index_upkeep": f"SELECT doc_id, round(bm25, 6) AS bm25, row_number() OVER (ORDER BY bm25, doc_id) AS rank FROM ({sql_bm25('license', 'copyright', "(SELECT * FROM documents WHERE doc_id % 7 <> 3 OR doc_id % 14 = 3)")}) ORDER BY bm25, doc_id LIMIT 50",
     "highlight_spans": " UNION ALL ".join(_sql_spans(w) for w in ("license", "copyright")),
     "highlight_preview": rf"""SELECT doc_id, regexp_replace({_ESCAPED}, '(?i)\b(license|copyright)\b', '<mark>\1</mark>', 'g') AS html FROM documents
         WHERE {sql_count("license", "substring(text, 1, 15000)")} + {sql_count("copyright", "substring(text, 1, 15000)")} > 0""",

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusieve.functions import urls
-from corpusieve.operators import entities, feedback, highlight, learning, redaction, scoring, search, state
+from corpusieve.operators import entities, feedback, highlight, learning, redaction, scoring, search, state, versions
 from corpusieve.plans import fts
 from corpusieve.plans.patterns import compile_pack
 from corpusieve.settings import Settings
@@ -407,7 +407,7 @@ def test_index_grows_by_segments(spark, tmp_path):
     assert search.Index.append(first, root) and search.Index.append(more, root) and not search.Index.append(more, root)
     whole, texts = search.search(search.Index.open(spark, root), "b"), search.search(more, "b")
     assert [tuple(r) for r in whole.collect()] == [tuple(r) for r in texts.collect()] != []
-    first.limit(0).write.parquet(f"{root}/segment=lost/postings")
+    first.limit(0).write.parquet(f"{root}/segment=lost/postings")  # no version names it
     assert len(search.Index.segments(spark, root)) == 2
 
 
@@ -487,3 +487,58 @@ def test_repeated_updates_of_a_key_are_one(spark):
     assert sorted(r.local_path for r in state.update_paths(docs, paths).collect()) == ["n", "q"]
     metrics = spark.createDataFrame([(1, 0.5, None), (1, 0.75, 1.0), (1, 0.75, 0.5)], "doc_id long, m double, n double")
     assert sorted((r.doc_id, r.m, r.n) for r in state.update_metrics(docs, metrics).collect()) == [(1, 0.75, 1.0), (2, None, None)]
+
+
+def test_index_follows_its_documents(spark, tmp_path):
+    """After each step scores are those of an index that was built anew."""
+    schema = "doc_id long, title string, content string, segment int"
+    made = lambda rows: spark.createDataFrame([(*r, 1) for r in rows], schema)
+    store, state_of = search.Store(spark, f"file://{tmp_path}/i"), {}
+    words = ["hello", "world", "café", "log", "x"]
+    first = [(i, words[i % 5], " ".join(words[(i * k) % 5] for k in range(i % 7))) for i in range(30)]
+
+    def same():
+        fresh = search.build_index(made([(i, *t) for i, t in sorted(state_of.items())]))
+        opened = search.Index.open(spark, store.root)
+        assert (opened.documents, opened.lengths.count()) == (len(state_of), len(state_of))
+        for query in ("hello", "log OR cafe", '"hello world"', "hello NOT x", "title:world"):
+            a, b = ([(r.doc_id, pytest.approx(r.bm25)) for r in search.search(i, query).collect()] for i in (opened, fresh))
+            assert a == b
+        return opened
+
+    with pytest.raises(ValueError, match="no index"):
+        store.index()
+    assert store.upsert(made([*first, (None, "no", "id"), (3, "a", "aa")]))  # of the two rows of 3 the greater one counts
+    state_of.update({i: (t, c) for i, t, c in first})
+    state_of[3] = max(state_of[3], ("a", "aa"))
+    same()
+    assert not store.upsert(made(first[4:9])) and len(store.now["segments"]) == 1
+    for k in range(4):  # each changes some and adds one
+        rows = [(i, "hello", f"changed {k} log") for i in range(k, 30, 6)] + [(100 + k, None, "hello world")]
+        assert store.upsert(made(rows))
+        state_of.update({i: (t, c) for i, t, c in rows})
+    same()
+    assert store.remove(made([(5, "", ""), (100, "", ""), (999, "", "")])) == 2 and store.remove(made([(5, "", "")])) == 0
+    state_of.pop(5), state_of.pop(100)
+    same()
+    assert store.upsert(made([(5, "back", "hello")])) and not store.upsert(made([(5, "back", "hello")]))
+    state_of[5] = ("back", "hello")
+    before = len(store.now["segments"])
+    assert store.merge() < before
+    same()
+    assert store.merge(everything=True) == 1 and store.now["dead"] == []
+    assert store.vacuum() > 0 and store.vacuum() == 0
+    opened = same()
+    assert opened.dead is None and opened.postings.select("doc_id").distinct().count() <= len(state_of)
+
+
+def test_index_writers_at_once(spark, tmp_path):
+    made = lambda i: spark.createDataFrame([(i, "hello", "world")], "doc_id long, title string, content string")
+    root = f"file://{tmp_path}/i"
+    one, two = search.Store(spark, root), search.Store(spark, root)
+    assert one.upsert(made(1))
+    with pytest.raises(versions.Conflict):
+        two.upsert(made(2))
+    again = search.Store(spark, root)
+    assert again.upsert(made(2)) and again.vacuum() == 1 and again.index().documents == 2
+    assert [r.doc_id for r in search.search(again.index(), "hello").collect()] == [1, 2]
