@@ -17,15 +17,24 @@ def host_penalties(log: DataFrame) -> DataFrame:
     return folded(own, "host", ["ts", "seq"], "step", "penalty", 0.0, 0.60, 0.0)
 
 
-def phrase_blacklist(log: DataFrame, found: DataFrame, kept: int = BLACKLIST_KEPT) -> DataFrame:
-    """pattern and rank (1: newest): patterns that alone matched a document found irrelevant; of
-    each its first time counts, and the newest ``kept`` stay."""
+def phrase_times(log: DataFrame, found: DataFrame) -> DataFrame:
+    """pattern and at (ts, seq): when a document that it alone matched was first found irrelevant."""
     single = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("pattern").alias("pattern")).where("n = 1")
-    times = log.where("label = 'irrelevant'").join(single, "doc_id").groupBy("pattern").agg(F.min(F.struct("ts", "seq")).alias("at"))
+    return log.where("label = 'irrelevant'").join(single, "doc_id").groupBy("pattern").agg(F.min(F.struct("ts", "seq")).alias("at"))
+
+
+def newest_phrases(times: DataFrame, kept: int = BLACKLIST_KEPT) -> DataFrame:
+    """pattern and rank (1: newest) of the newest ``kept``."""
     newest = times.orderBy(F.desc("at"), "pattern").limit(kept)
     return newest.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("at"), "pattern"))).select("pattern", "rank")
 
 
+def phrase_blacklist(log: DataFrame, found: DataFrame, kept: int = BLACKLIST_KEPT) -> DataFrame:
+    """pattern and rank (1: newest): patterns that alone matched a document found irrelevant; of
+    each its first time counts, and the newest ``kept`` stay."""
+    return newest_phrases(phrase_times(log, found), kept)
+
+
 def keyword_blacklist(keywords: DataFrame, blacklist: DataFrame) -> DataFrame:
     return keywords.join(blacklist.select(F.trim("keyword").alias("_k")), F.trim(keywords["keyword"]) == F.col("_k"), "left_anti")
 

@@ -41,7 +41,7 @@ def review_log(spark, d) -> DataFrame:
     return table(spark, d, "events").select(F.col("user_id").alias("doc_id"), _mapped("event_type", _LABEL, "ignored").alias("label"), F.concat(F.lit("host"), (F.col("user_id") % 50).cast("string")).alias("host"), "ts", F.col("event_id").alias("seq"))
 
 
-_REVIEWS = f"SELECT user_id AS doc_id, {_sql_mapped('event_type', _LABEL, 'ignored')} AS label, 'host' || (user_id % 50) AS host, ts, event_id AS seq FROM events"
+REVIEWS_SQL = f"SELECT user_id AS doc_id, {_sql_mapped('event_type', _LABEL, 'ignored')} AS label, 'host' || (user_id % 50) AS host, ts, event_id AS seq FROM events"
 
 
 def url_latest_state(spark, d):
@@ -226,11 +226,11 @@ ORACLES = {
         CASE WHEN part > 0 THEN 'bytes=' || part || '-' END AS range, CASE k % 5 WHEN 2 THEN 'unchanged' WHEN 3 THEN 'failed' WHEN 4 THEN 'failed' WHEN 1 THEN CASE WHEN part > 0 THEN 'continued' ELSE 'whole' END WHEN 0 THEN 'whole' END AS outcome,
         k::BIGINT + CASE WHEN k % 5 = 0 THEN 0 ELSE part END AS size FROM (SELECT *, (length(url) % 4)::BIGINT AS part FROM ({_TAKEN.format("true")}) WHERE rn = 1)""",
     "clear_pending": f"SELECT CASE WHEN status IN ('queued', 'retry', 'processing') THEN 'abandoned' ELSE status END AS status, count(*) AS n FROM ({_STATE}) GROUP BY 1",
-    "review_latest": f"SELECT doc_id, label AS status FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ts DESC, seq DESC) AS rn FROM ({_REVIEWS})) WHERE rn = 1 AND label <> 'new'",
+    "review_latest": f"SELECT doc_id, label AS status FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ts DESC, seq DESC) AS rn FROM ({REVIEWS_SQL})) WHERE rn = 1 AND label <> 'new'",
     "pending_queue": f"SELECT url, status, discovered_at FROM ({_STATE}) WHERE status IN ('queued', 'retry') ORDER BY (lower(url) LIKE '%.pdf')::INT, discovered_at, url LIMIT 400",
     "diag_status_counts": f"SELECT status, count(*) AS n, sum((lower(url) LIKE '%.pdf')::INT)::BIGINT AS n_pdf FROM ({_LOG}) GROUP BY 1",
     "diag_done_detail": f"SELECT sum((status = 'done')::INT)::BIGINT AS done, sum((status = 'done' AND local_path IS NULL)::INT)::BIGINT AS done_no_path, sum((status = 'done' AND sha256 IS NULL)::INT)::BIGINT AS done_no_sha FROM ({_STATE})",
-    "url_penalty_fold": f"SELECT host, round({_FOLD.format(start=0, step='greatest(0.0, least(0.6, a + x))')}, 6) AS penalty FROM (SELECT *, (CASE label WHEN 'irrelevant' THEN 0.05 WHEN 'high_value' THEN -0.03 ELSE 0 END)::DOUBLE AS x FROM ({_REVIEWS})) GROUP BY host",
+    "url_penalty_fold": f"SELECT host, round({_FOLD.format(start=0, step='greatest(0.0, least(0.6, a + x))')}, 6) AS penalty FROM (SELECT *, (CASE label WHEN 'irrelevant' THEN 0.05 WHEN 'high_value' THEN -0.03 ELSE 0 END)::DOUBLE AS x FROM ({REVIEWS_SQL})) GROUP BY host",
     "host_throttle_fold": f"SELECT host, round({_FOLD.format(start=1, step='greatest(0.2, least(1.0, a * x))')}, 6) AS rate FROM (SELECT user_id % 50 AS host, ts, event_id AS seq, (CASE WHEN event_type = 'error' THEN 0.5 ELSE 1.05 END)::DOUBLE AS x FROM events) GROUP BY host",
     "backoff_schedule": "SELECT r_regionkey::BIGINT AS attempt, round(least(30.0, 0.75 * pow(2, greatest(0, r_regionkey - 1)))::DOUBLE, 6) AS seconds FROM region",
     "release_diff": f"""SELECT * FROM (SELECT coalesce(a.url, b.url) AS url, CASE WHEN a.url IS NULL THEN 'added' WHEN b.url IS NULL THEN 'removed'

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from corpusieve.functions import vectors as V
 from corpusieve.operators import matching, pairs
-from corpusieve.runtime import table
+from corpusieve.queries.events import REVIEWS_SQL, review_log
+from corpusieve.runtime import scratch, table
+from corpusieve.streaming.feedback import Feedback
 
 
 def rows(spark: SparkSession, d: str) -> DataFrame:
@@ -46,8 +48,15 @@ def label_centroids(spark, d):
 
 
 def online_centroid(spark, d):
-    """The mean of a label's vectors, from partial states that are merged."""
-    return V.merged_means(rows(spark, d), ["label"], "embedding").select("label", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))
+    """The mean of the vectors that were last reviewed as each label, kept while the log of reviews comes in
+    by parts that are out of order: a review that changes takes its vector back."""
+    log, own = review_log(spark, d), rows(spark, d).select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    found = spark.createDataFrame([], "doc_id long, pattern string")
+    state = Feedback(spark, scratch(spark, "feedback"), own, found)
+    for k in range(2):
+        state.step(log.where(F.col("seq") % 2 == k), k)
+    means = state.tables()["centroids"]
+    return means.select("label", F.col("count").cast("long").alias("n"), F.posexplode("vector").alias("i", "x")).select("label", "n", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))
 
 
 def suggest_related(spark, d):
@@ -70,7 +79,8 @@ ORACLES = {
     "semantic_hits": f"""WITH v AS ({_V}), s AS (SELECT k.vec_id AS keyword_id, v.vec_id AS row_id, list_inner_product(k.e, v.e) / (k.n * v.n) AS s FROM v, v k WHERE k.vec_id < 40)
         SELECT row_id, keyword_id, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY s DESC, keyword_id) AS r FROM s WHERE s >= 0.3) WHERE r <= 30""",
     "label_centroids": """SELECT label, count(*) AS n, i - 1 AS i, round(avg(x), 6) AS x FROM (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY label, i""",
-    "online_centroid": """SELECT label, i - 1 AS i, round(avg(x), 6) AS x FROM (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY label, i""",
+    "online_centroid": f"""WITH r AS ({REVIEWS_SQL}), l AS (SELECT doc_id, label FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY ts DESC, seq DESC, label DESC) = 1)
+        SELECT label, count(*) AS n, i - 1 AS i, round(avg(x), 6) AS x FROM (SELECT l.label, unnest(embedding)::DOUBLE AS x, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings JOIN l ON vec_id = doc_id WHERE l.label IN ('high_value', 'irrelevant')) GROUP BY label, i""",
     "suggest_related": f"""WITH v AS ({_V}), s AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_inner_product(a.e, b.e) / (a.n * b.n), 6) AS similarity FROM v a, v b WHERE a.vec_id < 20 AND a.vec_id <> b.vec_id)
         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) AS place FROM s) WHERE place <= 5""",
 }
