@@ -23,7 +23,7 @@ from corpusieve.plans.patterns import Pattern
 
 #: After this many hits of a document each further literal or regex adds one at most.
 SOFT_CAP = 200
-FUZZY_LEAST, FUZZY_KEYWORDS, FUZZY_SNIPPET = 0.92, 200, 350
+FUZZY_LEAST, FUZZY_SNIPPET = 0.92, 350
 _NONE = "array<struct<method:string,pattern:string,pattern_order:int,hit:int,start:int,score:double,snippet:string>>"
 _WILD_WORDS = r"(?U)\b[\w\-']+\b"
 #: Literals and globs that are searched for one by one at most.
@@ -185,9 +185,10 @@ def token_set_ratio(a: str, b: str) -> float:
     return best
 
 
-def fuzzy_keywords(keywords: list[str]) -> list[str]:
-    """Literals that fuzzy matching takes: two words and eight characters at least."""
-    return [k for k in keywords[:FUZZY_KEYWORDS] if len(word_tokens(k)) > 1 and len(k.strip()) >= 8]
+def fuzzy_keywords(keywords: list[str], most: int | None = None) -> list[str]:
+    """Literals that fuzzy matching takes: two words and eight characters at least; with ``most`` only such
+    among the first so many keywords."""
+    return [k for k in keywords[:most] if len(word_tokens(k)) > 1 and len(k.strip()) >= 8]
 
 
 #: White space as Python's split sees it.
