@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusieve.functions.text import html_escape, located
-from corpusieve.operators.state import merged_spans
+from corpusieve.operators.state import runs
 from corpusieve.plans.patterns import Pattern
 
 PREVIEW, MATCHES = 15000, 300
@@ -19,7 +19,7 @@ def spans(docs: DataFrame, patterns: list[Pattern]) -> DataFrame:
     for p in patterns:
         if p.method != "wildcard":
             found.append(F.slice(F.transform(located(text, p.java), lambda m: F.struct(m["start"].alias("a"), (m["start"] + F.length(m["match"])).alias("b"))), 1, MATCHES))
-    return merged_spans(docs.select("doc_id", F.inline(F.concat(*found))), "doc_id")
+    return runs(docs.select("doc_id", F.inline(F.concat(*found))), "doc_id")
 
 
 def marked(text: Column, ordered: Column, before: str = "<mark>", after: str = "</mark>") -> Column:

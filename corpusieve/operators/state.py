@@ -251,10 +251,30 @@ def backoff(attempt: Column, base: float = 0.75, most: float = 30.0) -> Column:
     return F.least(F.lit(most), F.lit(base) * F.pow(F.lit(2.0), F.greatest(F.lit(0), attempt - 1).cast("double")))
 
 
-def merged_spans(spans: DataFrame, key: str) -> DataFrame:
-    """Overlapping or touching spans(key, a, b) of each key as one."""
-    order = Window.partitionBy(key).orderBy("a", "b")
+def runs(spans: DataFrame, *by: str) -> DataFrame:
+    """Overlapping or touching spans(a, b) of each group as one. A group is one task's."""
+    order = Window.partitionBy(*by).orderBy("a", "b")
     seen = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
     marked = spans.withColumn("_new", F.when(seen.isNull() | (F.col("a") > seen), 1).otherwise(0))
     group = F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return marked.withColumn("_g", group).groupBy(key, "_g").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("_g")
+    return marked.withColumn("_g", group).groupBy(*by, "_g").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("_g")
+
+
+def merged_spans(spans: DataFrame, key: str, ranges: int | None = None) -> DataFrame:
+    """Overlapping or touching spans(key, a, b) of each key as one; those without a or b take no part.
+
+    Spans are merged within ranges of a first, side by side, and joined at the seams then: what begins in a
+    range within the reach of the ranges before it goes on with what was open there. So a key's spans lie in
+    as many tasks as there are ranges, and what meets by key is a row for each range.
+    """
+    own = segmented(spans.select(key, "a", "b").where("a is not null and b is not null"), "a", "_range", ranges)
+    parts = runs(own, key, "_range")
+    earlier = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    reach = parts.groupBy(key, "_range").agg(F.max("b").alias("_b")).select(F.col(key).alias("_key"), F.col("_range").alias("_at"), F.max("_b").over(earlier).alias("_reach"))
+    met = parts.join(reach, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_range") == F.col("_at"))).drop("_key", "_at")
+    begins = F.col("_reach").isNull() | (F.col("a") > F.col("_reach"))
+    fresh = met.where(begins).select(key, F.col("a").alias("_start"), "b")
+    # of each range: the last that begins in it, and how far those go that began before it
+    seams = met.groupBy(key, "_range").agg(F.max(F.when(begins, F.col("a"))).alias("_open"), F.max(F.when(~begins, F.col("b"))).alias("_b"))
+    carried = seams.select(key, F.last("_open", ignorenulls=True).over(earlier).alias("_start"), F.col("_b").alias("b")).where("b is not null")
+    return fresh.unionByName(carried).groupBy(key, "_start").agg(F.max("b").alias("b")).select(key, F.col("_start").alias("a"), "b")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusieve.functions import urls as U
+from corpusieve.operators.scope import scoped
 from corpusieve.runtime import table
 from corpusieve.sources import files, html
 
@@ -67,6 +68,14 @@ def page_in_scope(spark, d):
     return rows(spark, d).select("page_id", U.in_scope(F.col("url"), SEEDS).alias("in_scope"))
 
 
+def scope_by_seeds(spark, d):
+    """All pages against the addresses of every twentieth page and the folder of every hundredth."""
+    own = rows(spark, d)
+    folder = F.when(F.col("page_id") % 100 == 0, F.regexp_replace("url", "/[^/]*$", "/")).otherwise(F.col("url"))
+    seeds = own.where("page_id % 20 = 0").select(folder.alias("seed"))
+    return scoped(own.select("page_id", "url"), seeds).select("page_id", "in_scope")
+
+
 def parse_dispatch(spark, d):
     kind = F.when(F.col("page_id") % 5 == 0, "application/pdf").when(F.col("page_id") % 5 == 1, "text/html; charset=utf-8").otherwise(F.lit(None).cast("string"))
     return rows(spark, d).select("page_id", files.parser_of(F.regexp_replace("url", r"[?#].*$", ""), kind).alias("parser"))
@@ -89,7 +98,7 @@ def seed_validation(spark, d):
     return own.where(U.valid_seed(F.col("url"))).select(F.trim("url").alias("url")).distinct()
 
 
-QUERIES = {f.__name__: f for f in (html_title, html_text, link_extract, links_resolved, normalize_url, url_host, looks_downloadable, known_document_urls, pagination_links, same_site, page_in_scope, parse_dispatch, not_pdf_guard, url_penalty, seed_validation)}
+QUERIES = {f.__name__: f for f in (html_title, html_text, link_extract, links_resolved, normalize_url, url_host, looks_downloadable, known_document_urls, pagination_links, same_site, page_in_scope, scope_by_seeds, parse_dispatch, not_pdf_guard, url_penalty, seed_validation)}
 
 _S = r"[A-Za-z][A-Za-z0-9+.\-]*"
 _AUTH = rf"lower(regexp_extract(url, '^{_S}://([^/?#]*)', 1))"
@@ -115,6 +124,9 @@ ORACLES = {
     "known_document_urls": "SELECT page_id, url FROM pages WHERE " + " OR ".join(f"lower(url) LIKE '%.{x}'" for x in ("pdf", "doc", "docx", "txt", "html", "htm")),
     "pagination_links": "SELECT page_id, url, regexp_replace(url, '([?&]page=)[1-9][0-9]*', '\\10', 'g') AS first FROM pages WHERE " + " OR ".join(f"contains(lower(url), '{x}')" for x in ("?page=", "&page=", "?p=", "&p=", "pager")),
     "same_site": f"SELECT page_id FROM pages WHERE {_SITE} IN (SELECT {_SITE} FROM pages WHERE page_id < 10)",
+    "scope_by_seeds": f"""WITH s AS (SELECT DISTINCT regexp_replace(regexp_extract(CASE WHEN page_id % 100 = 0 THEN regexp_replace(url, '/[^/]*$', '/') ELSE url END, '://[^/]*(/[^?#]*)', 1), '/+$', '') AS e FROM pages WHERE page_id % 20 = 0)
+        SELECT page_id, p IN (SELECT e FROM s) OR EXISTS (SELECT 1 FROM s WHERE starts_with(p, e || '/')) OR EXISTS (SELECT 1 FROM s WHERE e = '') AS in_scope
+        FROM (SELECT page_id, CASE WHEN {_PATH} = '' THEN '/' ELSE {_PATH} END AS p FROM pages)""",
     "page_in_scope": f"SELECT page_id, ({_SCOPE}) AS in_scope FROM (SELECT page_id, CASE WHEN {_PATH} = '' THEN '/' ELSE {_PATH} END AS p FROM pages)",
     "parse_dispatch": r"""SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'pdf' WHEN page_id % 5 = 1 THEN 'html' WHEN u LIKE '%.pdf' THEN 'pdf' WHEN u LIKE '%.doc' OR u LIKE '%.docx' THEN 'docx'
         WHEN u LIKE '%.txt' THEN 'txt' WHEN u LIKE '%.html' OR u LIKE '%.htm' THEN 'html' ELSE 'txt' END AS parser FROM (SELECT page_id, lower(regexp_replace(url, '[?#].*$', '')) AS u FROM pages)""",
