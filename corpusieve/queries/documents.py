@@ -548,6 +548,20 @@ def chunk_embeddings(spark, d):
     return rows.select("doc_id", "chunk_index", "start", "end", F.round("norm", 4).alias("norm"))
 
 
+def chunk_upkeep(spark, d):
+    """Chunks that have a vector, of a store whose documents changed and went before."""
+    from corpusieve.operators.chunk_store import ChunkStore
+    from corpusieve.operators.embedding import HashingProvider
+
+    own = docs(spark, d).select("doc_id", "text")
+    store = ChunkStore(spark, scratch(spark, "chunk-store"), HashingProvider)
+    store.update(own.where("doc_id % 2 = 0").withColumn("text", F.concat(F.lit("before "), "text")))
+    store.update(own)
+    store.remove(own.where("doc_id % 7 = 3"))
+    places = [F.col(c).cast("long").alias(c) for c in ("chunk_index", "start", "end")]
+    return store.table().select("doc_id", *places, F.size("vector").alias("dimensions"))
+
+
 QUERIES = {
     **{name: _fts(query) for name, query in FTS.items()},
     "indexed_search": indexed_search,
@@ -564,6 +578,7 @@ QUERIES = {
     "entities_sorted": entities_sorted,
     "docs_in_list": docs_in_list,
     "chunk_embeddings": chunk_embeddings,
+    "chunk_upkeep": chunk_upkeep,
     "pack_hits": pack_hits,
     "keyword_hits": _counts(WORDS),
     "phrase_hits": _counts(PHRASES),
@@ -633,6 +648,7 @@ ORACLES = {
     "page_flags_sorted": f"SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, page_no) AS place FROM ({_FLAGS})",
     "entities_sorted": f"SELECT doc_id, label, display, count, row_number() OVER (PARTITION BY doc_id ORDER BY label, count DESC, display) AS place FROM ({ENTITIES_MERGED_SQL})",
     "docs_in_list": "SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)",
+    "chunk_upkeep": f'SELECT doc_id, chunk_index, start, "end", 64 AS dimensions FROM ({_chunks_sql(2500, 250)}) WHERE doc_id % 7 <> 3',
     "pack_hits": PACK_SQL,
     "keyword_hits": _sql_rows({k: sql_count(k) for k in WORDS}),
     "phrase_hits": _sql_rows({k: sql_count(k) for k in PHRASES}),
