@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +14,14 @@ INDEX = ("relevance_score", "topic_similarity", "entity_density", "review_status
 
 
 def _fixed(c: Column, digits: int) -> Column:
-    return F.when(c.isNull(), "").otherwise(F.format_string(f"%.{digits}f", c))
+    """A number as Python and C print it: rounded by its exact value, ties to the even digit. Java's
+    formats round the shortest digits that tell the number apart instead, so this is in Python."""
+
+    @F.pandas_udf("string")
+    def of(batch: pd.Series) -> pd.Series:
+        return batch.map(f"{{:.{digits}f}}".format)
+
+    return F.when(c.isNull(), "").otherwise(of(c.cast("double")))
 
 
 def index_lines(rows: DataFrame) -> DataFrame:

@@ -208,6 +208,15 @@ def test_html(spark):
     assert one(spark, h="Access Denied errors.edgesuite.net").select(html.blocked(F.lit(403), F.col("h"))).first()[0]
 
 
+def test_index_numbers_round_by_their_exact_value(spark):
+    values = [1 / 128, 3 / 128, -1 / 128, 1 / 640, 5e-5, 0.00125, -0.00005, 5e-7, 0.9999995, 1 / 32, -0.0, 1e-300, 123456.5, 99999999999999991611392.0, float("nan"), float("-inf"), None]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    lines = sinks.index_lines(rows.select(*[F.col("v").alias(c) for c in ("relevance_score", "topic_similarity", "entity_density")], F.lit(None).cast("string").alias("review_status"), F.col("i").cast("string").alias("local_path"), F.lit("").alias("url"), F.lit("").alias("title")))
+    got = {int(r.local_path): (r.relevance_score, r.topic_similarity, r.entity_density) for r in lines.collect()}
+    assert got == {i: ("",) * 3 if v is None else (f"{v:.4f}", f"{v:.4f}", f"{v:.6f}") for i, v in enumerate(values)}
+    assert got[0][2] == "0.007812" and got[1][2] == "0.023438"
+
+
 def test_references_without_a_semicolon_stay(spark):
     pages = {"<title>a&amp;&amp</title>b": "a&&amp\nb", "<p>x &ampfoo; &lt &copy1 &amp;lt;": "x &ampfoo; &lt &copy1 &lt;", "<p>&#39;&#39 &quot;\ufdd0 &am</p>&": "'' \"\ufdd0 &am\n&", "&copy": "&copy", "<a href='?a&lt=1'>&middot;</a>": "·"}
     for page, want in pages.items():
