@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusieve.functions.arrays import place_among
+from corpusieve.runtime import written
 
 PENDING = ("queued", "retry", "processing")
 REVIEWS = ("new", "reviewed", "ignored", "irrelevant", "high_value")
@@ -204,7 +205,8 @@ def segmented(rows: DataFrame, by: str, name: str, segments: int | None = None)
     n = segments or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if n < 2:
         return rows.withColumn(name, F.lit(0))
-    cuts = rows.agg(F.percentile_approx(by, [k / n for k in range(1, n)], 100 * n).alias("_cuts"))
+    # quantiles depend on the order in which tasks end, so they are kept: wherever the rows are computed, ranges are the same
+    cuts = written(rows.agg(F.percentile_approx(by, [k / n for k in range(1, n)], 100 * n).alias("_cuts")), "cuts")
     own = rows.join(F.broadcast(cuts), F.lit(True), "left")  # one row
     return own.withColumn(name, place_among(F.col("_cuts"), n - 1, F.col(by))).drop("_cuts")
 

@@ -43,6 +43,20 @@ def test_a_hot_key_lies_in_several_ranges(spark):
     assert [tuple(r) for r in state.merged_spans(spans, "k", 8).collect()] == [(1, 0, 4001)]
 
 
+def test_spans_do_not_depend_on_the_order_of_arrival(spark):
+    """Rows are dealt out in another way each time that they are computed, and Spark reuses no exchange."""
+    dealt = lambda batches: (b.assign(r=[random.random() for _ in range(len(b))]) for b in batches)
+    own = spark.range(0, 60_000, 1, 4).select((F.col("id") % 30).alias("k"), (F.col("id") * 7919 % 60_000).alias("a"), F.col("id"))
+    spans = own.select("k", "a", (F.col("a") + F.col("id") % 37).alias("b"))
+    rows = [tuple(r) for r in spans.collect()]
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        got = [tuple(r) for r in state.merged_spans(spans.mapInPandas(dealt, "k long, a long, b long, r double").repartition(4, "r"), "k", 50).collect()]
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    assert sorted(got, key=str) == merged(rows)
+
+
 PAGES = ["https://x/a", "https://x/a/", "https://x/a/b", "https://x/ab", "https://y/a/b/c?q=/z", "http://x", "https://x/", "/a/b#f", "x//a", "", None, "https://x/a//b", "https://x/é/ü"]
 SEEDS = ["https://x/a/", "https://x/a/b?c=d", "https://x/é", "x/ab#z", "https://q", "", "https://x//", "https://x/a//b", "a://b://c/a"]
 
