@@ -111,8 +111,9 @@ SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, score,
 
 
 def semantic_sorted_index(spark, d):
+    """The lines in the order of the index; what they are sorted by is kept, since a sort reads its input twice."""
     own = scoring.with_reviews(scored(spark, d), review_rows(spark, d)).select("doc_id", F.col("relevance").alias("relevance_score"), F.col("topic").alias("topic_similarity"), F.col("density").alias("entity_density"), "review_status", F.concat(F.lit("p/"), "doc_id").alias("local_path"), F.col("source").alias("url"), "title")
-    return sinks.index_lines(own).drop("score")
+    return sinks.index_lines(written(own.drop("doc_id"), "index-scored"))
 
 
 INDEX_SQL = f"""

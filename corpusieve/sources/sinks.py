@@ -25,13 +25,14 @@ def _fixed(c: Column, digits: int) -> Column:
 
 
 def index_lines(rows: DataFrame) -> DataFrame:
-    """The columns of the sorted index as they are printed, with ``score`` to sort by."""
-    return rows.select(
-        F.col("relevance_score").alias("score"),
+    """The lines of the sorted index as they are printed: the best score first, none last; lines of
+    one score by url and path, then by a hash of all else, since what is sorted by is sampled to the
+    driver and a title may be long. A review that is missing or empty is new."""
+    return rows.orderBy(F.desc_nulls_last("relevance_score"), "url", "local_path", F.xxhash64(*INDEX)).select(
         _fixed(F.col("relevance_score"), 4).alias("relevance_score"),
         _fixed(F.col("topic_similarity"), 4).alias("topic_similarity"),
         _fixed(F.col("entity_density"), 6).alias("entity_density"),
-        F.coalesce("review_status", F.lit("new")).alias("review_status"),
+        F.when(F.col("review_status") != "", F.col("review_status")).otherwise("new").alias("review_status"),
         *[F.coalesce(c, F.lit("")).alias(c) for c in ("local_path", "url", "title")],
     )
 
@@ -50,7 +51,7 @@ def append(rows: DataFrame, table: str, root: str, now: datetime | None = None)
 def write_sorted_index(rows: DataFrame, path: str, one_file: bool = False) -> None:
     """A TSV folder with the best first. Files are ranges of the order; ``one_file`` only for
     lists that fit one task."""
-    ordered = index_lines(rows).orderBy(F.desc_nulls_last("score"), "url").drop("score")
+    ordered = index_lines(rows)
     (ordered.coalesce(1) if one_file else ordered).write.option("emptyValue", "").csv(path, sep="\t", header=True, quote="")
 
 

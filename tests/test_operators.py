@@ -271,6 +271,24 @@ def test_sinks(spark, tmp_path):
     assert [[x.p for x in r.m] for r in out] == [["a", "b"], []]
 
 
+def test_index_lines_are_in_the_order_of_the_index(spark):
+    scores = [None, *[(i * 37 % 101 - 50) / 60_000 for i in range(400)], float("-inf"), 0.5, -0.5]
+    rows = [(s, "" if i % 3 else None, f"p{i:03}", f"u{i % 5}") for i, s in enumerate(scores)]
+    own = spark.createDataFrame(rows, "relevance_score double, review_status string, local_path string, url string").repartition(7, "local_path")
+    lines = sinks.index_lines(own.select("*", *[F.lit(None).cast(t).alias(c) for c, t in (("topic_similarity", "double"), ("entity_density", "double"), ("title", "string"))]))
+    assert lines.columns == list(sinks.INDEX)
+    got = lines.collect()
+    assert [r.local_path for r in got] == [r[2] for r in sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[3], r[2]))]
+    assert {r.review_status for r in got} == {"new"} and got[-1].relevance_score == ""
+
+
+def test_semantic_sorted_index_is_sorted(spark, sf_dir):
+    from corpusieve.queries import QUERIES
+
+    got = [float(r.relevance_score) for r in QUERIES["semantic_sorted_index"](spark, sf_dir).collect()]
+    assert len(got) > 100 and got == sorted(got, reverse=True)
+
+
 def test_settings(tmp_path):
     s = Settings(retries=7, keywords=("a",))
     s.save(str(tmp_path / "s.json"))
